@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import op6_language as op6
 from . import op9_decontaminate as op9
 
 QUERIES = {
+    "op6_language": op6.op6_language,
     "op9_decontaminate": op9.op9_decontaminate,
 }
 
