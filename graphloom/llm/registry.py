@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import op1_nearest as op1
 from . import op4_pieces as op4
 from . import op6_language as op6
+from . import op7_private as op7
 from . import op9_decontaminate as op9
 
 QUERIES = {
     "op1_nearest": op1.op1_nearest,
     "op4_pieces": op4.op4_pieces,
     "op6_language": op6.op6_language,
+    "op7_private": op7.op7_private,
     "op9_decontaminate": op9.op9_decontaminate,
 }
 
