@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op1_nearest as op1
+from . import op2_jaccard as op2
 from . import op4_pieces as op4
 from . import op6_language as op6
 from . import op7_private as op7
@@ -10,6 +11,7 @@ from . import op9_decontaminate as op9
 
 QUERIES = {
     "op1_nearest": op1.op1_nearest,
+    "op2_jaccard": op2.op2_jaccard,
     "op4_pieces": op4.op4_pieces,
     "op6_language": op6.op6_language,
     "op7_private": op7.op7_private,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_jaccard": op2.SQL,
     "op9_decontaminate": op9.SQL,
 }
