@@ -7,6 +7,7 @@ from . import op2_jaccard as op2
 from . import op4_pieces as op4
 from . import op6_language as op6
 from . import op7_private as op7
+from . import op8_lines as op8
 from . import op9_decontaminate as op9
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_pieces": op4.op4_pieces,
     "op6_language": op6.op6_language,
     "op7_private": op7.op7_private,
+    "op8_lines": op8.op8_lines,
     "op9_decontaminate": op9.op9_decontaminate,
 }
 
