@@ -85,7 +85,7 @@ def shared_keys(members: DataFrame) -> DataFrame:
             pivot, pivot_n, last_key, last_id = p[-1], pn[-1], key[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "id", "n", "pivot", "pivot_n"])
 
-    dealt = members.select("key", "id", "n").repartition(parts(members), "key").sortWithinPartitions("key", "id")
+    dealt = members.select("key", "id", "n").repartition(parts(members), "key").sortWithinPartitions("key", "id", "n")
     return dealt.mapInArrow(run, "key long, id long, n long, pivot long, pivot_n long")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op1_nearest as op1
+from . import op10_passages as op10
 from . import op2_jaccard as op2
 from . import op4_pieces as op4
 from . import op6_language as op6
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_private": op7.op7_private,
     "op8_lines": op8.op8_lines,
     "op9_decontaminate": op9.op9_decontaminate,
+    "op10_passages": op10.op10_passages,
 }
 
 SQL = {
