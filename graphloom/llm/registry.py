@@ -6,6 +6,8 @@ from . import op1_nearest as op1
 from . import op10_passages as op10
 from . import op2_jaccard as op2
 from . import op4_pieces as op4
+from . import op3_tokens as op3
+from . import op5_fixity as op5
 from . import op6_language as op6
 from . import op7_private as op7
 from . import op8_lines as op8
@@ -14,7 +16,9 @@ from . import op9_decontaminate as op9
 QUERIES = {
     "op1_nearest": op1.op1_nearest,
     "op2_jaccard": op2.op2_jaccard,
+    "op3_tokens": op3.op3_tokens,
     "op4_pieces": op4.op4_pieces,
+    "op5_fixity": op5.op5_fixity,
     "op6_language": op6.op6_language,
     "op7_private": op7.op7_private,
     "op8_lines": op8.op8_lines,
@@ -24,5 +28,6 @@ QUERIES = {
 
 SQL = {
     "op2_jaccard": op2.SQL,
+    "op5_fixity": op5.SQL,
     "op9_decontaminate": op9.SQL,
 }
