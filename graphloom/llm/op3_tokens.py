@@ -5,7 +5,7 @@ predict the next id from the last two ids (order 2) and from the last one
 (order 1), each with a confidence. Whether a prediction holds is coded as a bit
 whose probability a small mixer makes out of two adaptive estimates in the
 logistic domain. An id that neither predicts is coded by order 0: its magnitude
-and its leading bits with adaptive frequencies, the rest evenly. All state is
+and the bit below its leading one with adaptive frequencies, the rest evenly. All state is
 integer, so a block decodes alike wherever it is read.
 
 A block holds BLOCK ids, begins from the same initial state as any other, and
@@ -42,23 +42,23 @@ from . import words as W
 from .linking import parts, shared_folder
 
 MAGIC = b"GLT1"
-BLOCK = 4096
+BLOCK = 2048
 #: A segment takes documents until it has so many ids.
-SEGMENT_IDS = 6 << 20
+SEGMENT_IDS = 3 << 20
 END_ID = 1
 MOST_ID = (1 << 18) - 1
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 500_000
 _CUT = "\x01"
 
 _M32, _U = np.uint64(0xFFFFFFFF), np.uint64
 _S16, _S32, _S12 = np.uint64(16), np.uint64(32), np.uint64(12)
 _LOW = np.uint64(1 << 16)
-_T1, _T2 = 10, 11  # bits of the prediction tables' sizes
-_CLASSES, _LEAD = 19, 3
+_T1, _T2 = 9, 10  # bits of the prediction tables' sizes
+_SLOTS = 38  # two for each magnitude of an id: by the bit below its leading one
 
 #: Logistic tables: stretch(p) = 256 ln(p / (1 - p)) of a 12-bit probability, and its inverse.
-STRETCH = np.round(256 * np.log((np.arange(4096) + 0.5) / (4096 - np.arange(4096) - 0.5))).astype(np.int64)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 24, 4072).astype(np.int64)
+STRETCH = np.round(256 * np.log((np.arange(4096) + 0.5) / (4096 - np.arange(4096) - 0.5))).astype(np.int32)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 24, 4072).astype(np.int32)
 
 
 class _Model:
@@ -67,16 +67,16 @@ class _Model:
     def __init__(self, lanes: int):
         n = self.n = lanes
         self.lane = np.arange(n)
-        self.t1 = np.zeros(n << _T1, dtype=np.int64)
-        self.t2 = np.zeros(n << _T2, dtype=np.int64)
+        self.t1 = np.zeros(n << _T1, dtype=np.int32)  # 18 bits of id, and the confidence above
+        self.t2 = np.zeros(n << _T2, dtype=np.int32)
         self.base1, self.base2 = self.lane << _T1, self.lane << _T2
         self.last = np.zeros(n, dtype=np.int64)
         self.before = np.zeros(n, dtype=np.int64)
-        self.estimates = [np.full((8, n), 1024, dtype=np.int64), np.full((8, n), 1024, dtype=np.int64), np.full((8, n), 1024, dtype=np.int64), np.full((_CLASSES + 1, n), 512, dtype=np.int64)]
-        self.weights = [np.full(n, 40000, dtype=np.int64) for _ in range(4)]
-        self.magnitude = np.full((_CLASSES, n), 4, dtype=np.int64)
-        self.leading = np.full((_CLASSES, 8, n), 8, dtype=np.int64)
-        self.kind = np.zeros(n, dtype=np.int64)
+        self.estimates = [np.full(m * n, p, dtype=np.int32) for m, p in ((8, 1024), (8, 1024), (8, 1024), (_SLOTS + 1, 512))]
+        self.weights = [np.full(n, 40000, dtype=np.int32) for _ in range(4)]
+        self.slots = np.full((_SLOTS, n), 2, dtype=np.int32)
+        self.flat = self.slots.reshape(-1)
+        self.slot = np.zeros(n, dtype=np.int64)
 
     def look(self) -> None:
         self.at1 = self.base1 + ((self.last * 0x9E3779B1) >> 16 & ((1 << _T1) - 1))
@@ -88,42 +88,64 @@ class _Model:
 
     def mix(self, which: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The probability, of 4096, that prediction `which` holds; a and b are the estimates' contexts."""
-        ea, eb = self.estimates[2 * which], self.estimates[2 * which + 1]
         self.ia, self.ib = a * self.n + self.lane, b * self.n + self.lane
-        self.pa, self.pb = ea.ravel().take(self.ia), eb.ravel().take(self.ib)
+        self.pa, self.pb = self.estimates[2 * which].take(self.ia), self.estimates[2 * which + 1].take(self.ib)
         self.sa, self.sb = STRETCH.take(self.pa), STRETCH.take(self.pb)
-        dot = (self.sa * self.weights[2 * which] + self.sb * self.weights[2 * which + 1]) >> 16
-        self.p = SQUASH.take(np.clip(dot + 2048, 0, 4095))
+        dot = self.sa * self.weights[2 * which]
+        dot += self.sb * self.weights[2 * which + 1]
+        dot >>= 16
+        dot += 2048
+        np.maximum(dot, 0, out=dot)
+        np.minimum(dot, 4095, out=dot)
+        self.p = SQUASH.take(dot)
         return self.p
 
-    def learn(self, which: int, bit: np.ndarray, on: np.ndarray) -> None:
-        """bit and on are 0 or 1; lanes that are not on learn nothing."""
-        target = bit * 4095
-        error = (target - self.p) * on
-        self.weights[2 * which] += (self.sa * error) >> 14
-        self.weights[2 * which + 1] += (self.sb * error) >> 14
-        self.estimates[2 * which].ravel()[self.ia] = self.pa + (((target - self.pa) * on) >> 4)
-        self.estimates[2 * which + 1].ravel()[self.ib] = self.pb + (((target - self.pb) * on) >> 4)
+    def learn(self, which: int, bit: np.ndarray, on: np.ndarray | None) -> None:
+        """Lanes that are not on learn nothing; None: all are on."""
+        target = bit * np.int32(4095)
+        error, da, db = target - self.p, target - self.pa, target - self.pb
+        if on is not None:
+            error *= on
+            da *= on
+            db *= on
+        for k, stretched in ((2 * which, self.sa), (2 * which + 1, self.sb)):
+            w = self.weights[k]
+            w += (stretched * error) >> 14
+            np.maximum(w, -400_000, out=w)
+            np.minimum(w, 400_000, out=w)  # keeps products within 32 bits
+        self.estimates[2 * which][self.ia] = self.pa + (da >> 4)
+        self.estimates[2 * which + 1][self.ib] = self.pb + (db >> 4)
 
     def first(self) -> np.ndarray:
         return self.mix(0, self.c2 * 2 + self.agree, self.c1 * 2 + self.agree)
 
     def second(self) -> np.ndarray:
-        return self.mix(1, self.c1 * 2 + (self.c2 > 1), self.kind)
+        return self.mix(1, self.c1 * 2 + (self.c2 > 1), self.slot)
 
-    def take(self, ids: np.ndarray, kind: np.ndarray, step: int) -> None:
+    def grown(self) -> np.ndarray:
+        return np.cumsum(self.slots, axis=0, dtype=np.int32)
+
+    def take(self, ids: np.ndarray, slot: np.ndarray, rest: np.ndarray, step: int) -> None:
+        """ids came; those of the lanes in rest were coded by order 0, in these slots."""
+        at = (slot * self.n + self.lane)[rest]
+        self.flat[at] += 24
+        new = ids.astype(np.int32)
         for table, at, p, c in ((self.t1, self.at1, self.p1, self.c1), (self.t2, self.at2, self.p2, self.c2)):
-            hit = (p == ids) & (c > 0)
+            hit = (p == new) & (c > 0)
             kept = np.where(hit, np.minimum(c + 1, 3), c - 1)
-            table[at] = np.where(kept > 0, p | kept << 18, ids | 1 << 18)
-        self.before, self.last, self.kind = self.last, ids, kind
+            table[at] = np.where(kept > 0, p | kept << 18, new | 1 << 18)
+        self.before, self.last, self.slot = self.last, ids, np.where(rest, slot, _SLOTS)
         if step & 63 == 63:
-            self.magnitude = (self.magnitude + 1) >> 1
-        if step & 511 == 511:
-            self.leading = (self.leading + 1) >> 1
+            self.slots += 1
+            self.slots >>= 1
 
 
-_KIND = np.frexp(np.arange(1, MOST_ID + 3))[1].astype(np.int64) - 1  # of id: the magnitude of id + 1
+_VALUES = np.arange(1, MOST_ID + 3)
+_SIZE = np.frexp(_VALUES)[1].astype(np.int64) - 1  # of id: the magnitude of id + 1
+_SLOT = 2 * _SIZE + np.where(_SIZE > 0, _VALUES >> np.maximum(_SIZE - 1, 0) & 1, 0)
+_TAIL = np.maximum(_SIZE - 1, 0)  # how many bits are coded evenly
+_TAIL_OF = np.maximum(np.arange(_SLOTS) // 2 - 1, 0)
+_BASE_OF = np.where(np.arange(_SLOTS) < 2, 1, (2 + np.arange(_SLOTS) % 2) << _TAIL_OF)  # id + 1 with the even bits clear
 
 
 def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
@@ -164,43 +186,27 @@ def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
         else:
             put(np.where(on, cum, _U(0)), np.where(on, freq, _U(1)), np.where(on, rng >> _S12, rng))
 
-    every = np.ones(lanes, dtype=bool)
+    every, one = np.ones(lanes, dtype=bool), np.ones(lanes, dtype=_U)
     for step in range(steps):
         now = ids[step].astype(np.int64)
         model.look()
         held2 = now == model.p2
         put_bit(held2, model.first(), every)
-        model.learn(0, held2.astype(np.int64), 1)
-        asked = ~held2 & ~model.agree
+        model.learn(0, held2, None)
+        asked = ~(held2 | model.agree)
         held1 = asked & (now == model.p1)
         if asked.any():
             put_bit(held1, model.second(), asked)
-            model.learn(1, held1.astype(np.int64), asked.astype(np.int64))
+            model.learn(1, held1, asked)
         rest = ~(held2 | held1)
-        kind = _KIND.take(now)
-        grown = np.cumsum(model.magnitude, axis=0)
-        f = model.magnitude[kind, lane]
-        unit = np.where(rest, rng // grown[-1].astype(_U), rng)
-        put(np.where(rest, grown[kind, lane] - f, 0).astype(_U), np.where(rest, f, 1).astype(_U), unit)
-        model.magnitude[kind, lane] += np.where(rest, 24, 0)
-        # the bits below the leading one: up to three by frequency, the rest as they are
-        tail = np.maximum(kind - _LEAD, 0)
-        low_bits = (now + 1) & ((1 << kind) - 1)
-        lead = low_bits >> tail
-        table = model.leading[kind, :, lane]
-        wide = kind >= _LEAD
-        told = rest & (kind > 0)
-        grown = np.cumsum(table, axis=1)
-        size = np.minimum(1 << kind, 8)
-        total = grown[lane, size - 1]
-        f = table[lane, lead]
-        unit = np.where(told, rng // total.astype(_U), rng)
-        put(np.where(told, grown[lane, lead] - f, 0).astype(_U), np.where(told, f, 1).astype(_U), unit)
-        model.leading[kind, lead, lane] += np.where(told, 16, 0)
-        even = rest & wide & (tail > 0)
-        bits = np.where(even, tail, 0).astype(_U)
-        put(np.where(even, low_bits & ((1 << tail) - 1), 0).astype(_U), np.ones(lanes, dtype=_U), rng >> bits)
-        model.take(now, np.where(rest, kind, _CLASSES), step)
+        slot = _SLOT.take(now)
+        grown = model.grown().reshape(-1)
+        at = slot * lanes + lane
+        f = model.flat.take(at)
+        put(np.where(rest, grown.take(at) - f, 0).astype(_U), np.where(rest, f, 1).astype(_U), np.where(rest, rng // grown[-lanes:].astype(_U), rng))
+        tail = np.where(rest, _TAIL.take(now), 0)
+        put(((now + 1) & ((1 << tail) - 1)).astype(_U), one, rng >> tail.astype(_U))
+        model.take(now, slot, rest, step)
     for shift in (_S16, _U(0)):
         out[pos] = (low >> shift) & _U(0xFFFF)
         pos += 1
@@ -243,47 +249,32 @@ def decode_blocks(words: list[np.ndarray], steps: int) -> np.ndarray:
         took(cum if whole else np.where(on, cum, _U(0)), freq if whole else np.where(on, freq, _U(1)), unit)
         return bit
 
-    every = np.ones(lanes, dtype=bool)
+    every, one = np.ones(lanes, dtype=bool), np.ones(lanes, dtype=_U)
     for step in range(steps):
         model.look()
         held2 = get_bit(model.first(), every)
-        model.learn(0, held2.astype(np.int64), 1)
-        asked = ~held2 & ~model.agree
+        model.learn(0, held2, None)
+        asked = ~(held2 | model.agree)
         held1 = np.zeros(lanes, dtype=bool)
         if asked.any():
             held1 = get_bit(model.second(), asked)
-            model.learn(1, held1.astype(np.int64), asked.astype(np.int64))
+            model.learn(1, held1, asked)
         rest = ~(held2 | held1)
-        grown = np.cumsum(model.magnitude, axis=0)
+        grown = model.grown()
         total = grown[-1]
         unit = np.where(rest, rng // total.astype(_U), rng)
-        target = np.minimum((code // unit).astype(np.int64), total - 1)
-        kind = np.where(rest, (grown <= target).sum(axis=0), 0)
-        f = model.magnitude[kind, lane]
-        took(np.where(rest, grown[kind, lane] - f, 0).astype(_U), np.where(rest, f, 1).astype(_U), unit)
-        model.magnitude[kind, lane] += np.where(rest, 24, 0)
-        tail = np.maximum(kind - _LEAD, 0)
-        table = model.leading[kind, :, lane]
-        told = rest & (kind > 0)
-        grown = np.cumsum(table, axis=1)
-        top = np.minimum(1 << kind, 8)
-        total = grown[lane, top - 1]
-        unit = np.where(told, rng // total.astype(_U), rng)
-        target = np.minimum((code // unit).astype(np.int64), total - 1)
-        lead = np.where(told, (grown <= target[:, None]).sum(axis=1), 0)
-        lead = np.minimum(lead, 7)
-        f = table[lane, lead]
-        took(np.where(told, grown[lane, lead] - f, 0).astype(_U), np.where(told, f, 1).astype(_U), unit)
-        model.leading[kind, lead, lane] += np.where(told, 16, 0)
-        even = rest & (tail > 0)
-        bits = np.where(even, tail, 0).astype(_U)
-        unit = rng >> bits
-        low_bits = np.where(even, np.minimum((code // unit).astype(np.int64), (1 << tail) - 1), 0)
-        took(low_bits.astype(_U), np.ones(lanes, dtype=_U), unit)
-        literal = (1 << kind) - 1 + (lead << tail) + low_bits
-        now = np.where(held2, model.p2, np.where(held1, model.p1, literal)) & MOST_ID
+        target = np.minimum((code // unit).astype(np.int64), total - 1).astype(np.int32)
+        slot = np.where(rest, (grown <= target).sum(axis=0), 0)
+        at = slot * lanes + lane
+        f = model.flat.take(at)
+        took(np.where(rest, grown.reshape(-1).take(at) - f, 0).astype(_U), np.where(rest, f, 1).astype(_U), unit)
+        tail = np.where(rest, _TAIL_OF.take(slot), 0)
+        unit = rng >> tail.astype(_U)
+        bits = np.minimum((code // unit).astype(np.int64), (1 << tail) - 1)
+        took(bits.astype(_U), one, unit)
+        now = np.where(held2, model.p2, np.where(held1, model.p1, _BASE_OF.take(slot) + bits - 1)) & MOST_ID
         ids[step] = now
-        model.take(now, np.where(rest, kind, _CLASSES), step)
+        model.take(now, slot, rest, step)
     return ids
 
 
@@ -397,6 +388,16 @@ class _Tokens:
         return out, np.diff(edge)
 
 
+_SHARED: dict[str, _Tokens] = {}
+
+
+def shared_tokens(path: str) -> _Tokens:
+    """One for each worker process, so that what one task has learned serves the next."""
+    if path not in _SHARED:
+        _SHARED[path] = _Tokens(path)
+    return _SHARED[path]
+
+
 _VALUE = W.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -406,7 +407,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
 
 def _pack(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = _Tokens(path), TaskContext.get().partitionId()
+        tokens, part = shared_tokens(path), TaskContext.get().partitionId()
         docs, counts, ids, total, segment = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
