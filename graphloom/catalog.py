@@ -463,6 +463,63 @@ def contested_coordinates(spark, d):
     return owned.groupBy("coordinate").agg(F.count_distinct("repo").alias("repos"))
 
 
+@query("blob_lookup", f"WITH {W.PATHS_SQL} SELECT repo, path, CASE WHEN length(path) % 3 > 0 THEN md5(path) END AS blob FROM paths")
+def blob_lookup(spark, d):
+    files = W.paths(spark, d)
+    known = files.where(F.length("path") % 3 > 0).select("repo", "path", F.md5("path").alias("sha"))
+    return listing.blob_lookup(files, known)
+
+
+@query("listing_notes", f"""WITH {W.PATHS_SQL} SELECT DISTINCT repo, list_aggregate(dirs, 'string_agg', '/') || ': holds a manifest below the depth cap (4)' AS message FROM classed WHERE depth > 4 AND NOT shut AND base IN ('Cargo.toml', 'go.mod', 'package.json')
+    UNION ALL SELECT DISTINCT repo, 'file listing was truncated by the API — this scan is incomplete' FROM paths WHERE repo LIKE '%7'""")
+def listing_notes(spark, d):
+    return collect.listing_notes(W.paths(spark, d).withColumn("truncated", c("repo").endswith("7")))
+
+
+@query("lock_repos", f"""WITH {W.PATHS_SQL}, u AS (SELECT repo, string_agg(DISTINCT path, ',' ORDER BY path) AS unexamined FROM paths WHERE path IN ('.vigil.toml', 'compatibility.json') GROUP BY repo)
+    SELECT 'r' || s_suppkey AS slug, CASE WHEN s_suppkey % 4 = 0 THEN 'restricted' ELSE 'public' END AS visibility, s_suppkey % 4 > 0 AS read, CASE WHEN s_suppkey % 4 > 0 THEN coalesce(unexamined, '') ELSE '' END AS unexamined
+    FROM supplier LEFT JOIN u ON repo = 'r' || s_suppkey""")
+def lock_repos(spark, d):
+    k = c("s_suppkey")
+    roster = t(spark, d, "supplier").select(F.concat(F.lit("r"), k).alias("slug"), F.concat(F.lit("o/r"), k).alias("github"), F.lit(True).alias("on_map"), F.lit("/x").alias("checkout"), k.alias("k"))
+    seen = roster.select("github", F.when(c("k") % 4 == 0, "restricted").otherwise("public").alias("visibility"))
+    return collect.lock_repos(collect.route(roster, seen), W.paths(spark, d)).select("slug", "visibility", "read", F.array_join("unexamined", ",").alias("unexamined"))
+
+
+@query("entity_assembly", f"""{_EDGES}, a AS (SELECT "from" AS id, count(DISTINCT "to") AS n FROM edges GROUP BY 1), b AS (SELECT "to" AS id, count(DISTINCT "from") AS n FROM edges GROUP BY 1), m AS (SELECT 's' || l_suppkey AS id, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT ent.id, CASE WHEN CAST(substr(ent.id, 2) AS INT) % 2 = 0 THEN 'project' ELSE 'repository' END AS kind, CAST(coalesce(m.n, 0) AS INT) AS manifests_read, CAST(coalesce(a.n, 0) AS INT) AS depends, CAST(coalesce(b.n, 0) AS INT) AS depended
+    FROM ent LEFT JOIN a ON a.id = ent.id LEFT JOIN b ON b.id = ent.id LEFT JOIN m ON m.id = ent.id""")
+def entity_assembly(spark, d):
+    from .plans.derive import entity_assembly as assemble
+    from .schemas import AUTHORED, LINKS
+
+    repos = W.entities(spark, d).select(c("id").alias("slug"), F.concat(F.lit("o/"), "id").alias("github"), c("repo_visibility").alias("visibility"), c("sources_read").alias("read"), F.array().cast("array<string>").alias("unexamined"))
+    counts = t(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("repo")).agg(F.count("*").alias("manifests"))
+    authored = F.from_json(F.lit('{"name": "x", "status": "active", "visibility": "public", "relationships": []}'), AUTHORED)
+    projects = repos.where(F.substr("slug", F.lit(2)).cast("int") % 2 == 0).select("slug", authored.alias("authored"), F.expr(f"cast(array() as {LINKS})").alias("links"))
+    out = assemble(repos, counts, projects, W.edges(spark, d))
+    return out.select("id", "kind", "manifests_read", F.size("derived.depends_on").alias("depends"), F.size("derived.depended_on_by").alias("depended"))
+
+
+@query("contract_entities", """SELECT 'entities.n' || n_nationkey || '.' || f AS path, m AS message FROM nation, (VALUES ('kind', 'is no entity kind', 3), ('repo_visibility', 'is no visibility', 4), ('authored', 'a project entity must carry its authored block', 5), ('manifests_read', 'must be 0 or more', 7)) AS v(f, m, k) WHERE n_nationkey % k = 0 AND (f <> 'kind' OR n_nationkey % 5 <> 0)""")
+def contract_entities(spark, d):
+    from .schemas import struct
+
+    k = c("n_nationkey")
+    kinds = {f.name: f.dataType for f in struct("entity").fields}
+    values = {
+        "id": F.concat(F.lit("n"), k),
+        "kind": F.when(k % 5 == 0, "project").when(k % 3 == 0, "other").otherwise("repository"),
+        "repo_visibility": F.when(k % 4 == 0, "open").otherwise("public"),
+        "sources_read": F.lit(True),
+        "manifests_read": F.when(k % 7 == 0, -1).otherwise(0),
+        "unexamined": F.array(),
+        "derived": F.struct(F.array().alias("depends_on"), F.array().alias("depended_on_by")),
+        "links": F.array(F.struct(F.lit("docs").alias("label"), F.lit("x").alias("href"))),
+    }
+    return G.entity_issues(t(spark, d, "nation").select(*[values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()]))
+
+
 # ---------------------------------------------------------------- ranks, places, contract, reports, stream
 
 
@@ -497,6 +554,14 @@ def layout(spark, d):
     return rank.layout(rank.rank_entities(*_fk_graph(spark, d)))
 
 
+@query("diagram_boxes", f"""WITH RECURSIVE {_RANKS}, w2 AS (SELECT id, rank, greatest(78, CAST(floor(length(id) * 7.3::DOUBLE + 22.5) AS BIGINT)) AS w FROM ranks),
+    rw AS (SELECT rank, sum(w) + (count(*) - 1) * 26 AS rw FROM w2 GROUP BY rank), cv AS (SELECT greatest(320, max(rw)) + 56 AS width, max(rank) AS top FROM rw),
+    l AS (SELECT id, CAST(floor((width - rw) / 2.0 + 0.5) + coalesce(sum(w + 26) OVER (PARTITION BY rank ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x, 28 + (top - rank) * 86 AS y, w FROM w2 JOIN rw USING (rank), cv)
+    SELECT id, '    <g class="node"><rect class="node-box" x="' || x || '" y="' || y || '" width="' || w || '" height="26" /><text class="node-label" x="' || (x + w // 2) || CASE WHEN w % 2 = 1 THEN '.5' ELSE '' END || '" y="' || (y + 14) || '">' || id || '</text></g>' AS line FROM l""")
+def diagram_boxes(spark, d):
+    return diagram.boxes(rank.layout(rank.rank_entities(*_fk_graph(spark, d))))
+
+
 @query("edge_paths", """SELECT l_orderkey, l_linenumber, 'M' || (l_partkey + 39) || ' ' || (l_suppkey + 26) || ' C' || (l_partkey + 39) || ' ' || m || ' ' || (l_linenumber + 39) || ' ' || m || ' ' || (l_linenumber + 39) || ' ' || l_orderkey AS d
     FROM (SELECT *, CASE WHEN (l_suppkey + 26 + l_orderkey) % 2 = 0 THEN CAST((l_suppkey + 26 + l_orderkey) // 2 AS VARCHAR) ELSE CAST((l_suppkey + 26 + l_orderkey) // 2 AS VARCHAR) || '.5' END AS m FROM lineitem)""")
 def edge_paths(spark, d):

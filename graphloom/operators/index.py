@@ -21,7 +21,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def publishes(facts: Facts, executables: bool = False) -> DataFrame:
     """repo, where, coordinate, kind of everything that manifests publish; with executables, launch commands too."""
     one = lambda fmt, what, kind: facts[fmt].select("repo", F.col("path").alias("where"), F.explode(what).alias("coordinate"), F.lit(kind).alias("kind"))
-    parts = []
+    null = F.lit(None).cast("string")
+    parts = [f.limit(0).select("repo", F.col("path").alias("where"), null.alias("coordinate"), null.alias("kind")) for f in facts.values()][:1]
     if "cargo" in facts:
         parts.append(one("cargo", "facts.publishes", "crate-name"))
     if "gomod" in facts:

@@ -55,7 +55,7 @@ def resolve_against(wants: DataFrame, ownership: DataFrame, order: list[str] | N
 
 def resolve_url(wants: DataFrame, repos: DataFrame) -> DataFrame:
     """wants (want, ...) whose coordinate is owner/repo, with the roster's slug as repo; no index is consulted."""
-    known = repos.select(F.lower("github").alias("key"), F.col("slug").alias("repo")).dropDuplicates(["key"])
+    known = repos.groupBy(F.lower("github").alias("key")).agg(F.min("slug").alias("repo"))
     return wants.join(known, F.lower(wants["want"]) == known["key"], "left").drop("key")
 
 
