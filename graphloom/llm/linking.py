@@ -115,38 +115,45 @@ def components(links: DataFrame) -> DataFrame:
         edges._saved_at = after._saved_at
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least_percent: int | None = None) -> DataFrame:
+def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least_percent: int) -> DataFrame:
     """id, root over all verified pairs that share a key, without emitting the pairs of a group of likes.
 
-    First every member of a key is held against the key's first member. Then only pairs whose members are
+    First members of a key are held against the key's first member. Then only pairs whose members are
     still in different components are held against each other: no link between components is lost.
     least_percent: 100 x the smaller n must be that many percent of the larger n at least.
-    verify takes pairs (a, b) and returns those that are links."""
+    fetch takes a table of ids, all that share a key, and returns one with what verify needs of each.
+    verify takes pairs (a, b) and that table, and returns those pairs that are links."""
     rows = saved(shared_keys(members))
-    fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {least_percent} * greatest({x}, {y})") if least_percent else F.lit(True)
-    star = rows.where("id <> pivot").where(fits("n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = saved(verify(star))
+    held = saved(fetch(rows.select("id").distinct()))
+    fits = F.expr(f"100 * least(x_n, y_n) >= {least_percent} * greatest(x_n, y_n)")
+    star = rows.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("x_n"), F.col("pivot_n").alias("y_n"))
+    first = saved(verify(star.where(fits).select("a", "b").distinct(), held))
     roots = components(first)
     # A key's members that are all of one component need no more.
-    label = rows.join(roots, "id", "left").select("key", "id", "n", "pivot", "pivot_n", F.coalesce("root", "id").alias("root"))
-    label = saved(label)
+    label = saved(rows.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
     mixed = label.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = label.join(mixed, "key", "left_semi")
-    left = saved(left)
+    left = saved(label.join(mixed, "key", "left_semi"))
     dropped(label)
-    x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "root")])
-    y = left.select("key", "pivot", "pivot_n", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "root")])
-    pairs = x.join(y, "key").where("x_id > y_id and x_root <> y_root").where(fits("x_n", "y_n"))
-    pairs = pairs.where("y_id <> pivot").select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-    second = saved(verify(pairs))
+    x = left.select("key", F.col("id").alias("a"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
+    y = left.select("key", F.col("id").alias("b"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
+    second = saved(verify(x.join(y, "key").where("a > b and x_root <> y_root").where(fits).select("a", "b").distinct(), held))
     dropped(rows)
     dropped(left)
     out = components(first.unionByName(second))
-    for t in (first, second, roots):
+    for t in (first, second, roots, held):
         dropped(t)
     return out
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if its count allows it, and dealt out like the other if not."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 BLOOM_BITS = 26
 
 

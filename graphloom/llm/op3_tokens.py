@@ -451,7 +451,7 @@ def tokenizer_path() -> str:
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of docs (doc_id, text), by the tokenizer file at path, in ascending order of doc_id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = source.repartitionByRange(parts(source), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = W.small_batches(source).repartitionByRange(parts(source), "doc_id").sortWithinPartitions("doc_id", "text")
     kinds = "part int, segment int, doc_ids array<long>, counts array<long>, n_ids long, data binary"
     dealt.mapInArrow(_pack(path or tokenizer_path(), end_id), kinds).write.option("compression", "uncompressed").parquet(folder)
 

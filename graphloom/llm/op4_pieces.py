@@ -441,7 +441,7 @@ def encode(docs: DataFrame, path: str | None = None, carry: list[str] | None = N
     trie = Trie(Vocabulary.load(path or model_path()))
     source = docs.select(F.struct(*(carry or ["doc_id"])).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kinds = f"row {source.schema['row'].dataType.simpleString()}, ids array<int>, round_trip boolean"
-    return source.mapInArrow(_encode(trie), kinds).select("row.*", "ids", "round_trip")
+    return W.small_batches(source).mapInArrow(_encode(trie), kinds).select("row.*", "ids", "round_trip")
 
 
 def decode(coded: DataFrame, path: str | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -458,7 +458,7 @@ def decode(coded: DataFrame, path: str | None = None, carry: list[str] | None =
             text = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string())], names=["row", "text"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, text string").select("row.*", "text")
+    return W.small_batches(source).mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, text string").select("row.*", "text")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

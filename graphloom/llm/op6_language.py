@@ -239,7 +239,7 @@ def predict(docs: DataFrame, net: Network | None, carry: list[str]) -> DataFrame
     """The carried columns of docs, lang_pred and score."""
     source = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
     kinds = f"row {source.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return source.mapInArrow(predict_batches(net), kinds).select("row.*", "lang_pred", "score")
+    return W.small_batches(source).mapInArrow(predict_batches(net), kinds).select("row.*", "lang_pred", "score")
 
 
 def held_out(doc_id="doc_id"):

@@ -203,6 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     source = source.withColumn("row_id", ident)
     kinds = f"row {source.schema['row'].dataType.simpleString()}, row_id string, {FOUND}"
     out = None
+    W.small_batches(source)
     for k in range(blocks):
         rows = [(r[0], r[1]) for r in (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items).collect()]
         block = Windows(rows, window, shingle)

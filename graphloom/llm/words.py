@@ -12,11 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are scanned at once; a larger document makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch: a batch of texts or token lists stays at a few MB on both sides of the pipe.
+BATCH_ROWS = 2000
 
 U64 = np.uint64
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to BATCH_ROWS rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -146,9 +160,17 @@ def shingles(hashes: np.ndarray, per: np.ndarray, n: int) -> tuple[np.ndarray, n
     return docs, values
 
 
+def by_doc(docs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by document, then value."""
+    if len(docs) and int(docs[-1]) < 1 << 16 and int(docs.max()) < 1 << 16:  # numpy sorts 16-bit keys by radix
+        order = np.argsort(values)
+        return order[np.argsort(docs[order].astype(np.uint16), kind="stable")]
+    return np.lexsort((values, docs))
+
+
 def unique_per_doc(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct values, ascending within the document."""
-    order = np.lexsort((values, docs))
+    order = by_doc(docs, values)
     docs, values = docs[order], values[order]
     new = np.ones(len(docs), dtype=bool)
     new[1:] = (docs[1:] != docs[:-1]) | (values[1:] != values[:-1])
