@@ -2,19 +2,23 @@
 
 Documents of one shingle set are one class, found by a 128-bit fingerprint of
 the set; one document stands for it. The representatives are partitioned into
-groups of about GROUP similar documents (by their rarest shingle in a global
-order, a minimum hash), and each group keeps the union of its tokens.
+groups of about GROUP similar documents (by a minimum hash of their shingles
+and their size), and each group keeps the union of its tokens.
 
 A query document's overlap with any member is at most its overlap with the
 group's union, so a group that bounds below the needed overlap is never opened.
 Which groups can qualify at all follows from necessary tokens: of n tokens in
 the global order (rare ones first) the first n - ceil(0.8 n) + 1 must hold one
-that the partner's first tokens hold too. Opened groups are verified member by
+that the partner's first tokens hold too, and of two sets of like size nearly
+half of them. Opened groups are verified member by
 member on exact intersection sizes.
 
-All links between different components are found (see linking.linked); pairs
-inside a component that is already connected are not, so a group of thousands
-of near copies costs a pass over it, not its square.
+Documents are first held against the group of the first document that shares a
+necessary token. Then the matrix (necessary token x group) tells how many such
+tokens each document shares with each group that has other components than its
+own, and groups whose bound is too low stay closed. No link between components
+is lost; pairs inside a component that is already connected are not looked for, so
+a group of thousands of near copies costs a pass over it, not its square.
 
 Shingles are told apart by 64-bit hashes. Defined results: a null or wordless
 text has the empty set and is its own component; a row without an id takes its
@@ -28,18 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .linking import bloom, bloom_bits, components, dropped, linked, maybe, parts, saved  # noqa: F401
+from .linking import bloom, bloom_bits, components, dropped, maybe, parts, saved, shared_keys, sized
 
 SHINGLE = 5
 PERCENT = 80
-GROUP = 16
+GROUP = 64
+#: Sizes within a group differ by this factor at most, so that a group's sizes say whether a query can match.
+SIZE_BAND = 1.12
 QUERIES_PER_TASK_GROUP = 256
 #: Frequent shingles that the global order knows as such; any order is right, this one is fast.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 
 
 def _sets(part: pa.RecordBatch, width: int):
@@ -61,12 +67,12 @@ def _sketch(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=2 << 20):
                 docs, values, counts = _sets(part, width)
                 one = _per_doc(W.mix(values), counts)
                 two = _per_doc(W.mix(values ^ np.uint64(0x5851F42D4C957F2D)), counts)
                 token, many = np.unique(values, return_counts=True)
-                often = many >= 3
+                often = many >= 2
                 token, many = token[often], many[often]
                 n, m = part.num_rows, len(token)
                 yield pa.RecordBatch.from_arrays(
@@ -84,23 +90,27 @@ def _sketch(width: int):
 
 
 def _prefixes(width: int, percent: int, token: np.ndarray, rank: np.ndarray):
-    """Each document's first tokens in the global order."""
+    """Each document's first tokens in the global order, and the minimum hash of all its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
                 docs, values, counts = _sets(part, width)
+                start = np.cumsum(counts) - counts
+                least = np.zeros(len(counts), dtype=np.uint64)
+                if len(values):
+                    least[counts > 0] = np.minimum.reduceat(W.mix(values ^ np.uint64(0x2545F4914F6CDD1D)), start[counts > 0])
                 order_key = values >> np.uint64(1)
                 if len(token):
                     at = np.minimum(np.searchsorted(token, values), len(token) - 1)
                     known = token[at] == values
                     order_key[known] = np.uint64(1 << 63) | rank[at[known]]
-                order = np.lexsort((order_key, docs))
+                order = W.by_doc(docs, order_key)
                 docs, values = docs[order], values[order]
                 size = counts - -(-counts * percent // 100) + (counts > 0)
                 first = np.cumsum(counts) - counts
                 keep = np.arange(len(docs)) - first[docs] < size[docs]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), W.lists(W.signed(values[keep]), size, pa.int64())], names=["id", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(W.signed(least)), W.lists(W.signed(values[keep]), size, pa.int64())], names=["id", "n", "least", "prefix"])
 
     return run
 
@@ -120,10 +130,19 @@ def _tokens(width: int, bitmap: np.ndarray):
 
 
 def _open(percent: int):
-    """Rows (grp, salt, role, id, tokens) in order of group and role: members first, then queries; gives links (a, b)."""
+    """Rows (grp, salt, role, id, tokens) in order of group and role: members first, then queries; gives edges (a, b).
+
+    A query's edge goes to one member that it links to; other members that it links to are joined to that one, once
+    for the group. So there are no more edges than queries and members, and the components are those of all links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held, ready = None, [], [], None
+        now, ids, held, ready, joined = None, [], [], None, []
+
+        def top(k: int) -> int:
+            while joined[k] != k:
+                joined[k] = k = joined[joined[k]]
+            return k
+
         for batch in batches:
             out_a, out_b = [], []
             group, salt, role, doc = (np.asarray(batch.column(i)) for i in range(4))
@@ -144,6 +163,7 @@ def _open(percent: int):
                     every = np.concatenate(held)
                     order = np.argsort(every, kind="stable")
                     ready = (every[order], np.repeat(np.arange(len(held)), size)[order], size, np.array(ids))
+                    joined[:] = range(len(held))
                 union, owner, size, members = ready
                 low = np.searchsorted(union, mine)
                 hit = low < len(union)
@@ -157,9 +177,16 @@ def _open(percent: int):
                 both = np.bincount(owner[place], minlength=len(size))
                 link = (100 + percent) * both >= percent * (len(mine) + size)
                 link &= members != doc[i]
-                found = members[link]
-                out_a += [doc[i]] * len(found)
-                out_b += found.tolist()
+                found = np.flatnonzero(link).tolist()
+                if found:
+                    out_a.append(doc[i])
+                    out_b.append(members[found[0]])
+                for k in found[1:]:
+                    x, y = top(found[0]), top(k)
+                    if x != y:
+                        joined[y] = x
+                        out_a.append(members[k])
+                        out_b.append(members[found[0]])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return run
@@ -168,34 +195,62 @@ def _open(percent: int):
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    W.small_batches(source)
     sketch = saved(source.mapInArrow(_sketch(width), "kind int, id long, fp1 long, fp2 long, n long"))
     sets = sketch.where("kind = 0").select(F.col("id").alias("doc_id"), "fp1", "fp2", "n")
-    often = sketch.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
+    often = sketch.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
     token = np.array([r[0] for r in often], dtype=np.int64).view(np.uint64)
     rank = np.arange(len(often), 0, -1).astype(np.uint64)
     order = np.argsort(token)
     classes = saved(sets.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id")))
-    firsts = source.where("text <> ''").mapInArrow(_prefixes(width, percent, token[order], rank[order]), "id long, n long, prefix array<long>")
-    stand = saved(firsts.where("n > 0").join(classes.select("id").where("id is not null").distinct(), "id", "left_semi"))
-    # Groups of similar documents: by the first token, in as many parts as keep them small.
-    keyed = stand.select("id", "n", F.col("prefix")[0].alias("first"))
+    firsts = source.where("text <> ''").mapInArrow(_prefixes(width, percent, token[order], rank[order]), "id long, n long, least long, prefix array<long>")
+    first_ids = saved(classes.select("id").where("id is not null").distinct())
+    stand = saved(firsts.where("n > 0").join(sized(first_ids), "id", "left_semi"))
+    # Groups of similar documents: by the minimum hash of all tokens and a band of sizes, in as many parts as keep them small.
+    keyed = stand.select("id", "n", F.xxhash64("least", F.floor(F.log("n") / np.log(SIZE_BAND))).alias("first"))
     many = keyed.groupBy("first").agg(F.ceil(F.count("*") / group).alias("shares"))
-    groups = saved(keyed.join(many, "first").select("id", F.xxhash64("first", F.pmod(F.xxhash64("id"), "shares")).alias("grp")))
-    members = stand.select(F.explode("prefix").alias("key"), "id", "n")
+    groups = saved(keyed.join(many, "first").select("id", "n", F.xxhash64("first", F.pmod(F.xxhash64("id"), "shares")).alias("grp")))
+    spans = groups.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    rows = saved(shared_keys(stand.select(F.explode("prefix").alias("key"), "id", "n")))
+    # Of two sets the one whose prefix ends first in the order overlaps the other in the shared part of the prefixes and
+    # beyond its own prefix at most, where it has ceil(p n) - 1 tokens; p / (1 + p) of both sizes are needed.
+    behind = lambda n: f"cast(ceil({n} * {percent} / 100.0) as long) - 1"
+    bound = lambda low, high: f"100 * {high} >= {percent} * x_n and 100 * x_n >= {percent} * {low} and {100 + percent} * (shared + greatest({behind('x_n')}, {behind(high)})) >= {percent} * (x_n + {low})"
 
     def verify(pairs: DataFrame) -> DataFrame:
-        asked = saved(pairs.join(groups.select(F.col("id").alias("b"), "grp"), "b").select(F.col("a").alias("id"), "grp").distinct())
+        """pairs: (id, grp). The links between the document and members of the group."""
+        asked = saved(pairs)
         shares = asked.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES_PER_TASK_GROUP).alias("shares"))
-        inside = saved(groups.join(shares, "grp"))
-        need = asked.select("id").unionByName(inside.select("id")).distinct()
-        coded = source.select("doc_id", "text", *bloom_bits()).where("doc_id is not null and text <> ''").mapInArrow(_tokens(width, bloom(need)), "id long, tokens array<long>")
-        tokens = saved(coded.join(need, "id", "left_semi"))
+        inside = saved(groups.select("id", "grp").join(shares, "grp"))
         opened = inside.select("id", "grp", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("salt"), F.lit(0).alias("role"))
         queries = asked.join(shares, "grp").select("id", "grp", F.pmod(F.xxhash64("id"), "shares").cast("int").alias("salt"), F.lit(1).alias("role"))
-        rows = opened.unionByName(queries).join(tokens, "id").select("grp", "salt", "role", "id", "tokens")
-        return rows.repartition(parts(rows), "grp", "salt").sortWithinPartitions("grp", "salt", "role").mapInArrow(_open(percent), "a long, b long").distinct()
-
-    roots = linked(members, verify, percent)
+        places = saved(opened.unionByName(queries))
+        coded = source.select("doc_id", "text", *bloom_bits()).where("doc_id is not null and text <> ''").mapInArrow(_tokens(width, bloom(places.select("id").distinct())), "id long, tokens array<long>")
+        sent = coded.join(sized(places), "id").select("grp", "salt", "role", "id", "tokens")
+        out = saved(sent.repartition(parts(sent), "grp", "salt").sortWithinPartitions("grp", "salt", "role").mapInArrow(_open(percent), "a long, b long"))
+        for t in (asked, inside, places):
+            dropped(t)
+        return out
+
+    star = rows.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared"), F.min("n").alias("x_n"), F.min("pivot_n").alias("y_n")).where(bound("y_n", "y_n"))
+    first = verify(star.select("id", F.col("pivot").alias("other")).join(groups.select(F.col("id").alias("other"), "grp"), "other").select("id", "grp").distinct())
+    roots = components(first)
+    label = rows.join(roots, "id", "left").join(groups.select("id", "grp"), "id").select("key", "id", "n", "grp", F.coalesce("root", "id").alias("root"))
+    label = saved(label)
+    mixed = label.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = saved(label.join(mixed, "key", "left_semi"))
+    # Two documents of sizes x and y share at least `least` necessary tokens, if they link; so one that they share is not
+    # among the least - 1 most frequent ones of the first, and those need not be looked up.
+    often = left.groupBy("key").agg(F.count("*").alias("often"))
+    place = Window.partitionBy("id").orderBy(F.desc("often"), "key")  # a document's own necessary tokens
+    probes = left.join(often, "key").select("key", "id", "n", "grp", "root", F.row_number().over(place).alias("place"))
+    matrix = left.groupBy("key", F.col("grp").alias("y_grp")).agg(F.min("root").alias("y_low"), F.max("root").alias("y_high")).join(spans.withColumnRenamed("grp", "y_grp"), "y_grp")
+    least = f"ceil({percent} * (n + low) / {100 + percent}.0) - ceil({percent} * greatest(n, high) / 100.0) + 1"
+    met = probes.join(matrix, "key").where(f"grp >= y_grp and (y_low <> root or y_high <> root) and 100 * high >= {percent} * n and 100 * n >= {percent} * low and place >= {least}")
+    second = verify(met.select("id", F.col("y_grp").alias("grp")).distinct())
+    for t in (rows, label, left):
+        dropped(t)
+    roots = components(first.unionByName(second))
     named = saved(classes.join(roots, "id", "left").select("fp1", "fp2", "n", F.coalesce("root", "id").alias("root")))
     out = sets.join(named, ["fp1", "fp2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
@@ -207,8 +262,8 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns of the documents that are the smallest id of their component."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*columns).join(gone, "doc_id", "left_anti").select(*columns)
+    gone = saved(jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.select(*columns).join(sized(gone), "doc_id", "left_anti").select(*columns)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
