@@ -8,7 +8,7 @@ confidence of the reader that asks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_string
@@ -118,8 +118,9 @@ def drawable(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 def one_line_each(edges: DataFrame) -> DataFrame:
     """The first edge of each (from, to, kind) in drawing order: by the three run together, then by rule."""
-    first = Window.partitionBy("from", "to", "kind").orderBy("resolved_by", F.col("evidence.path"))
-    return edges.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("draw_key", F.concat("from", "to", "kind"))
+    rest = [c for c in edges.columns if c not in ("from", "to", "kind")]
+    first = F.min_by(F.struct(*rest), F.struct("resolved_by", F.col("evidence.path")))
+    return edges.groupBy("from", "to", "kind").agg(first.alias("e")).select("from", "to", "kind", "e.*", F.concat("from", "to", "kind").alias("draw_key"))
 
 
 def weak_only(weak_edges: DataFrame, edges: DataFrame) -> DataFrame:

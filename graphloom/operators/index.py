@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import escapes_root
@@ -40,9 +40,10 @@ def publishes(facts: Facts, executables: bool = False) -> DataFrame:
 def build_ownership(claims: DataFrame) -> DataFrame:
     """claims (repo, where, coordinate, kind) with `contested`: whether another repository claims the same coordinate of the kind.
 
-    A count of distinct repositories over a window is min <> max: no set is gathered for a coordinate that thousands claim."""
-    per = Window.partitionBy("kind", "coordinate")
-    return claims.withColumn("contested", F.min("repo").over(per) != F.max("repo").over(per)).select("coordinate", "kind", "repo", "where", "contested")
+    Whether two repositories claim a coordinate is min <> max, which is aggregated before the shuffle: no set is
+    gathered, and a coordinate that a third of all repositories claim is one row of the side that is joined back."""
+    several = claims.groupBy("kind", "coordinate").agg((F.min("repo") != F.max("repo")).alias("contested"))
+    return claims.join(several, ["kind", "coordinate"]).select("coordinate", "kind", "repo", "where", "contested")
 
 
 _LOCATORS = ["table", "line", "input", "bundle", "wire", "metaKey"]

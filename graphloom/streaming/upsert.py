@@ -7,7 +7,7 @@ changed is not parsed again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,8 +16,8 @@ from ..functions.text import git_blob_sha
 
 def newest(rows: DataFrame) -> DataFrame:
     """The newest of each (repo, path) by seq; of equal ones the greater git id."""
-    order = Window.partitionBy("repo", "path").orderBy(F.desc("seq"), F.desc("blob"))
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    rest = [c for c in rows.columns if c not in ("repo", "path")]
+    return rows.groupBy("repo", "path").agg(F.max_by(F.struct(*rest), F.struct("seq", "blob")).alias("r")).select("repo", "path", "r.*")
 
 
 def changed(arrived: DataFrame, known: DataFrame) -> DataFrame:
