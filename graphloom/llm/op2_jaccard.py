@@ -198,9 +198,9 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     W.small_batches(source)
     sketch = saved(source.mapInArrow(_sketch(width), "kind int, id long, fp1 long, fp2 long, n long"))
     sets = sketch.where("kind = 0").select(F.col("id").alias("doc_id"), "fp1", "fp2", "n")
-    often = sketch.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
-    token = np.array([r[0] for r in often], dtype=np.int64).view(np.uint64)
-    rank = np.arange(len(often), 0, -1).astype(np.uint64)
+    often = sketch.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "id").limit(FREQUENT).select("id").toArrow()
+    token = often.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    rank = np.arange(len(token), 0, -1).astype(np.uint64)
     order = np.argsort(token)
     classes = saved(sets.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id")))
     firsts = source.where("text <> ''").mapInArrow(_prefixes(width, percent, token[order], rank[order]), "id long, n long, least long, prefix array<long>")
