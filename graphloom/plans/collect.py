@@ -53,9 +53,9 @@ def parse_manifests(manifests: DataFrame, formats: list[str] = FORMATS) -> tuple
         facts[fmt] = parsed.where("facts is not null").select("repo", "path", "blob", "format", "facts")
         if fmt in ("npm", "server-json") or fmt in _TOML:
             why = F.col("toml.error") if fmt in _TOML else F.lit("not valid JSON")
-            notes.append(parsed.where("facts is null").select("repo", "path", F.concat(F.col("path"), F.lit(f": {fmt} parse failed — "), why).alias("message")))
-    empty = chosen.limit(0).select("repo", "path", F.lit("").alias("message"))
-    return facts, reduce(lambda a, b: a.unionByName(b), notes, empty)
+            notes.append(parsed.where("facts is null and text is not null").select("repo", "path", F.concat(F.col("path"), F.lit(f": {fmt} parse failed — "), why).alias("message")))
+    unread = chosen.where("content is null").select("repo", "path", F.concat(F.col("path"), F.lit(": unreadable")).alias("message"))
+    return facts, reduce(lambda a, b: a.unionByName(b), notes, unread)
 
 
 def listing_notes(files: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ There is no live HTTP connector: a listing that was fetched is a dataset of
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import dir_names, expand_home
+from ..functions.paths import classify, dir_names, expand_home
 from ..functions.text import git_blob_sha
 from ..schemas import MAX_DEPTH, SKIP_DIRS, struct
 
@@ -30,16 +32,35 @@ def is_walked(path: Column) -> Column:
     return (open_way & (F.size(dirs) <= MAX_DEPTH + 1)) | place.isin(".github", ".github/workflows")
 
 
+def walk_checkout(root: str) -> list[str]:
+    """Relative paths of a checkout's files, in order. What cannot be listed is passed over; links are not files."""
+    found = []
+    for top, dirs, names in os.walk(root):
+        rel = os.path.relpath(top, root).replace(os.sep, "/")
+        at = "" if rel == "." else rel + "/"
+        deep = 0 if rel == "." else rel.count("/") + 1
+        ours = (".github", ".github/workflows")
+        dirs[:] = sorted(d for d in dirs if deep <= MAX_DEPTH and (at + d in ours or not (d in SKIP_DIRS or d.startswith("."))) and not os.path.islink(os.path.join(top, d)))
+        found += [at + n for n in names if os.path.isfile(os.path.join(top, n)) and not os.path.islink(os.path.join(top, n))]
+    return sorted(found)
+
+
 def read_checkouts(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """repo, path, content of the walked files of checkouts, by repository. One scan for each checkout."""
-    out = spark.createDataFrame([], struct("manifest"))
-    for repo, root in sorted(roots.items()):
-        base = root.rstrip("/")
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        marker = "/" + base.removeprefix("file://").strip("/") + "/"
-        rel = F.substring_index(F.expr("url_decode(replace(path, '+', '%2B'))"), marker, -1)
-        out = out.unionByName(files.select(F.lit(repo).alias("repo"), rel.alias("path"), "content").where(is_walked(F.col("path"))))
-    return out
+    """repo, path, content of the walked files of checkouts on the driver's disk, by repository.
+
+    Only manifests are read; other files have a null content, and so has a manifest that cannot be read. (Spark's
+    own file listing passes over dot-files, and version pins and workflows are such.) Repositories by the million come
+    as a table of manifests instead."""
+    paths = [(repo, p) for repo, root in sorted(roots.items()) for p in walk_checkout(root)]
+    files = spark.createDataFrame(paths, "repo string, path string")
+    bodies = []
+    for repo, path in files.where(classify(F.col("path")).isNotNull()).collect():
+        try:
+            with open(os.path.join(roots[repo], path), "rb") as f:
+                bodies.append((repo, path, bytearray(f.read())))
+        except OSError:
+            continue
+    return files.join(spark.createDataFrame(bodies, struct("manifest")), ["repo", "path"], "left")
 
 
 def with_blob(files: DataFrame) -> DataFrame:

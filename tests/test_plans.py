@@ -115,7 +115,7 @@ def test_ranks_and_picture(spark, graph):
     assert {r["id"]: r["rank"] for r in rank.rank_entities(graph.entities, graph.edges).collect()} == {"alpha": 2, "beta": 1, "gamma": 0}
     svg = diagram.render(graph)
     assert svg == diagram.render(graph) and svg.count('class="edge edge--exact"') == 5 and "3 repositories, 4 established couplings and 0 not" in svg
-    loop = graph.edges.unionByName(graph.edges.where("resolved_by = 'git-url'").withColumnsRenamed({"from": "to", "to": "from"}).withColumn("to", F.lit("alpha")))
+    loop = graph.edges.unionByName(graph.edges.where("resolved_by = 'git-url'").withColumn("from", F.lit("gamma")).withColumn("to", F.lit("alpha")))
     with pytest.raises(ValueError, match="alpha → beta → gamma → alpha"):
         rank.rank_entities(graph.entities, loop)
 
@@ -131,11 +131,12 @@ def test_inspection(spark):
 
 
 def test_checkouts_and_index_are_read(spark, tmp_path):
-    for name in ("Cargo.toml", ".github/workflows/a.yml", ".git/config", "vendor/go.mod", "a/b/c/d/e/go.mod", "a/b/c/d/e/f/go.mod", "a b/package.json"):
+    for name in ("Cargo.toml", ".github/workflows/a.yml", ".git/config", "vendor/go.mod", ".go-version", "a/b/c/d/e/go.mod", "a/b/c/d/e/f/go.mod", "a b/package.json"):
         (tmp_path / "c" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "c" / name).write_text("x")
-    got = {r["path"] for r in listing.read_checkouts(spark, {"r": str(tmp_path / "c")}).collect()}
-    assert got == {"Cargo.toml", ".github/workflows/a.yml", "a/b/c/d/e/go.mod", "a b/package.json"}
+    got = {r["path"]: r["content"] for r in listing.read_checkouts(spark, {"r": str(tmp_path / "c")}).collect()}
+    assert set(got) == {"Cargo.toml", ".github/workflows/a.yml", ".go-version", "a/b/c/d/e/go.mod", "a b/package.json"}
+    assert got["a/b/c/d/e/go.mod"] is None and got[".go-version"] == b"x"  # too deep to be read
     (tmp_path / "i.json").write_text('{"schema_version": 1, "ownership": [{"coordinate": "a", "kind": "k", "repo": "r", "where": null, "contested": false}]}')
     assert [(r["ord"], r["coordinate"], r["contested"]) for r in listing.read_index(spark, str(tmp_path / "i.json")).collect()] == [(0, "a", False)]
     (tmp_path / "j.json").write_text('{"schema_version": 1}')
