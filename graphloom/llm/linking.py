@@ -161,10 +161,9 @@ def bloom(ids: DataFrame) -> np.ndarray:
     """A bitmap of 2^26 bits over the column id: false only for ids that are not there. Its size does not grow."""
     where = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << BLOOM_BITS)) for k in range(2)]
     bits = ids.select(F.explode(F.array(*where)).alias("bit"))
-    words = bits.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).collect()
+    words = bits.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
     out = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.int64)
-    for word, mask in words:
-        out[word] = mask
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out
 
 

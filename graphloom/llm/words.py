@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame
 #: Bytes of text that are scanned at once; a larger document makes a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch: a batch of texts or token lists stays at a few MB on both sides of the pipe.
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 U64 = np.uint64
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches held to BATCH_ROWS rows; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """df, with its session's Arrow batches held to BATCH_ROWS rows and BATCH_BYTES; smaller settings stay."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = (conf.get(name, None) or "").rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            conf.set(name, str(most))
     return df
 
 
