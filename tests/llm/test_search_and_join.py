@@ -170,6 +170,27 @@ def test_near_paragraphs_are_a_cluster(spark, docs, empty):
     assert op10_passages.repeated_passages(empty).collect() == []
 
 
+def test_large_group_of_near_paragraphs(spark):
+    """A thousand near copies, each with edits of its own, against brute force; other paragraphs share a passage only."""
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    base, common = make(120), make(40)
+    rows = [(0, base)]
+    for i in range(1, 1001):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            w[rng.randrange(len(w))] = f"own{i}x{rng.randrange(99)}"
+        rows.append((i, w))
+    rows += [(2000 + i, make(80) + common) for i in range(200)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    near = {i for i in sets if jaccard(sets[0], sets[i]) >= 0.8}
+    assert len(near) == 1001
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(6)
+    found = op10_passages.repeated_passages(table).where("words = 120").collect()
+    assert {(r["doc_id"], r["kept_doc"], r["removed"]) for r in found} == {(i, 0, i > 0) for i in near} and len({r["cluster_id"] for r in found}) == 1
+
+
 def test_bands_reach_the_recall():
     b = op10_passages.tune(80, 0.97, 4)
     assert 1 - (1 - 0.8**4) ** b >= 0.97 > 1 - (1 - 0.8**4) ** (b - 1)
