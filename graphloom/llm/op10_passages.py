@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .linking import saved, shared_keys
+from .linking import saved, sized
 from .op2_jaccard import jaccard_components
 
 SHINGLE = 5
@@ -146,8 +146,13 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     paragraphs = placed.join(first, "component").select(
         "doc_id", "start", "words", "cluster_id", F.col("first.doc_id").alias("kept_doc"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("removed")
     )
-    units = shared_keys(source.mapInArrow(_windows, "key long, id long, n long"))
-    passages = units.select(F.col("id").alias("doc_id"), F.col("n").alias("start"), F.lit(PASSAGE).cast("long").alias("words"), F.col("key").alias("cluster_id"), F.col("pivot").alias("kept_doc"), (F.col("id") != F.col("pivot")).alias("removed"))
+    windows = saved(source.mapInArrow(_windows, "key long, id long, n long"))
+    shared = saved(windows.groupBy("key").agg(F.min("id").alias("kept_doc"), F.max("id").alias("last")).where("kept_doc < last").drop("last"))
+    units = saved(windows.join(sized(shared), "key").distinct())
+    stays = saved(units.where("id = kept_doc").groupBy("key").agg(F.min("n").alias("first")))
+    passages = units.join(sized(stays), "key").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("start"), F.lit(PASSAGE).cast("long").alias("words"), F.col("key").alias("cluster_id"), "kept_doc", ((F.col("id") != F.col("kept_doc")) | (F.col("n") != F.col("first"))).alias("removed")
+    )
     return paragraphs.unionByName(passages)
 
 

@@ -170,6 +170,24 @@ def test_near_paragraphs_are_a_cluster(spark, docs, empty):
     assert op10_passages.repeated_passages(empty).collect() == []
 
 
+def test_every_further_occurrence_is_a_removal(spark):
+    rng = random.Random(12)
+    make = lambda n: [f"w{rng.randrange(9999)}" for _ in range(n)]
+    passage, alone = make(60), make(60)
+    rows = [(7, make(90) + passage + make(70) + passage + make(90) + alone + make(80) + alone), (3, make(200) + passage + make(90) + passage + make(80)), (9, passage + make(200)), (5, make(200))]
+    found = op10_passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    units = {}
+    for r in found:
+        units.setdefault(r["cluster_id"], []).append((r["doc_id"], r["start"], r["kept_doc"], r["removed"]))
+    w, whole = dict(rows), 0
+    for got in units.values():
+        i, n, _, _ = min(got)
+        places = sorted((j, k) for j in w for k in range(len(w[j]) - 26) if w[j][k : k + 27] == w[i][n : n + 27])
+        assert len(places) == 5 and sorted(got) == [(j, k, i, (j, k) != (i, n)) for j, k, _, _ in sorted(got)] and {x[:2] for x in got} <= set(places)
+        whole += len(got) == 5  # a unit at the passage's edge may be an anchor in some of its places only
+    assert whole
+
+
 def test_large_group_of_near_paragraphs(spark):
     """A thousand near copies, each with edits of its own, against brute force; other paragraphs share a passage only."""
     rng = random.Random(8)
