@@ -272,6 +272,34 @@ def test_line_dedup(spark, docs, empty):
     assert op8_lines.dedup_lines(empty).collect() == []
 
 
+def test_recall_against_brute_force(spark):
+    rng = random.Random(11)
+    make = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9)))
+    pairs = []
+    for n in [*range(3, 61)] * 8:
+        a = [make() for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            k = rng.randrange(len(b))
+            kind = rng.randrange(4)
+            b[k : k + 1] = [[make()], [b[k][:-1] + "z"], [b[k], make()], []][kind]
+        pairs.append((" ".join(a), " ".join(b)))
+    for _ in range(60):  # no spaces
+        a = [chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(rng.randint(8, 60))]
+        b = list(a)
+        for _ in range(rng.randint(1, len(a) // 5)):
+            b[rng.randrange(len(b))] = chr(rng.randrange(0x4E00, 0x5E00))
+        pairs.append(("".join(a), "".join(b)))
+    pairs = [(a, b) for a, b in pairs if a != b and op8_lines.alike(a, b)]
+    rows = [(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in range(2)]
+    got = {r["doc_id"]: r["n_removed"] for r in op8_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[2 * i] for i in range(len(pairs)))
+    han = [got[2 * i + 1] for i, (a, _) in enumerate(pairs) if " " not in a]
+    found = [got[2 * i + 1] for i, (a, _) in enumerate(pairs) if " " in a]
+    print("recall", len(found), sum(found) / len(found), len(han), sum(han) / len(han))
+    assert sum(found) >= 0.95 * len(found) and sum(han) == len(han)
+
+
 def test_flat_ignores_slices():
     a = pa.array(["ab", None, "cd"])
     raw, offsets = op8_lines.W.flat(a.slice(1))
