@@ -2,28 +2,21 @@
 
 What is kept between jobs is written to the folder that the session names in
 spark.checkpoint.dir, which every executor reads; a lost executor costs a
-task, not the table. Nothing here is collected: the driver sees counts only.
+task, not the table. Nothing here is collected: the driver sees counts, and the
+few most common keys.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from ..sources.store import shared_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -49,11 +42,32 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: The most common keys are told apart by a count over one row in so many; which ones they are decides the plan and no result.
+HOT_SHARE, HOT_SEEN, HOT_KEYS = 64, 16, 1024
+
+
+def hot_keys(members: DataFrame) -> list[int]:
+    """Up to HOT_KEYS keys that hold some thousand rows or more."""
+    some = members.where(F.pmod(F.xxhash64("key", "id"), F.lit(HOT_SHARE)) == 0).groupBy("key").agg(F.count("*").alias("seen"))
+    return [r[0] for r in some.where(F.col("seen") >= HOT_SEEN).orderBy(F.desc("seen"), "key").limit(HOT_KEYS).collect()]
+
+
 def shared_keys(members: DataFrame) -> DataFrame:
     """members (key long, id long, n long) with each key's first member as pivot and pivot_n; keys of one id are left out.
 
-    The rows of a key pass in order of id and are never held together, so a very common key costs no memory."""
+    The rows of a key pass in order of id and are never held together. Those of the most common keys stay where
+    they are: only their first member is found, by partial aggregates, and sent to them."""
+    members = members.select("key", "id", "n")
+    hot = hot_keys(members)
+    rest = _streamed(members.where(~F.col("key").isin(hot)) if hot else members)
+    if not hot:
+        return rest
+    there = members.where(F.col("key").isin(hot))
+    first = there.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last")
+    return rest.unionByName(there.join(F.broadcast(first), "key").select("key", "id", "n", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n")))
 
+
+def _streamed(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_id = None  # of the row before
         pivot = pivot_n = None  # of the last key
@@ -85,7 +99,7 @@ def shared_keys(members: DataFrame) -> DataFrame:
             pivot, pivot_n, last_key, last_id = p[-1], pn[-1], key[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "id", "n", "pivot", "pivot_n"])
 
-    dealt = members.select("key", "id", "n").repartition(parts(members), "key").sortWithinPartitions("key", "id", "n")
+    dealt = members.repartition(parts(members), "key").sortWithinPartitions("key", "id", "n")
     return dealt.mapInArrow(run, "key long, id long, n long, pivot long, pivot_n long")
 
 
@@ -115,33 +129,50 @@ def components(links: DataFrame) -> DataFrame:
         edges._saved_at = after._saved_at
 
 
-def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least_percent: int) -> DataFrame:
+#: Members of a key that are still in different components: up to so many are held against each other as they are.
+CROWD = 256
+
+
+def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least_percent: int, finer: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """id, root over all verified pairs that share a key, without emitting the pairs of a group of likes.
 
     First members of a key are held against the key's first member. Then only pairs whose members are
     still in different components are held against each other: no link between components is lost.
+    A key with more than CROWD such members is split by finer keys before.
     least_percent: 100 x the smaller n must be that many percent of the larger n at least.
     fetch takes a table of ids, all that share a key, and returns one with what verify needs of each.
-    verify takes pairs (a, b) and that table, and returns those pairs that are links."""
+    verify takes pairs (a, b) and that table, and returns those pairs that are links.
+    finer takes a table with an id column and fetch's table, and returns (id, sub): sub-keys, of which the
+    members of a link share one."""
     rows = saved(shared_keys(members))
-    held = saved(fetch(rows.select("id").distinct()))
+    ids = saved(rows.select("id").distinct())
+    held = saved(fetch(ids))
+    dropped(ids)
     fits = F.expr(f"100 * least(x_n, y_n) >= {least_percent} * greatest(x_n, y_n)")
     star = rows.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("x_n"), F.col("pivot_n").alias("y_n"))
     first = saved(verify(star.where(fits).select("a", "b").distinct(), held))
     roots = components(first)
     # A key's members that are all of one component need no more.
     label = saved(rows.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
-    mixed = label.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = saved(label.join(mixed, "key", "left_semi"))
+    dropped(rows)
+    mixed = label.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low < high")
+    mixed = saved(mixed.select("key", (F.col("many") > CROWD).alias("crowd")))
+    left = saved(label.join(sized(mixed), "key"))
     dropped(label)
-    x = left.select("key", F.col("id").alias("a"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    y = left.select("key", F.col("id").alias("b"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
+    few, crowd = left.where("not crowd"), left.where("crowd")
+    split = None
+    if crowd.limit(1).count():
+        subs = saved(finer(crowd.select("id").distinct(), held))
+        split = saved(crowd.join(subs, "id").select(F.xxhash64("key", "sub").alias("key"), "id", "n", "root"))
+        dropped(subs)
+        few = few.select("key", "id", "n", "root").unionByName(split)
+    x = few.select("key", F.col("id").alias("a"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
+    y = few.select("key", F.col("id").alias("b"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
     second = saved(verify(x.join(y, "key").where("a > b and x_root <> y_root").where(fits).select("a", "b").distinct(), held))
-    dropped(rows)
-    dropped(left)
     out = components(first.unionByName(second))
-    for t in (first, second, roots, held):
-        dropped(t)
+    for t in (mixed, left, split, first, second, roots, held):
+        if t is not None:
+            dropped(t)
     return out
 
 
