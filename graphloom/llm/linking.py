@@ -133,7 +133,7 @@ def components(links: DataFrame) -> DataFrame:
 CROWD = 256
 
 
-def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least_percent: int, finer: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least_percent: int, finer: Callable[[DataFrame, DataFrame], DataFrame], marks: list[str], likely: str = "true") -> DataFrame:
     """id, root over all verified pairs that share a key, without emitting the pairs of a group of likes.
 
     First members of a key are held against the key's first member. Then only pairs whose members are
@@ -143,7 +143,8 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     fetch takes a table of ids, all that share a key, and returns one with what verify needs of each.
     verify takes pairs (a, b) and that table, and returns those pairs that are links.
     finer takes a table with an id column and fetch's table, and returns (id, sub): sub-keys, of which the
-    members of a link share one."""
+    members of a link share one.
+    marks are columns of fetch's table; likely is a condition on x_<mark> and y_<mark> of the pairs past the first members."""
     rows = saved(shared_keys(members))
     ids = saved(rows.select("id").distinct())
     held = saved(fetch(ids))
@@ -152,23 +153,23 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     star = rows.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("x_n"), F.col("pivot_n").alias("y_n"))
     first = saved(verify(star.where(fits).select("a", "b").distinct(), held))
     roots = components(first)
-    # A key's members that are all of one component need no more.
-    label = saved(rows.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+    # The first member has met all others. Those that are all of one component need no more.
+    label = saved(rows.where("id <> pivot").distinct().join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
     dropped(rows)
     mixed = label.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low < high")
     mixed = saved(mixed.select("key", (F.col("many") > CROWD).alias("crowd")))
     left = saved(label.join(sized(mixed), "key"))
     dropped(label)
-    few, crowd = left.where("not crowd"), left.where("crowd")
+    few, crowd = left.where("not crowd").select("key", "id", "n", "root"), left.where("crowd")
     split = None
     if crowd.limit(1).count():
         subs = saved(finer(crowd.select("id").distinct(), held))
         split = saved(crowd.join(subs, "id").select(F.xxhash64("key", "sub").alias("key"), "id", "n", "root"))
         dropped(subs)
-        few = few.select("key", "id", "n", "root").unionByName(split)
-    x = few.select("key", F.col("id").alias("a"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    y = few.select("key", F.col("id").alias("b"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
-    second = saved(verify(x.join(y, "key").where("a > b and x_root <> y_root").where(fits).select("a", "b").distinct(), held))
+        few = few.unionByName(split)
+    few = few.join(held.select("id", *marks), "id") if marks else few
+    x, y = (few.select("key", F.col("id").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "root", *marks)]) for name, side in (("a", "x"), ("b", "y")))
+    second = saved(verify(x.join(y, "key").where("a > b and x_root <> y_root").where(fits).where(likely).select("a", "b").distinct(), held))
     out = components(first.unionByName(second))
     for t in (mixed, left, split, first, second, roots, held):
         if t is not None:

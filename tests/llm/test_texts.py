@@ -249,14 +249,17 @@ def test_distance():
 
 
 def test_simhash_is_the_majority():
-    text = b"the cat sat on the mat\nA b c d e\nx\nthe the the dog\n" + b" ".join(b"w%d" % k for k in range(70))
-    raw = np.frombuffer(text, np.uint8)
-    lines = op8_lines.Lines(raw, np.array([0, len(raw)]))
-    got = lines.simhash(np.arange(len(lines.hash)))
-    for k in range(len(lines.hash)):
-        w = np.unique(lines.words[lines.first[k] : lines.first[k] + lines.count[k]])
-        bits = np.unpackbits(np.stack([op8_lines.W.mix(w ^ x) for x in op8_lines._SPREAD], axis=1).view(np.uint8).reshape(len(w), 16), axis=1, bitorder="little").sum(axis=0)
-        assert (np.packbits(2 * bits > len(w), bitorder="little").view(np.uint64) == got[k]).all()
+    rng = random.Random(2)
+    lines = [b"", b"short", b"the cat sat on the mat", b"ab" * 700, *[bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in (40, 199, 200, 3000)]]
+    edge = np.cumsum([0, *map(len, lines)])
+    got = op8_lines.simhash(np.frombuffer(b"".join(lines), np.uint8), edge[:-1], edge[1:])
+    total, back = op8_lines._hashes(np.frombuffer(b"".join(lines), np.uint8))
+    for k, line in enumerate(lines):
+        at = np.arange(edge[k], max(edge[k], edge[k + 1] - 5))
+        runs = op8_lines.W.mix((total[at + 6] - total[at]) * back[at])
+        runs = runs[runs <= np.uint64(1 << 62)] if len(line) >= 200 else runs
+        bits = np.unpackbits(np.stack([op8_lines.W.mix(runs ^ x) for x in op8_lines._SPREAD], axis=1).view(np.uint8).reshape(len(runs), 16), axis=1, bitorder="little").sum(axis=0)
+        assert (np.packbits(2 * bits > len(runs), bitorder="little").view(np.uint64) == got[k]).all()
 
 
 def test_line_dedup(spark, docs, empty):
