@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import shared_folder
+from . import words as W
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -110,25 +111,33 @@ def components(links: DataFrame) -> DataFrame:
     neighbours to that parent, and lets every node skip to its parent's parent."""
     edges = saved(links.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c <> p").distinct())
     while True:
-        parent = saved(edges.groupBy("c").agg(F.min("p").alias("p")))
+        parent = edges.groupBy("c").agg(F.min("p").alias("p"))
         small = parent.select(F.col("c"), F.col("p").alias("m"))
         rest = edges.join(small, "c").where("p > m").select(F.col("p").alias("c"), F.col("m").alias("p"))
         above = parent.select(F.col("c").alias("p"), F.col("p").alias("q"))
         jump = parent.join(above, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
         after = saved(jump.unionByName(rest.withColumn("moved", F.lit(True))).groupBy("c", "p").agg(F.max("moved").alias("moved")))
-        going = after.where("moved").limit(1).count()
         dropped(edges)
-        if not going:
+        if not after.where("moved").limit(1).count():
+            roots = after.select("p").distinct().select(F.col("p").alias("id"), F.col("p").alias("root"))
+            out = saved(after.select(F.col("c").alias("id"), F.col("p").alias("root")).unionByName(roots))
             dropped(after)
-            roots = parent.select("p").distinct().select(F.col("p").alias("id"), F.col("p").alias("root"))
-            out = saved(parent.select(F.col("c").alias("id"), F.col("p").alias("root")).unionByName(roots))
-            dropped(parent)
             return out
-        dropped(parent)
         edges = after.select("c", "p")
         edges._saved_at = after._saved_at
 
 
+def joined_further(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) after more links (a, b) between any ids; those that roots does not know may be new. A written table."""
+    root_of = lambda name: roots.select(F.col("id").alias(name), F.col("root").alias(f"{name}_root"))
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    further = components(between)
+    known = roots.join(further.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    out = saved(known.unionByName(further.join(roots.select("id"), "id", "left_anti")))
+    dropped(further)
+    return out
+
+
 #: Members of a key that are still in different components: up to so many are held against each other as they are.
 CROWD = 256
 
@@ -170,7 +179,7 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     few = few.join(held.select("id", *marks), "id") if marks else few
     x, y = (few.select("key", F.col("id").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "root", *marks)]) for name, side in (("a", "x"), ("b", "y")))
     second = saved(verify(x.join(y, "key").where("a > b and x_root <> y_root").where(fits).where(likely).select("a", "b").distinct(), held))
-    out = components(first.unionByName(second))
+    out = joined_further(roots, second)
     for t in (mixed, left, split, first, second, roots, held):
         if t is not None:
             dropped(t)
@@ -209,3 +218,22 @@ def maybe(bitmap: np.ndarray, *bits: np.ndarray) -> np.ndarray:
     for b in bits:
         out &= (bitmap[b >> 6] >> (b & 63)) & 1 == 1
     return out
+
+
+def bit_of(x: np.ndarray, k: int) -> np.ndarray:
+    return (W.mix(x ^ W.SIM_SEEDS[k]) & np.uint64((1 << 26) - 1)).astype(np.int64)
+
+
+def bitmap_of(need: DataFrame) -> np.ndarray:
+    """2^26 bits over the column id, by the hash that the scan of lines uses too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(0)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([bit_of(x, k) for k in range(2)]))], names=["bit"])
+
+    bits = need.select("id").mapInArrow(run, "bit long")
+    words = bits.groupBy(F.expr("cast(shiftright(bit, 6) as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(1 << 20, dtype=np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out

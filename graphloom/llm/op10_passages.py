@@ -1,11 +1,16 @@
-"""Substring dedup: exact Jaccard join of paragraphs, content-cut passages, clusters of removals.
+"""Substring dedup: paragraph MinHash banding, exact Jaccard, clusters of removals.
 
 Two kinds of text units take part.
 
 Paragraphs are lines of MIN_WORDS words or more, as sets of five-word shingles.
-A pair is a link when its exact Jaccard similarity is 0.8 or more; connected
-paragraphs are a cluster. op2_jaccard's join over necessary tokens finds them:
-no link between clusters is lost, however large a group of near copies is.
+MinHash values in bands, tuned to a recall of RECALL at the similarity, bring
+paragraphs together. A joined pair is a link when its exact Jaccard similarity
+is 0.8 or more; connected paragraphs are a cluster. A band of a large group of near
+copies costs a pass over it. Of a band's paragraphs that are not linked to its first
+one, those are held against each other whose SimHashes over shingles differ in SIM_MOST
+bits at most; a band of very many such paragraphs is split by necessary tokens first:
+of n shingles, rare ones first, the first n - ceil(0.8 n) + 1 must hold one that the
+partner's first ones hold too. Neither the split nor the place of a row changes what meets.
 
 Passages that stand inside larger paragraphs begin anywhere, so cuts must follow
 the content: of every ANCHOR consecutive word positions the one with the least
@@ -29,25 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .linking import saved, sized
-from .op2_jaccard import jaccard_components
+from .linking import bit_of, bitmap_of, dropped, linked, maybe, saved, sized
 
 SHINGLE = 5
 PERCENT = 80
 MIN_WORDS = 25
-RECALL = 0.97
+RECALL = 0.98
 ROWS = 4
+#: Two sets of Jaccard similarity 0.8 differ in 19 of the 128 bits, give or take 4.
+SIM_MOST = 44
 ANCHOR, PASSAGE = 24, 27
 
 
 def tune(percent: int = PERCENT, recall: float = RECALL, rows: int = ROWS) -> int:
-    """The least number of bands of `rows` values that brings a pair of the similarity together with the recall.
-
-    For MinHash joins; repeated_passages finds every pair and takes no bands."""
+    """The least number of bands of `rows` values that brings a pair of the similarity together with the recall."""
     bands, miss = 1, 1 - (percent / 100) ** rows
     while 1 - miss**bands < recall:
         bands += 1
@@ -55,7 +59,7 @@ def tune(percent: int = PERCENT, recall: float = RECALL, rows: int = ROWS) -> in
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray):
-    """Words of a slice with their bytes, each document's first word; each full line's document, first word and number of words."""
+    """Words of a slice; each full line's document, first word, number of words and first word within the document."""
     begin, end, per = W.spans(raw, offsets, W.NOT_SPACE)
     words = W.word_hashes(raw, begin, end)
     edge = np.union1d(offsets[:-1], np.flatnonzero(raw == 10) + 1)
@@ -63,11 +67,11 @@ def _lines(raw: np.ndarray, offsets: np.ndarray):
     doc_first = np.cumsum(per) - per
     doc = np.searchsorted(offsets, begin[first], side="right") - 1
     long = count >= MIN_WORDS
-    return words, begin, end, doc_first, doc[long], first[long], count[long]
+    return words, per, doc_first, doc[long], first[long], count[long]
 
 
-def _class(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A hash of each paragraph's set of shingles."""
+def _sets(words: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """Distinct shingles of paragraphs: (paragraph, value), how many, and a hash of the set."""
     grams = W.runs(words, SHINGLE)
     n = count - SHINGLE + 1
     which = np.repeat(np.arange(len(first)), n)
@@ -76,30 +80,75 @@ def _class(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
     size = np.bincount(which, minlength=len(first))[: len(first)]
     total = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(values), dtype=np.uint64)])
     edge = np.concatenate([[0], np.cumsum(size)])
-    return W.mix(total[edge[1:]] - total[edge[:-1]] + size.astype(np.uint64))
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of paragraphs, with a hash of the set of shingles and the text."""
-    for batch in batches:
-        for part in W.slices(batch):
-            raw, offsets = W.flat(part.column(1))
-            words, begin, end, doc_first, doc, first, count = _lines(raw, offsets)
-            if not len(first):
-                continue
-            low, high = begin[first], end[first + count - 1]
-            step = np.zeros(len(raw) + 1, dtype=np.int8)
-            step[low] += 1
-            step[high] -= 1
-            inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
-            edge = np.zeros(len(first) + 1, dtype=np.int32)
-            np.cumsum(high - low, out=edge[1:])
-            texts = pa.StringArray.from_buffers(len(first), pa.py_buffer(edge), pa.py_buffer(raw[inside]))
-            ids = part.column(0).take(pa.array(doc)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(first - doc_first[doc], pa.int64()), pa.array(count, pa.int64()), pa.array(W.signed(_class(words, first, count))), texts],
-                names=["doc_id", "start", "words", "id", "text"],
-            )
+    return which, values, size, edge, W.mix(total[edge[1:]] - total[edge[:-1]] + size.astype(np.uint64))
+
+
+def _paragraphs(bands: int, rows: int):
+    """Places of paragraphs with their class; the band keys with the first of each class in a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch):
+                words, _, doc_first, doc, first, count = _lines(*W.flat(part.column(1)))
+                if not len(first):
+                    continue
+                _, values, size, edge, cls = _sets(words, first, count)
+                keys = []
+                for b in range(bands):
+                    key = np.full(len(first), b, dtype=np.uint64)
+                    for r in range(rows):
+                        seed = W.mix(np.array([b * rows + r + 1], dtype=np.uint64))[0]
+                        key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(W.mix(values ^ seed), edge[:-1]))
+                    keys.append(key)
+                _, once = np.unique(cls, return_index=True)
+                none = np.ones(len(first), dtype=bool)
+                none[once] = False
+                sizes = np.where(none, 0, bands)
+                flat = np.stack(keys, axis=1)[~none].ravel()
+                ids = part.column(0).take(pa.array(doc)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(first - doc_first[doc], pa.int64()), pa.array(count, pa.int64()), pa.array(W.signed(cls)), pa.array(size, pa.int64()), W.lists(W.signed(flat), sizes, pa.int64())],
+                    names=["doc_id", "start", "words", "id", "n", "bands"],
+                )
+
+    return run
+
+
+def _tokens(bitmap: np.ndarray):
+    """id, shingles and SimHash of the classes that may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch):
+                words, _, _, _, first, count = _lines(*W.flat(part.column(0)))
+                if not len(first):
+                    continue
+                which, values, size, _, cls = _sets(words, first, count)
+                once = np.zeros(len(first), dtype=bool)
+                once[np.unique(cls, return_index=True)[1]] = True
+                once &= maybe(bitmap, *[bit_of(cls, k) for k in range(2)])
+                tokens, n = values[once[which]], size[once]
+                sim = W.simhash(tokens, n)
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(cls[once])), W.lists(W.signed(tokens), n, pa.int64()), *[pa.array(W.signed(sim[:, k])) for k in range(2)]], names=["id", "tokens", "s0", "s1"])
+
+    return run
+
+
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            xe, ye, xv, yv = np.asarray(x.offsets), np.asarray(y.offsets), np.asarray(x.values), np.asarray(y.values)
+            same = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                a, b = xv[xe[i] : xe[i + 1]].view(np.uint64), yv[ye[i] : ye[i + 1]].view(np.uint64)
+                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                both = int((a[at] == b).sum())
+                same[i] = 100 * both >= percent * (len(a) + len(b) - both)
+            kept = batch.filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return run
 
 
 def least_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -134,26 +183,46 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(W.signed(units)), ids, pa.array(place[anchor], pa.int64())], names=["key", "id", "n"])
 
 
-def repeated_passages(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def paragraph_roots(source: DataFrame, places: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id, root: the paragraph classes of places (id, n, bands) that have links, and the smallest class that each reaches."""
+    members = places.select(F.explode("bands").alias("key"), "id", "n")
+
+    def fetch(need: DataFrame) -> DataFrame:
+        tokens = source.select("text").mapInArrow(_tokens(bitmap_of(need)), "id long, tokens array<long>, s0 long, s1 long")
+        return tokens.join(need, "id", "left_semi").groupBy("id").agg(*[F.first(c).alias(c) for c in ("tokens", "s0", "s1")])
+
+    def verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+
+    def finer(ids: DataFrame, tokens: DataFrame) -> DataFrame:
+        each = tokens.join(ids, "id", "left_semi").select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("sub"))
+        ranked = each.join(each.groupBy("sub").agg(F.count("*").alias("often")), "sub")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("often", "sub"))  # one paragraph's shingles
+        return ranked.withColumn("place", place).where(f"place <= n - ceil(n * {percent} / 100.0) + 1").select("id", "sub")
+
+    return linked(members, fetch, verify, percent, finer, ["s0", "s1"], f"{W.SIM_BITS} <= {SIM_MOST}")
+
+
+def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """doc_id, start and words (of the unit, in words), cluster_id, kept_doc (the document whose copy stays), removed."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    found = W.small_batches(source).mapInArrow(_paragraphs, "doc_id long, start long, words long, id long, text string")
-    places = saved(found.withColumn("unit", F.monotonically_increasing_id()))
-    joined = jaccard_components(places.select(F.col("unit").alias("doc_id"), "text"), SHINGLE, percent)
-    roots = joined.select(F.col("doc_id").alias("unit"), F.col("component_id").alias("component"))
-    placed = saved(places.select("doc_id", "start", "words", "id", "unit").join(roots, "unit").select("doc_id", "start", "words", "id", "component"))
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.min("id").alias("cluster_id")).where("first.doc_id < last")
-    paragraphs = placed.join(first, "component").select(
+    places = saved(W.small_batches(source).mapInArrow(_paragraphs(tune(percent, recall), ROWS), "doc_id long, start long, words long, id long, n long, bands array<long>"))
+    roots = paragraph_roots(source, places, percent)
+    placed = saved(places.select("doc_id", "start", "words", "id").join(sized(roots), "id", "left").select("doc_id", "start", "words", F.coalesce("root", "id").alias("cluster_id")))
+    first = saved(placed.groupBy("cluster_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last"))
+    paragraphs = placed.join(sized(first), "cluster_id").select(
         "doc_id", "start", "words", "cluster_id", F.col("first.doc_id").alias("kept_doc"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("removed")
     )
     windows = saved(source.mapInArrow(_windows, "key long, id long, n long"))
-    shared = saved(windows.groupBy("key").agg(F.min("id").alias("kept_doc"), F.max("id").alias("last")).where("kept_doc < last").drop("last"))
-    units = saved(windows.join(sized(shared), "key").distinct())
-    stays = saved(units.where("id = kept_doc").groupBy("key").agg(F.min("n").alias("first")))
-    passages = units.join(sized(stays), "key").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("start"), F.lit(PASSAGE).cast("long").alias("words"), F.col("key").alias("cluster_id"), "kept_doc", ((F.col("id") != F.col("kept_doc")) | (F.col("n") != F.col("first"))).alias("removed")
+    shared = saved(windows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last"))
+    passages = windows.join(sized(shared), "key").distinct().select(
+        F.col("id").alias("doc_id"), F.col("n").alias("start"), F.lit(PASSAGE).cast("long").alias("words"), F.col("key").alias("cluster_id"), F.col("first.id").alias("kept_doc"), ((F.col("id") != F.col("first.id")) | (F.col("n") != F.col("first.n"))).alias("removed")
     )
-    return paragraphs.unionByName(passages)
+    out = saved(paragraphs.unionByName(passages))
+    for t in (places, roots, placed, first, windows, shared):
+        dropped(t)
+    return out
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,3 +188,32 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+#: SimHash: seeds of its words, and a table that spreads eight bits over the eight bytes of a number.
+SIM_SEEDS = [U64(x) for x in (0x8CB92BA72F3D8DD7, 0xABE1F4D5C3B7A691)]
+_OCTET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U64)[:, 0]
+
+
+def simhash(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two 64-bit words for each run of n hashes: the majority of each bit. A run of none has zeros.
+
+    A sum of numbers from the table counts eight bits at once; sums run over pieces of up to 255 hashes, which
+    no byte overflows."""
+    out = np.zeros((len(n), 8 * len(SIM_SEEDS)), dtype=np.uint8)
+    own = np.flatnonzero(n)
+    n = n[own]
+    pieces = -(-n // 255)
+    whole = np.cumsum(pieces) - pieces
+    start = np.repeat(np.cumsum(n) - n, pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(whole, pieces))
+    for k, seed in enumerate(SIM_SEEDS if len(own) else []):
+        octets = mix(hashes ^ seed).view(np.uint8).reshape(-1, 8)
+        for b in range(8):
+            counts = np.add.reduceat(_OCTET[octets[:, b]], start).view(np.uint8).reshape(-1, 8)
+            counts = np.add.reduceat(counts, whole, axis=0, dtype=np.int32) if len(start) > len(own) else counts.astype(np.int32)
+            out[own, 8 * k + b] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little")[:, 0]
+    return out.view(U64)
+
+
+#: On the JVM: in how many bits the SimHashes x and y differ.
+SIM_BITS = "bit_count(x_s0 ^ y_s0) + bit_count(x_s1 ^ y_s1)"

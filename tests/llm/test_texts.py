@@ -258,7 +258,7 @@ def test_simhash_is_the_majority():
         at = np.arange(edge[k], max(edge[k], edge[k + 1] - 5))
         runs = op8_lines.W.mix((total[at + 6] - total[at]) * back[at])
         runs = runs[runs <= np.uint64(1 << 62)] if len(line) >= 200 else runs
-        bits = np.unpackbits(np.stack([op8_lines.W.mix(runs ^ x) for x in op8_lines._SPREAD], axis=1).view(np.uint8).reshape(len(runs), 16), axis=1, bitorder="little").sum(axis=0)
+        bits = np.unpackbits(np.stack([op8_lines.W.mix(runs ^ x) for x in op8_lines.W.SIM_SEEDS], axis=1).view(np.uint8).reshape(len(runs), 16), axis=1, bitorder="little").sum(axis=0)
         assert (np.packbits(2 * bits > len(runs), bitorder="little").view(np.uint64) == got[k]).all()
 
 
