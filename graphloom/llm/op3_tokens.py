@@ -1,25 +1,31 @@
 """Token ids in files of range-coded blocks.
 
-Ids are coded by an adaptive context-mixing range coder. Two hashed tables
-predict the next id from the last two ids (order 2) and from the last one
-(order 1), each with a confidence. Whether a prediction holds is coded as a bit
-whose probability a small mixer makes out of two adaptive estimates in the
-logistic domain. An id that neither predicts is coded by order 0: its magnitude
-and the bit below its leading one with adaptive frequencies, the rest evenly. All state is
-integer, so a block decodes alike wherever it is read.
-
-A block holds BLOCK ids, begins from the same initial state as any other, and
-carries the CRC-32 of its ids. That makes blocks independent lanes: all blocks
-of a segment are coded side by side, one id of each at a time.
+Ids are coded by an adaptive context-mixing range coder. Order 0 is the frequency of
+every id in the segment, which its header holds. Orders 1 and 2 are hashed tables that
+predict the next id from the last one and from the last two, each with a confidence.
+An id's probability is the mixture of the three: both predictions get the weights that
+they have earned so far at their confidences, the rest goes to order 0. One step of the
+range coder codes the id. All state is integer, and what is divided in floating point is
+exact there, so a block decodes alike wherever it is read.
+
+A block holds BLOCK ids, begins from the same state as any other of its segment (the
+header's frequencies, empty tables, fixed weights), and carries the CRC-32 of its ids.
+That makes blocks independent lanes: all blocks of a segment are coded side by side, one
+id of each at a time.
 
 File format. A dataset is a folder of rows, one for each segment: `part` and
 `segment` (their order is the order of the documents), `doc_ids`, `counts`
 (ids of each document, the end id included) and `data`. `data` is the magic
-GLT1, the number of blocks, three 32-bit numbers for each block (ids, CRC-32,
-16-bit words), and then all blocks' words; numbers are little-endian. Documents
-never cross segments. The rows lie in Parquet files, whose commit protocol
+GLT2, the number of blocks, the bytes of the frequency table, that table (deflated: how
+many ids, the ids' differences, their frequencies), three 32-bit numbers for each block
+(ids, CRC-32, 16-bit words), and then all blocks' words; numbers are little-endian.
+Documents never cross segments. The rows lie in Parquet files, whose commit protocol
 makes a lost executor harmless.
 
+The tokenizer sees whole texts, unless its file says that it never joins over white space
+(`apart`): then each distinct run of non-space is encoded once for a while, found again by
+a 64-bit hash of its bytes.
+
 Defined results. A null or empty text is the end id alone. Rows without an id
 come first, equal ids in the order of their texts. Other columns are ignored.
 A damaged block raises an error that names it. Ids must be below 2^18.
@@ -27,6 +33,8 @@ A damaged block raises an error that names it. Ids must be below 2^18.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -41,240 +49,181 @@ from pyspark.sql import functions as F
 from . import words as W
 from .linking import parts, shared_folder
 
-MAGIC = b"GLT1"
+MAGIC = b"GLT2"
 BLOCK = 2048
 #: A segment takes documents until it has so many ids.
 SEGMENT_IDS = 3 << 20
 END_ID = 1
 MOST_ID = (1 << 18) - 1
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_500_000
 _CUT = "\x01"
 
-_M32, _U = np.uint64(0xFFFFFFFF), np.uint64
-_S16, _S32, _S12 = np.uint64(16), np.uint64(32), np.uint64(12)
-_LOW = np.uint64(1 << 16)
-_T1, _T2 = 9, 10  # bits of the prediction tables' sizes
-_SLOTS = 38  # two for each magnitude of an id: by the bit below its leading one
+_U = np.uint64
+#: Bits of the prediction tables' sizes, of the order-0 frequencies' total, and of the weights' total.
+_T1, _T2, _P0, _PW = 9, 11, 19, 9
+_ALL, _LEAST0 = 1 << _PW, 8  # order 0 keeps this weight at least
+#: The coder's window: 52 bits of which the upper 16 leave, so that any quotient is exact in a double.
+_MASK, _LOWEST, _OUT = _U((1 << 52) - 1), _U(1 << 36), _U(36)
+_S16, _TOTAL = _U(16), _U(_P0 + _PW)
+
+
+class Frequencies:
+    """Order 0: what part of 2^19 each id has, and which id each of these parts belongs to."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray):
+        self.ids, self.share = ids, share
+        self.of = np.zeros(int(ids[-1]) + 2, dtype=np.uint32)
+        self.of[ids] = share
+        self.below = (np.cumsum(self.of) - self.of).astype(np.uint32)
+        self.symbol = np.repeat(ids, share).astype(np.int32)
+        self.most = np.int32(len(self.of) - 1)  # stands for any id above those that occur
 
-#: Logistic tables: stretch(p) = 256 ln(p / (1 - p)) of a 12-bit probability, and its inverse.
-STRETCH = np.round(256 * np.log((np.arange(4096) + 0.5) / (4096 - np.arange(4096) - 0.5))).astype(np.int32)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 24, 4072).astype(np.int32)
+    @classmethod
+    def counted(cls, ids: np.ndarray) -> Frequencies:
+        n = np.bincount(ids)
+        present = np.flatnonzero(n)
+        share = n[present] * ((1 << _P0) - len(present)) // len(ids) + 1
+        share[share.argmax()] += (1 << _P0) - share.sum()
+        return cls(present, share)
 
+    def packed(self) -> bytes:
+        numbers = np.concatenate([[len(self.ids)], np.diff(self.ids, prepend=0), self.share])
+        return zlib.compress(numbers.astype("<u4").tobytes())
 
-class _Model:
-    """Predictions and statistics of all lanes; what a block begins with is the same for each."""
+    @classmethod
+    def unpacked(cls, data: bytes) -> Frequencies:
+        numbers = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        n = numbers[0]
+        return cls(np.cumsum(numbers[1 : n + 1]), numbers[n + 1 :])
+
+
+class _Mixer:
+    """Predictions and weights of all lanes; what a block begins with is the same for each."""
 
     def __init__(self, lanes: int):
-        n = self.n = lanes
-        self.lane = np.arange(n)
-        self.t1 = np.zeros(n << _T1, dtype=np.int32)  # 18 bits of id, and the confidence above
-        self.t2 = np.zeros(n << _T2, dtype=np.int32)
+        self.n = np.int32(lanes)
+        self.lane = np.arange(lanes, dtype=np.int32)
+        self.t1 = np.zeros(lanes << _T1, dtype=np.int32)  # 18 bits of id, and the confidence above
+        self.t2 = np.zeros(lanes << _T2, dtype=np.int32)
         self.base1, self.base2 = self.lane << _T1, self.lane << _T2
-        self.last = np.zeros(n, dtype=np.int64)
-        self.before = np.zeros(n, dtype=np.int64)
-        self.estimates = [np.full(m * n, p, dtype=np.int32) for m, p in ((8, 1024), (8, 1024), (8, 1024), (_SLOTS + 1, 512))]
-        self.weights = [np.full(n, 40000, dtype=np.int32) for _ in range(4)]
-        self.slots = np.full((_SLOTS, n), 2, dtype=np.int32)
-        self.flat = self.slots.reshape(-1)
-        self.slot = np.zeros(n, dtype=np.int64)
+        self.last = np.zeros(lanes, dtype=np.int32)
+        self.before = np.zeros(lanes, dtype=np.int32)
+        # How often order 2 is right, and order 1 where order 2 is not, of 2^16: by both confidences and whether they agree.
+        context = np.arange(32)
+        right2 = np.array([0, 12000, 30000, 45000])[context >> 2 & 3]
+        right1 = np.where(context < 16, np.array([0, 4000, 10000, 16000])[context & 3], 0)
+        self.right2, self.right1 = (np.repeat(r, lanes).astype(np.int32) for r in (right2, right1))
 
     def look(self) -> None:
-        self.at1 = self.base1 + ((self.last * 0x9E3779B1) >> 16 & ((1 << _T1) - 1))
-        self.at2 = self.base2 + ((self.last * 0x85EBCA6B + self.before * 0xC2B2AE35) >> 15 & ((1 << _T2) - 1))
+        self.at1 = self.base1 + (self.last * np.int32(-1640531535) >> 32 - _T1 & (1 << _T1) - 1)
+        self.at2 = self.base2 + ((self.last * np.int32(668265261) ^ self.before * np.int32(374761393)) >> 32 - _T2 & (1 << _T2) - 1)
         e1, e2 = self.t1.take(self.at1), self.t2.take(self.at2)
-        self.p1, self.c1 = e1 & MOST_ID, e1 >> 18
-        self.p2, self.c2 = e2 & MOST_ID, e2 >> 18
+        self.p1, self.p2, self.c1, self.c2 = e1 & MOST_ID, e2 & MOST_ID, e1 >> 18, e2 >> 18
         self.agree = self.p1 == self.p2
-
-    def mix(self, which: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The probability, of 4096, that prediction `which` holds; a and b are the estimates' contexts."""
-        self.ia, self.ib = a * self.n + self.lane, b * self.n + self.lane
-        self.pa, self.pb = self.estimates[2 * which].take(self.ia), self.estimates[2 * which + 1].take(self.ib)
-        self.sa, self.sb = STRETCH.take(self.pa), STRETCH.take(self.pb)
-        dot = self.sa * self.weights[2 * which]
-        dot += self.sb * self.weights[2 * which + 1]
-        dot >>= 16
-        dot += 2048
-        np.maximum(dot, 0, out=dot)
-        np.minimum(dot, 4095, out=dot)
-        self.p = SQUASH.take(dot)
-        return self.p
-
-    def learn(self, which: int, bit: np.ndarray, on: np.ndarray | None) -> None:
-        """Lanes that are not on learn nothing; None: all are on."""
-        target = bit * np.int32(4095)
-        error, da, db = target - self.p, target - self.pa, target - self.pb
-        if on is not None:
-            error *= on
-            da *= on
-            db *= on
-        for k, stretched in ((2 * which, self.sa), (2 * which + 1, self.sb)):
-            w = self.weights[k]
-            w += (stretched * error) >> 14
-            np.maximum(w, -400_000, out=w)
-            np.minimum(w, 400_000, out=w)  # keeps products within 32 bits
-        self.estimates[2 * which][self.ia] = self.pa + (da >> 4)
-        self.estimates[2 * which + 1][self.ib] = self.pb + (db >> 4)
-
-    def first(self) -> np.ndarray:
-        return self.mix(0, self.c2 * 2 + self.agree, self.c1 * 2 + self.agree)
-
-    def second(self) -> np.ndarray:
-        return self.mix(1, self.c1 * 2 + (self.c2 > 1), self.slot)
-
-    def grown(self) -> np.ndarray:
-        return np.cumsum(self.slots, axis=0, dtype=np.int32)
-
-    def take(self, ids: np.ndarray, slot: np.ndarray, rest: np.ndarray, step: int) -> None:
-        """ids came; those of the lanes in rest were coded by order 0, in these slots."""
-        at = (slot * self.n + self.lane)[rest]
-        self.flat[at] += 24
-        new = ids.astype(np.int32)
-        for table, at, p, c in ((self.t1, self.at1, self.p1, self.c1), (self.t2, self.at2, self.p2, self.c2)):
-            hit = (p == new) & (c > 0)
+        self.context = ((self.agree << 4) + (self.c2 << 2) + self.c1) * self.n + self.lane
+        self.r1, self.r2 = self.right1.take(self.context), self.right2.take(self.context)
+        w2 = np.minimum(self.r2 >> 16 - _PW, _ALL - _LEAST0)
+        w1 = np.minimum(self.r1 >> 16 - _PW, _ALL - _LEAST0 - w2)
+        self.w0 = (_ALL - w1 - w2).astype(np.uint32)
+        self.w1, self.w2 = w1.astype(np.uint32) << _P0, w2.astype(np.uint32) << _P0
+
+    def interval(self, ids: np.ndarray, zero: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's id begins in the mixture's 2^28, and how much of it is its own."""
+        self.hit1, self.hit2 = ids == self.p1, ids == self.p2
+        begin = self.w0 * zero.below.take(ids) + self.w1 * (self.p1 < ids) + self.w2 * (self.p2 < ids)
+        return begin, self.w0 * zero.of.take(ids) + self.w1 * self.hit1 + self.w2 * self.hit2
+
+    def learn(self, ids: np.ndarray) -> None:
+        """ids came, for which interval was asked last."""
+        self.right2[self.context] = self.r2 + (self.hit2 * np.int32(65535) - self.r2 >> 5)
+        self.right1[self.context] = self.r1 + ((self.hit1 > self.hit2) * np.int32(65535) - self.r1 >> 5)
+        new = ids | 1 << 18
+        for table, at, p, c, hit in ((self.t1, self.at1, self.p1, self.c1, self.hit1), (self.t2, self.at2, self.p2, self.c2, self.hit2)):
             kept = np.where(hit, np.minimum(c + 1, 3), c - 1)
-            table[at] = np.where(kept > 0, p | kept << 18, new | 1 << 18)
-        self.before, self.last, self.slot = self.last, ids, np.where(rest, slot, _SLOTS)
-        if step & 63 == 63:
-            self.slots += 1
-            self.slots >>= 1
+            table[at] = np.where(kept > 0, p | kept << 18, new)
+        self.before, self.last = self.last, ids
 
 
-_VALUES = np.arange(1, MOST_ID + 3)
-_SIZE = np.frexp(_VALUES)[1].astype(np.int64) - 1  # of id: the magnitude of id + 1
-_SLOT = 2 * _SIZE + np.where(_SIZE > 0, _VALUES >> np.maximum(_SIZE - 1, 0) & 1, 0)
-_TAIL = np.maximum(_SIZE - 1, 0)  # how many bits are coded evenly
-_TAIL_OF = np.maximum(np.arange(_SLOTS) // 2 - 1, 0)
-_BASE_OF = np.where(np.arange(_SLOTS) < 2, 1, (2 + np.arange(_SLOTS) % 2) << _TAIL_OF)  # id + 1 with the even bits clear
-
-
-def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
+def encode_blocks(ids: np.ndarray, zero: Frequencies) -> list[np.ndarray]:
     """ids: steps x lanes. The 16-bit words of each lane."""
     steps, lanes = ids.shape
-    cap = 3 * steps + 16
+    cap = 2 * steps + 16
     out = np.zeros(lanes * cap, dtype=np.uint16)
     pos = np.arange(lanes) * cap
-    low, rng = np.zeros(lanes, dtype=_U), np.full(lanes, 0xFFFFFFFF, dtype=_U)
-    model = _Model(lanes)
-    lane = model.lane
-
-    def put(cum: np.ndarray, freq: np.ndarray, unit: np.ndarray) -> None:
-        nonlocal low, rng
-        low = low + unit * cum
-        rng = unit * freq
-        over = np.flatnonzero(low > _M32)
+    low, rng = np.zeros(lanes, dtype=_U), np.full(lanes, _MASK, dtype=_U)
+    mixer = _Mixer(lanes)
+
+    def carried(low: np.ndarray) -> None:
+        over = np.flatnonzero(low > _MASK)
         if len(over):
-            low[over] &= _M32
+            low[over] &= _MASK
             at = pos[over] - 1
             while len(at):  # a carry runs through words that are full
                 out[at] += 1
                 at = at[out[at] == 0] - 1
-        short = np.flatnonzero(rng < _LOW)
-        if len(short):
+
+    for step in range(steps):
+        now = ids[step]
+        mixer.look()
+        begin, own = mixer.interval(now, zero)
+        unit = rng >> _TOTAL
+        low += unit * begin
+        rng = unit * own
+        carried(low)
+        short = np.flatnonzero(rng < _LOWEST)
+        while len(short):
             x = low[short]
-            out[pos[short]] = x >> _S16
-            low[short] = (x << _S16) & _M32
+            out[pos[short]] = x >> _OUT
+            low[short] = x << _S16 & _MASK
             rng[short] <<= _S16
             pos[short] += 1
+            short = short[rng[short] < _LOWEST]
+        mixer.learn(now)
+    low += _LOWEST - _U(1)  # one word that lies in the interval whatever follows it
+    carried(low)
+    out[pos] = low >> _OUT
+    return [out[k * cap : e] for k, e in enumerate(pos + 1)]
 
-    def put_bit(bit: np.ndarray, p: np.ndarray, on: np.ndarray) -> None:
-        whole = on.all()
-        q = p.astype(_U)
-        cum, freq = np.where(bit, _U(0), q), np.where(bit, q, _U(4096) - q)
-        if whole:
-            put(cum, freq, rng >> _S12)
-        else:
-            put(np.where(on, cum, _U(0)), np.where(on, freq, _U(1)), np.where(on, rng >> _S12, rng))
 
-    every, one = np.ones(lanes, dtype=bool), np.ones(lanes, dtype=_U)
-    for step in range(steps):
-        now = ids[step].astype(np.int64)
-        model.look()
-        held2 = now == model.p2
-        put_bit(held2, model.first(), every)
-        model.learn(0, held2, None)
-        asked = ~(held2 | model.agree)
-        held1 = asked & (now == model.p1)
-        if asked.any():
-            put_bit(held1, model.second(), asked)
-            model.learn(1, held1, asked)
-        rest = ~(held2 | held1)
-        slot = _SLOT.take(now)
-        grown = model.grown().reshape(-1)
-        at = slot * lanes + lane
-        f = model.flat.take(at)
-        put(np.where(rest, grown.take(at) - f, 0).astype(_U), np.where(rest, f, 1).astype(_U), np.where(rest, rng // grown[-lanes:].astype(_U), rng))
-        tail = np.where(rest, _TAIL.take(now), 0)
-        put(((now + 1) & ((1 << tail) - 1)).astype(_U), one, rng >> tail.astype(_U))
-        model.take(now, slot, rest, step)
-    for shift in (_S16, _U(0)):
-        out[pos] = (low >> shift) & _U(0xFFFF)
-        pos += 1
-    return [out[k * cap : e] for k, e in enumerate(pos)]
-
-
-def decode_blocks(words: list[np.ndarray], steps: int) -> np.ndarray:
-    """steps x lanes ids."""
+def decode_blocks(words: list[np.ndarray], steps: int, zero: Frequencies) -> np.ndarray:
+    """steps x lanes ids. Lanes of fewer ids end in any."""
     lanes = len(words)
     size = np.array([len(w) for w in words])
     begin = np.cumsum(size + 4) - size - 4
-    flat = np.zeros(int(size.sum()) + 4 * lanes, dtype=_U)
+    flat = np.zeros(int(size.sum()) + 4 * lanes + 1, dtype=_U)
     for b, w in zip(begin, words, strict=True):
         flat[b : b + len(w)] = w
-    pos = begin + 2
-    last = len(flat) - 1
-    code = (flat[begin] << _S16) | flat[begin + 1]
-    rng = np.full(lanes, 0xFFFFFFFF, dtype=_U)
-    model = _Model(lanes)
-    lane = model.lane
-    ids = np.zeros((steps, lanes), dtype=np.int64)
-
-    def took(cum: np.ndarray, freq: np.ndarray, unit: np.ndarray) -> None:
-        nonlocal code, rng
-        code = code - unit * cum
-        rng = unit * freq
-        short = np.flatnonzero(rng < _LOW)
-        if len(short):
-            code[short] = (code[short] << _S16) | flat[np.minimum(pos[short], last)]
-            rng[short] <<= _S16
-            pos[short] += 1
-
-    def get_bit(p: np.ndarray, on: np.ndarray) -> np.ndarray:
-        whole = on.all()
-        unit = rng >> _S12 if whole else np.where(on, rng >> _S12, rng)
-        q = p.astype(_U)
-        bit = (code < unit * q) & on
-        freq = np.where(bit, q, _U(4096) - q)
-        cum = np.where(bit, _U(0), q)
-        took(cum if whole else np.where(on, cum, _U(0)), freq if whole else np.where(on, freq, _U(1)), unit)
-        return bit
-
-    every, one = np.ones(lanes, dtype=bool), np.ones(lanes, dtype=_U)
+    pos, last = begin + 3, len(flat) - 2
+    code = flat[begin] << _OUT | flat[begin + 1] << _U(20) | flat[begin + 2] << _U(4) | flat[begin + 3] >> _U(12)
+    rng = np.full(lanes, _MASK, dtype=_U)
+    mixer = _Mixer(lanes)
+    ids = np.zeros((steps, lanes), dtype=np.int32)
     for step in range(steps):
-        model.look()
-        held2 = get_bit(model.first(), every)
-        model.learn(0, held2, None)
-        asked = ~(held2 | model.agree)
-        held1 = np.zeros(lanes, dtype=bool)
-        if asked.any():
-            held1 = get_bit(model.second(), asked)
-            model.learn(1, held1, asked)
-        rest = ~(held2 | held1)
-        grown = model.grown()
-        total = grown[-1]
-        unit = np.where(rest, rng // total.astype(_U), rng)
-        target = np.minimum((code // unit).astype(np.int64), total - 1).astype(np.int32)
-        slot = np.where(rest, (grown <= target).sum(axis=0), 0)
-        at = slot * lanes + lane
-        f = model.flat.take(at)
-        took(np.where(rest, grown.reshape(-1).take(at) - f, 0).astype(_U), np.where(rest, f, 1).astype(_U), unit)
-        tail = np.where(rest, _TAIL_OF.take(slot), 0)
-        unit = rng >> tail.astype(_U)
-        bits = np.minimum((code // unit).astype(np.int64), (1 << tail) - 1)
-        took(bits.astype(_U), one, unit)
-        now = np.where(held2, model.p2, np.where(held1, model.p1, _BASE_OF.take(slot) + bits - 1)) & MOST_ID
+        mixer.look()
+        unit = rng >> _TOTAL
+        target = np.minimum(code.astype(np.float64) / unit.astype(np.float64), (1 << _P0 + _PW) - 1).astype(np.uint32)
+        p1, p2 = np.minimum(mixer.p1, zero.most), np.minimum(mixer.p2, zero.most)
+        low1 = mixer.w0 * zero.below.take(p1) + mixer.w2 * (mixer.p2 < mixer.p1)
+        low2 = mixer.w0 * zero.below.take(p2) + mixer.w1 * (mixer.p1 < mixer.p2)
+        high1 = low1 + mixer.w0 * zero.of.take(p1) + mixer.w1 + mixer.w2 * mixer.agree
+        high2 = low2 + mixer.w0 * zero.of.take(p2) + mixer.w2 + mixer.w1 * mixer.agree
+        past1, past2 = target >= high1, target >= high2
+        rest = target - mixer.w1 * past1 - mixer.w2 * past2
+        now = zero.symbol.take(np.minimum(rest.astype(np.float64) / mixer.w0, (1 << _P0) - 1).astype(np.int32))
+        now = np.where((target >= low1) & ~past1, p1, now)
+        now = np.where((target >= low2) & ~past2, p2, now)
+        start, own = mixer.interval(now, zero)
+        code -= unit * start
+        rng = unit * own
+        short = np.flatnonzero(rng < _LOWEST)
+        while len(short):
+            at = pos[short]
+            code[short] = (code[short] << _S16 | (flat[at] & _U(0xFFF)) << _U(4) | flat[at + 1] >> _U(12)) & _MASK
+            rng[short] <<= _S16
+            pos[short] = np.minimum(at + 1, last)
+            short = short[rng[short] < _LOWEST]
         ids[step] = now
-        model.take(now, slot, rest, step)
+        mixer.learn(now)
     return ids
 
 
@@ -284,30 +233,36 @@ def pack(ids: np.ndarray) -> bytes:
         raise ValueError(f"id {int(ids.max())} is above {MOST_ID}")
     many = -(-len(ids) // BLOCK)
     if not many:
-        return MAGIC + struct.pack("<I", 0)
+        return MAGIC + struct.pack("<II", 0, 0)
+    zero = Frequencies.counted(ids)
+    table = zero.packed()
     steps = min(BLOCK, len(ids))
-    grid = np.zeros(many * steps, dtype=np.int64)
+    grid = np.full(many * steps, ids[-1], dtype=np.int32)
     grid[: len(ids)] = ids
-    words = encode_blocks(np.ascontiguousarray(grid.reshape(many, steps).T))
+    words = encode_blocks(np.ascontiguousarray(grid.reshape(many, steps).T), zero)
     little = ids.astype("<u4")
     heads = [(len(x := little[k * BLOCK : (k + 1) * BLOCK]), zlib.crc32(x.tobytes()), len(w)) for k, w in enumerate(words)]
-    return b"".join([MAGIC, struct.pack("<I", many), *[struct.pack("<III", *h) for h in heads], *[w.astype("<u2").tobytes() for w in words]])
+    return b"".join([MAGIC, struct.pack("<II", many, len(table)), table, *[struct.pack("<III", *h) for h in heads], *[w.astype("<u2").tobytes() for w in words]])
 
 
 def unpack(data: bytes, name: str = "segment") -> np.ndarray:
     """The ids of a segment's data; an error names a block that does not match its checksum."""
     if data[:4] != MAGIC:
         raise ValueError(f"{name}: not a file of token blocks")
-    many = struct.unpack_from("<I", data, 4)[0]
-    heads = np.frombuffer(data, "<u4", 3 * many, 8).reshape(many, 3)
-    flat = np.frombuffer(data, "<u2", -1, 8 + 12 * many)
+    many, table = struct.unpack_from("<II", data, 4)
+    heads = np.frombuffer(data, "<u4", 3 * many, 12 + table).reshape(many, 3)
+    flat = np.frombuffer(data, "<u2", -1, 12 + table + 12 * many)
     if int(heads[:, 2].sum()) != len(flat):
         raise ValueError(f"{name}: {len(flat)} words where {int(heads[:, 2].sum())} belong")
     if not many:
         return np.zeros(0, dtype=np.int64)
+    try:
+        zero = Frequencies.unpacked(data[12 : 12 + table])
+    except zlib.error as e:
+        raise ValueError(f"{name}: the table of frequencies is damaged") from e
     heads = heads.astype(np.int64)
     edge = np.concatenate([[0], np.cumsum(heads[:, 2])])
-    ids = decode_blocks([flat[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], int(heads[:, 0].max()))
+    ids = decode_blocks([flat[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], int(heads[:, 0].max()), zero)
     out = []
     for k in range(many):
         block = ids[: heads[k, 0], k].astype("<u4")
@@ -317,21 +272,53 @@ def unpack(data: bytes, name: str = "segment") -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Normalizers that see no further than a run of non-space and the marks on its letters.
+_LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+#: Pre-tokenizers after which no token holds white space.
+_PARTS = {"WhitespaceSplit", "Whitespace", "BertPreTokenizer"}
+
+
+def apart(tokenizer: dict) -> bool:
+    """Whether, by its file, a tokenizer's ids of a text are those of its runs of non-space, one after the other."""
+
+    def steps(x: dict | None, inner: str) -> list[dict]:
+        return [] if x is None else [y for z in x[inner] for y in steps(z, inner)] if x["type"] == "Sequence" else [x]
+
+    def one_space(x: dict) -> bool:
+        return x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " "
+
+    normal, cut = steps(tokenizer.get("normalizer"), "normalizers"), steps(tokenizer.get("pre_tokenizer"), "pretokenizers")
+    if not cut or not all(x["type"] in _LOCAL or one_space(x) for x in normal):
+        return False
+    if any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in tokenizer.get("added_tokens") or []):
+        return False
+    if cut[0]["type"] != "Split":
+        return cut[0]["type"] in _PARTS
+    pattern = cut[0]["pattern"].get("Regex")
+    # Only what matches stays, and nothing that can match white space is in the pattern: letters, digits, and sets without \s.
+    if pattern is None or cut[0]["behavior"] != "Removed" or not cut[0]["invert"]:
+        return False
+    plain = re.sub(r"\[\^\\s[^\]]*\]|\\p\{[LNPSM]\}", "", pattern)
+    return re.fullmatch(r"[A-Za-z0-9'|+*?\[\]]*", plain) is not None
+
+
+_SLOTS = 22  # bits of the table of known runs, which is half full at most
+
+
 class _Tokens:
-    """Ids of batches of texts. The library encodes each distinct run of non-space once for a while; a tokenizer
-    whose ids of a text are not those of its runs, on the first texts seen, encodes whole texts."""
+    """Ids of batches of texts. Of a tokenizer that never joins over white space each distinct run is encoded once for a while."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.runs: bool | None = None
+        self.apart = apart(json.loads(self.t.to_str()))
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]
-        self.sizes: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
+        self.keys, self.nth = np.zeros(1 << _SLOTS, dtype=np.uint64), np.zeros(1 << _SLOTS, dtype=np.int32)
+        self.flat, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        self.start = np.zeros(0, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -342,21 +329,41 @@ class _Tokens:
             out = self._encode(texts)
             return np.array([i for x in out for i in x], dtype=np.int32), np.array([len(x) for x in out], dtype=np.int64)
         flat, sizes = [], []
-        for low in range(0, len(texts), 2000):
-            mine = texts[low : low + 2000]
-            ids = np.array(self._encode([f" {_CUT} ".join([*mine, ""])])[0], dtype=np.int32)
+        for ids in self._encode([f" {_CUT} ".join([*texts[low : low + 100], ""]) for low in range(0, len(texts), 100)]):
+            ids = np.array(ids, dtype=np.int32)
             at = np.flatnonzero(ids == cut[0])
-            if len(at) != len(mine):
-                raise ValueError("the tokenizer joins over white space")
             flat.append(np.delete(ids, at))
-            sizes.append(np.diff(np.concatenate([[-1], at])) - 1)
-        return np.concatenate(flat), np.concatenate(sizes)
+            sizes.append(np.diff(at, prepend=-1) - 1)
+        sizes = np.concatenate(sizes)
+        if len(sizes) != len(texts):
+            raise ValueError("the tokenizer joins over white space")
+        return np.concatenate(flat), sizes
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each known run, -1 of others."""
+        at = (hashes >> _U(64 - _SLOTS)).astype(np.int64)
+        held = self.keys.take(at)
+        out = np.where(held == hashes, self.nth.take(at), -1)
+        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        while len(open_):  # the slot has another run: look further
+            at[open_] = at[open_] + 1 & (1 << _SLOTS) - 1
+            held = self.keys[at[open_]]
+            same = held == hashes[open_]
+            out[open_[same]] = self.nth[at[open_[same]]]
+            open_ = open_[~same & (held != 0)]
+        return out
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        for k, h in enumerate(hashes.tolist(), len(self.sizes)):
+            at = h >> 64 - _SLOTS
+            while self.keys[at]:
+                at = at + 1 & (1 << _SLOTS) - 1
+            self.keys[at], self.nth[at] = h, k
+        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+        self.start = np.cumsum(self.sizes) - self.sizes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.runs is None:
-            probe = [x for x in texts.slice(0, 20).to_pylist() if x]
-            self.runs = all(sum(self._encode(x.split()), []) == y for x, y in zip(probe, self._encode(probe), strict=True))
-        if not self.runs:
+        if not self.apart:
             out = self._encode([x or "" for x in texts.to_pylist()])
             return np.array([i for x in out for i in x], dtype=np.int64), np.array([len(x) for x in out], dtype=np.int64)
         raw, offsets = W.flat(texts)
@@ -364,28 +371,25 @@ class _Tokens:
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(_VALUE[raw] * W._powers("base", W._BASE, len(raw)), out=total[1:])
         hashes = W.mix((total[end] - total[begin]) * W._powers("inverse", W._INVERSE, len(raw) + 1)[begin] + (end - begin).astype(np.uint64))
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > CACHE_CHUNKS:
-            self._empty()
-        listed = unique.tolist()
-        where = np.array([self.known.get(h, -1) for h in listed], dtype=np.int64)
-        new = np.flatnonzero(where < 0)
+        hashes |= _U(1)  # nought is an empty slot
+        which = self._known(hashes)
+        new = np.flatnonzero(which < 0)
         if len(new):
+            unique, first = np.unique(hashes[new], return_index=True)
+            if len(self.sizes) + len(unique) > CACHE_CHUNKS:
+                self._empty()
+                unique, first = np.unique(hashes, return_index=True)
+                new = np.arange(len(hashes))
+            if len(unique) > CACHE_CHUNKS:  # one very long text
+                out = self._encode([x or "" for x in texts.to_pylist()])
+                return np.array([i for x in out for i in x], dtype=np.int64), np.array([len(x) for x in out], dtype=np.int64)
             data = raw.tobytes()
-            got, n = self._runs([data[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            at = len(self.known)
-            where[new] = np.arange(at, at + len(new))
-            self.known.update((listed[k], at + i) for i, k in enumerate(new.tolist()))
-            self.sizes.append(n)
-            self.flat.append(got)
-            self.sizes, self.flat = [np.concatenate(self.sizes)], [np.concatenate(self.flat)]
-        sizes, flat = self.sizes[0], self.flat[0]
-        start = np.cumsum(sizes) - sizes
-        which = where[inverse]
-        n = sizes[which]
-        out = flat[np.repeat(start[which], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-        edge = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
-        return out, np.diff(edge)
+            self._add(unique, *self._runs([data[a:b].decode() for a, b in zip(begin[new[first]].tolist(), end[new[first]].tolist(), strict=True)]))
+            which = self._known(hashes)
+        n = self.sizes.take(which)
+        edge = np.concatenate([[0], np.cumsum(n)])
+        out = self.flat.take(np.repeat(self.start.take(which) - edge[:-1], n) + np.arange(edge[-1]))
+        return out, np.diff(edge[np.concatenate([[0], np.cumsum(per)])])
 
 
 _SHARED: dict[str, _Tokens] = {}
@@ -478,8 +482,10 @@ def _unpack(digest: bool):
 def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, and ids array<int> (with digest: ids_crc32 instead), from the files alone."""
     files = spark.read.parquet(folder)
-    before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)  # one row for each segment, not for each document
-    starts = files.select("part", "segment", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    segments = files.select("part", "segment", before(Window.partitionBy("part").orderBy("segment")).alias("within"))
+    heads = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("above"))  # one row a part
+    starts = segments.join(heads, "part").select("part", "segment", (F.col("above") + F.col("within")).alias("base"))
     rows = files.mapInArrow(_unpack(digest), f"part int, segment int, doc_id long, inner long, n_tokens long, told {'long' if digest else 'array<int>'}")
     out = rows.join(starts, ["part", "segment"])
     return out.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", F.col("told").alias("ids_crc32" if digest else "ids"))

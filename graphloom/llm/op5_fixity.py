@@ -84,10 +84,11 @@ class Tree:
         """node, base: the file offset of each range, from the levels' sums and no global order."""
         base = None
         for level in reversed(self.levels):
-            rows = level.select("node", "bytes", F.expr(f"cast(floor(node / {FANOUT}.0) as long)").alias("up"))
+            top = base is None  # one or two nodes, -1 and 0: they follow each other
+            rows = level.select("node", "bytes", F.expr("0L" if top else f"cast(floor(node / {FANOUT}.0) as long)").alias("up"))
             within = Window.partitionBy("up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
             rows = rows.withColumn("before", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
-            base = rows.select("node", F.col("before").alias("base")) if base is None else rows.join(base.select(F.col("node").alias("up"), F.col("base").alias("above")), "up").select("node", (F.col("above") + F.col("before")).alias("base"))
+            base = rows.select("node", F.col("before").alias("base")) if top else rows.join(base.select(F.col("node").alias("up"), F.col("base").alias("above")), "up").select("node", (F.col("above") + F.col("before")).alias("base"))
         return base
 
 
