@@ -9,8 +9,9 @@ is read whole; only the recurrent state begins anew with each segment.
 
 Training takes a bounded sample of labelled rows: at most about
 `rows_per_language` rows of each language, drawn by a hash of id and text, and
-`segments_per_row` segments of each. The held-out quarter of the documents
-never takes part.
+`segments_per_row` segments of each, which are cut out before they leave the
+executors; of the `languages_most` most common values of lang (256; ties by name). The
+held-out quarter of the documents never takes part.
 
 Defined results. A null text, or one without a letter, is `und` with score 0.
 With nothing to learn from, every document is `und` with score 0. Rows with a
@@ -179,21 +180,15 @@ def fit(docs: DataFrame, languages_most: int = 256, rows_per_language: int = ROW
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_per_language / n))])
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    rows = known.where(drawn).select("lang", "text").limit(2 * rows_per_language * len(counts)).collect()
-    rows = sorted((r["lang"], r["text"]) for r in rows)
+    many = F.ceil(F.octet_length("text") / SEGMENT)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(segments_per_row - 1)), lambda k: F.pmod(F.xxhash64("doc_id", "text", k), many)))
+    cut = known.where(drawn & (many > 0)).select("lang", F.col("text").cast("binary").alias("raw"), F.explode(places).alias("k"))
+    cut = cut.select("lang", F.substring("raw", F.col("k") * SEGMENT + 1, F.lit(SEGMENT)).alias("piece"))
+    rows = sorted((r["lang"], bytes(r["piece"])) for r in cut.limit(2 * rows_per_language * segments_per_row * len(counts)).collect())
     languages = sorted(counts)
-    rng = np.random.default_rng(3)
-    parts, targets = [], []
-    for lang, text in rows:
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        many = -(-len(raw) // SEGMENT)
-        for k in sorted(rng.choice(many, min(many, segments_per_row), replace=False)) if many else ():
-            piece = np.full(SEGMENT, _PAD, dtype=np.uint8)
-            cut = raw[k * SEGMENT : (k + 1) * SEGMENT]
-            piece[: len(cut)] = cut
-            if _LETTER[piece].any():
-                parts.append(piece)
-                targets.append(languages.index(lang))
+    pieces = [(lang, np.frombuffer(piece.ljust(SEGMENT, b" "), dtype=np.uint8)) for lang, piece in rows]
+    pieces = [(lang, piece) for lang, piece in pieces if _LETTER[piece].any()]
+    parts, targets = [p for _, p in pieces], [languages.index(lang) for lang, _ in pieces]
     if not parts:
         return None
     ids = np.stack(parts, axis=1)

@@ -5,12 +5,14 @@ always stay. Beside them, high-recall generators propose spans that may overlap:
 number groups, key-like tokens, spelled-out addresses and account codes.
 Gradient boosted trees score each proposal by its format and context; a
 proposal is selected from its generator's threshold on, which is calibrated to
-a precision on examples that the trees were not fitted to. Of selected
+a precision. Of selected
 proposals that overlap, the one with the higher probability stays; none stays
-that touches a base span.
+that touches a base span. redacted() puts the kind in place of each span.
 
 The trees are fitted here, on a bounded set of EXAMPLES labelled texts that
-SQL expressions make up from templates, and are then one SQL expression. The
+SQL expressions make up from templates, and are then one SQL expression. Every other
+template is kept from them whole: thresholds are calibrated on kinds of text that the
+trees have not seen. The
 scan over the documents has no join, no shuffle and no code outside the JVM.
 
 Positions come from two views of one pattern: the matches, and the pieces
@@ -42,8 +44,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 GENERATORS = {
     "number": r"(?<![0-9A-Za-z])\(?[0-9]{2,4}+[)\x20./-](?:[\x20]?+[0-9]{1,6}+[\x20./-]?+){1,5}+",
-    "key": r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_-]{12,256}+(?![A-Za-z0-9+/_-])",
-    "address": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+\x20?[\[(]\x20?(?:at|AT|@)\x20?[\])]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?(?:[\[(]\x20?(?:dot|DOT)\x20?[\])]|\.)\x20?[A-Za-z0-9-]{1,64}+)+",
+    "key": r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_-]{12,}+",
+    "address": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(]\x20?(?:at|AT|@)\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]\x20?(?:dot|DOT)\x20?[\])]|\.)\x20?[A-Za-z0-9-]++)+",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 EXAMPLES = 4000
@@ -106,7 +108,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 _HAS_DIGIT = "[0-9]"
-FEATURES = ["generator", "length", "digits", "letters", "uppers", "separators", "groups", "phone_like", "national", "date_like", "cue", "assigned", "distinct", "hex"]
+FEATURES = ["generator", "length", "digits", "letters", "uppers", "separators", "groups", "phone_like", "national", "date_like", "cue", "assigned", "distinct", "hex", "at", "domain"]
 _CUES = r"(?i)(?:tel|phone|call|fax|mobile|cell|ssn|social|password|passwd|pwd|token|secret|key|iban|account|acct|login|mail|contact)"
 
 
@@ -129,6 +131,8 @@ def _features(x: Column, generator: Column) -> Column:
         flag(before.rlike(r"[=:]\x20?[\"']?$")),
         F.size(F.array_distinct(F.split(m, ""))),
         flag(m.rlike("^[0-9a-f]+$")),
+        flag(m.rlike(r"(?i)[\[(]\x20?(?:at|@)\x20?[\])]")),
+        flag(m.rlike(r"(?:(?:dot|DOT)\x20?[\])]|\.)\x20?[a-z]{2,6}$")),
     )
 
 
@@ -229,7 +233,8 @@ class Trees:
             right = np.cumsum(y[mine]) / np.arange(1, len(mine) + 1)
             last = np.append(p[mine][1:] != p[mine][:-1], True) if len(mine) else np.zeros(0, bool)
             good = np.flatnonzero((right >= precision) & last & (p[mine] >= 0.5))
-            self.thresholds[g] = float(p[mine[good[-1]]]) - 1e-9 if len(good) else 2.0
+            below = p[mine[good[-1] + 1 :]].max(initial=0.0) if len(good) else 0.0
+            self.thresholds[g] = max(0.5, float(p[mine[good[-1]]] + below) / 2) if len(good) else 2.0  # midway to the next example
         return self
 
     def expression(self, x: Column) -> Column:
@@ -243,29 +248,40 @@ class Trees:
 
 def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     """text, y: made-up texts with one thing that looks like personal data; y tells whether it is."""
-    # 40 pseudo-random digits, hex digits and capitals for each row
+    # 40 pseudo-random digits, hex digits, and letters with the digits 2 to 7 for each row
     base = spark.range(n).select(
         "id",
         F.regexp_replace(F.concat(*[F.format_string("%020d", F.abs(F.xxhash64("id", F.lit(k)))) for k in range(2)]), "^0+", "7").alias("d"),
         F.lower(F.sha2(F.col("id").cast("string"), 256)).alias("h"),
-        F.translate(F.upper(F.sha2(F.concat(F.lit("k"), F.col("id").cast("string")), 256)), "01", "XQ").alias("k"),
+        F.translate(F.upper(F.sha2(F.concat(F.lit("k"), F.col("id").cast("string")), 256)), "0189BD", "XQHVUL").alias("k"),
     )
     d = lambda a, n: f"substr(d, {a}, {n})"
+    # In pairs: the trees are fitted to the first of each, thresholds are calibrated on the second.
     positive = [
         f"concat('call (', {d(1, 3)}, ') ', {d(4, 3)}, '-', {d(7, 4)}, ' now')",
-        f"concat('the one at (', {d(1, 3)}, ') ', {d(4, 3)}, '-', {d(7, 4)}, ' or')",
         f"concat('phone: ', {d(1, 3)}, '-', {d(4, 3)}, '-', {d(7, 4)}, '.')",
+        f"concat('the one at (', {d(1, 3)}, ') ', {d(4, 3)}, '-', {d(7, 4)}, ' or')",
         f"concat('this is ', {d(1, 3)}, '.', {d(4, 3)}, '.', {d(7, 4)}, ' and')",
-        f"concat('ssn ', {d(1, 3)}, '-', {d(4, 2)}, '-', {d(6, 4)}, ' on file')",
         f"concat('has ', {d(1, 3)}, '-', {d(4, 2)}, '-', {d(6, 4)}, ' since')",
+        f"concat('ssn ', {d(1, 3)}, '-', {d(4, 2)}, '-', {d(6, 4)}, ' on file')",
         "concat('password=', substr(h, 1, 18), ' was')",
         "concat('token = \"', substr(h, 3, 40), '\" in')",
         "concat('and AKIA', substr(k, 1, 16), ' then')",
         "concat('secret: ', substr(k, 5, 12), substr(h, 9, 12), ' end')",
-        f"concat('iban DE', {d(1, 2)}, ' ', {d(3, 4)}, ' ', {d(7, 4)}, ' ', {d(11, 4)}, ' ', {d(15, 4)}, ' ', {d(19, 2)}, ' to')",
+        "concat('api_key: ', substr(h, 7, 32), ' for')",
+        "concat('login with ', substr(k, 1, 6), substr(h, 1, 14), ' here')",
+        "concat('the AKIA', translate(substr(k, 20, 16), '2345', 'MNPR'), ' was')",
+        "concat('it took ', translate(substr(k, 3, 20), '4567', 'RSTW'), ' once')",
+        "concat('bearer ', k, h, k, ' sent')",
+        "concat('session=', h, k, h, k, h, ';')",
         f"concat('pay FR', {d(1, 2)}, {d(3, 20)}, ' by')",
-        "concat('write jo', substr(h, 1, 3), ' [at] mail', substr(h, 4, 2), ' [dot] com today')",
+        f"concat('account: NL', {d(1, 2)}, 'ABNA', {d(3, 10)}, '.')",
+        f"concat('from GB', {d(1, 2)}, ' WEST ', {d(3, 4)}, ' ', {d(7, 4)}, ' ', {d(11, 4)}, ' ', {d(15, 2)}, ' at')",
+        f"concat('iban DE', {d(1, 2)}, ' ', {d(3, 4)}, ' ', {d(7, 4)}, ' ', {d(11, 4)}, ' ', {d(15, 4)}, ' ', {d(19, 2)}, ' to')",
         "concat('me', substr(h, 1, 3), '(at)site.org')",
+        "concat('write jo', substr(h, 1, 3), ' [at] mail', substr(h, 4, 2), ' [dot] com today')",
+        "concat('reach x', substr(h, 1, 4), ' (at) home', substr(h, 5, 2), ' (dot) net or')",
+        "concat('mail: an', substr(h, 1, 2), '.b[at]example', substr(h, 3, 2), '[dot]org.')",
     ]
     negative = [
         f"concat('on 20', {d(1, 2)}, '-0', 1 + pmod(id, 9), '-1', pmod(id, 10), ' it')",
@@ -282,7 +298,14 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         f"concat('room AB', {d(1, 2)}, ' ROOM HALL of')",
         "concat('commit ', substr(h, 1, 40), ' fixed')",
         "concat('half(at)the-best of 3')",
+        f"concat('it came (at) ', {d(1, 1)}, '.', {d(2, 2)}, ' daily')",
+        f"concat('sold [at] ', {d(1, 2)}, '.50 each')",
+        "concat('look (at) chapter', pmod(id, 7), '.Then go')",
+        "concat('met (at) noon.We left ', pmod(id, 9))",
+        f"concat('line AB', {d(1, 2)}, ' CDEF GHIJ in')",
+        f"concat('row XY', {d(1, 2)}, 'TEXT HERE on')",
     ]
+    assert len(positive) % 2 == len(negative) % 2 == 0
     both = [(t, 1) for t in positive] + [(t, 0) for t in negative]
     pick = "CASE pmod(id, {}) {} END".format(len(both), " ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(both)))
     label = "CASE WHEN pmod(id, {}) < {} THEN 1 ELSE 0 END".format(len(both), len(positive))
@@ -291,13 +314,13 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
 
 def train(spark: SparkSession) -> Trees:
     rows = examples(spark).select("id", "y", F.explode(proposals(F.col("text"))).alias("c")).select("id", "y", "c.x").orderBy("id", "c.s", "c.g").collect()
-    x, y, half = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float), np.array([r["id"] // 28 % 2 for r in rows])
+    x, y, half = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float), np.array([r["id"] % 2 for r in rows])  # the template is id modulo their even number
     return Trees().fit(x[half == 0], y[half == 0]).calibrate(x[half == 1], y[half == 1])
 
 
 def detect(docs: DataFrame, trees: Trees, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (doc_id by default), base and spans: array<struct<s, k, e>> in order, k the kind's number in KINDS."""
-    carry = carry or ["doc_id"]
+    """The carried columns (doc_id by default), the text (null: empty), base and spans: array<struct<s, k, e>> in order, k the kind's number in KINDS."""
+    carry = [c for c in carry or ["doc_id"] if c not in ("text", "base", "spans")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*carry).alias("row"), text.alias("text"))
     rows = rows.withColumn("any", F.col("text").rlike(r"[0-9]|@|[\[(]\x20?(?:at|AT)"))
@@ -329,7 +352,7 @@ def detect(docs: DataFrame, trees: Trees, carry: list[str] | None = None) -> Dat
     swept = F.aggregate(F.array_sort(F.concat(fixed, F.col("chosen"))), start, sweep)["kept"]
     added = F.transform(swept, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     rows = rows.withColumn("spans", F.when(F.size("chosen") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base")))
-    return rows.select("row.*", "base", "spans")
+    return rows.select("row.*", "text", "base", "spans")
 
 
 def listed(spans: str) -> Column:
@@ -338,7 +361,21 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with [KIND] in place of each span; of spans that overlap, the first one's kind stands for all."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    cut = lambda low, high: F.substring(text, low + 1, high - low)
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        apart = (x["s"] >= a["at"]) | (F.size(a["out"]) == 0)
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(apart, F.concat(a["out"], F.array(cut(a["at"], x["s"]), names[x["k"]]))).otherwise(a["out"]).alias("out"))
+
+    done = lambda a: F.concat(F.array_join(a["out"], ""), cut(a["at"], F.greatest(F.length(text), a["at"])))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, done))
+
+
 def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(spark))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.sha2(redacted(F.col("text"), F.col("spans")), 256).alias("redacted_sha256"))
