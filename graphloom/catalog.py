@@ -249,8 +249,10 @@ def required_coordinates(spark, d):
     return index.distinct_requires(index.requires(facts)).select("repo", "coordinate", "kind")
 
 
-@query("declared_overrides", """SELECT 'o' || l_orderkey AS "from", 'example.com/p' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') || '/n' || l_linenumber || 's' || l_suppkey AS want, CASE WHEN l_linestatus = 'O' AND l_partkey % 2 = 1 THEN 'path-outside-repo' ELSE 'published' END AS resolves_from,
-        CASE WHEN l_linestatus = 'O' AND l_partkey % 2 = 1 THEN '../q' END AS resolves_via FROM lineitem WHERE l_returnflag <> 'R'""")
+# A replacement goes by path: where an order has the same path twice, the first one's local replacement counts for both.
+@query("declared_overrides", """WITH r AS (SELECT 'o' || l_orderkey AS "from", 'example.com/p' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') || '/n' || l_linenumber || 's' || l_suppkey AS want, l_linestatus = 'O' AND l_partkey % 2 = 1 AS swapped, l_returnflag FROM lineitem),
+        p AS (SELECT "from", want, bool_or(swapped) AS away FROM r GROUP BY "from", want)
+    SELECT r."from", r.want, CASE WHEN away THEN 'path-outside-repo' ELSE 'published' END AS resolves_from, CASE WHEN away THEN '../q' END AS resolves_via FROM r JOIN p ON r."from" = p."from" AND r.want = p.want WHERE l_returnflag <> 'R'""")
 def declared_overrides(spark, d):
     return index.declarations({"gomod": W.facts_of("gomod", spark, d)}).select("from", "want", "resolves_from", "resolves_via")
 
@@ -331,9 +333,9 @@ def unresolved_declarations(spark, d):
 
 @query("third_party_scope", """SELECT count(*) FILTER (WHERE m = 0) AS kept, count(*) FILTER (WHERE m <> 0) AS third_party FROM (SELECT o_orderkey % 3 AS m FROM orders)""")
 def third_party_scope(spark, d):
-    want = F.concat(F.lit("github.com/Own"), c("o_orderkey") % 3, F.lit("/x/y"))
-    kept = resolve.in_scope(F.lit("go-module-path"), want, F.array(F.lit("own0")))
-    return t(spark, d, "orders").agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("third_party"))
+    wants = t(spark, d, "orders").select(F.concat(F.lit("github.com/Own"), c("o_orderkey") % 3, F.lit("/x/y")).alias("want"), F.lit("go-module-path").alias("rule"))
+    repos = t(spark, d, "region").select(F.lit("own0/r").alias("github"))
+    return resolve.scoped(wants, repos).agg(F.count_if("in_scope").alias("kept"), F.count_if(~c("in_scope")).alias("third_party"))
 
 
 @query("escaping_paths", """SELECT p_partkey, p_size % 5 >= 3 AS outside FROM part""")

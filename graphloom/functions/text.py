@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once, however often `of` names it and in whatever lambda."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_string
+from ..functions.text import bound, json_string
 
 _DETAIL = ["detail", "version", "rev"]
 
@@ -137,11 +137,19 @@ def dangling(edges: DataFrame, edge_kinds: DataFrame, resolution: DataFrame) ->
 
 def first_difference(expected: Column, actual: Column) -> Column:
     """struct(line, context) of the first line in which two texts differ; null if none does. Three lines stand before it."""
-    a, b = F.split(expected, "\n", -1), F.split(actual, "\n", -1)
-    n = F.greatest(F.size(a), F.size(b))
-    differs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
-    at = F.array_position(differs, F.lit(True)).cast("int")
-    shown = F.transform(F.slice(a, F.greatest(at - 3, F.lit(1)), F.least(at - 1, F.lit(3))), lambda x: F.concat(F.lit("  "), x))
-    end = F.lit("<end of file>")
-    last = F.array(F.concat(F.lit("- expected:  "), F.coalesce(F.get(a, at - 1), end)), F.concat(F.lit("+ committed: "), F.coalesce(F.get(b, at - 1), end)))
-    return F.when(at > 0, F.struct(at.alias("line"), F.array_join(F.concat(shown, last), "\n").alias("context")))
+    both = F.struct(F.split(expected, "\n", -1).alias("a"), F.split(actual, "\n", -1).alias("b"))
+
+    def told(texts: Column) -> Column:
+        a, b = texts["a"], texts["b"]
+        # Texts of unlike length differ behind the shorter one's end, if not before: zipping fills it with nulls.
+        at = F.array_position(F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: ~z["x"].eqNullSafe(z["y"])), F.lit(True)).cast("int")
+        return F.struct(a.alias("a"), b.alias("b"), at.alias("at"))
+
+    def shown(t: Column) -> Column:
+        a, b, at = t["a"], t["b"], t["at"]
+        before = F.transform(F.slice(a, F.greatest(at - 3, F.lit(1)), F.least(at - 1, F.lit(3))), lambda x: F.concat(F.lit("  "), x))
+        end = F.lit("<end of file>")
+        last = F.array(F.concat(F.lit("- expected:  "), F.coalesce(F.get(a, at - 1), end)), F.concat(F.lit("+ committed: "), F.coalesce(F.get(b, at - 1), end)))
+        return F.when(at > 0, F.struct(at.alias("line"), F.array_join(F.concat(before, last), "\n").alias("context")))
+
+    return bound(bound(both, told), shown)

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_local_replacement
-from ..functions.text import full, line_of, lines, trimmed, unquoted
+from ..functions.text import bound, full, line_of, lines, trimmed, unquoted
 from ..schemas import CARGO_TABLES, DDL, NPM_TABLES, TENANCY_KEY
 
 _STRINGS = "array<string>"
@@ -50,54 +50,76 @@ def _type(fmt: str) -> str:
 # ---------------------------------------------------------------- line formats
 
 
-def gomod(text: Column) -> Column:
-    """go.mod: the module, its requirements and its replacements, single or in blocks."""
+_GO_ROW = "array<struct<kind:string,body:string,indirect:boolean,line:int>>"
+
+
+def _gomod_rows(text: Column) -> Column:
+    """The directives of a go.mod in the order of the file: kind, body (without comment), indirect, line.
+
+    A block runs from its opening line to the next line that is a lone parenthesis. So the lone parentheses cut the file
+    into stretches, and each stretch is single lines up to its first opening and a block behind it; no state is
+    carried from line to line."""
     opener = r"^(require|replace|exclude|retract)\s*\($"
+    numbered = F.transform(lines(text), lambda x, i: F.struct(x.alias("x"), trimmed(x).alias("t"), (i + 1).alias("n")))
+
+    def row(line: Column, kind: Column, body: Column) -> Column:
+        return F.struct(kind.alias("kind"), trimmed(body).alias("body"), line["x"].rlike(r"//\s*indirect").alias("indirect"), line["n"].cast("int").alias("line"))
+
+    def single(line: Column) -> Column:
+        kind = F.when(line["t"].rlike(r"^replace\s"), "replace").when(line["t"].rlike(r"^require\s"), "require")
+        return row(line, kind, F.regexp_extract(trimmed(F.regexp_replace(line["t"], "//.*$", "")), r"^(?:require|replace)\s+(.+)$", 1))
+
+    def cut(rows: Column) -> Column:
+        ends = F.transform(F.filter(rows, lambda r: r["t"] == ")"), lambda r: r["n"])
+        opens = F.filter(rows, lambda r: r["t"].rlike(opener))
+        edges = F.concat(F.array(F.lit(0)), ends, F.array(F.size(rows) + 1))
 
-    def step(a: Column, line: Column) -> Column:
-        t = trimmed(line)
-        opens = a["block"].isNull() & t.rlike(opener)
-        closes = a["block"].isNotNull() & (t == ")")
-        opened = F.when(t.startswith("re") & ~t.startswith("ret"), F.regexp_extract(t, opener, 1)).otherwise("ignored")
-        after = F.when(opens, opened).when(closes, _none()).otherwise(a["block"])
-        bare = trimmed(F.regexp_replace(t, "//.*$", ""))
-        single = F.when(a["block"].isNull() & t.rlike(r"^replace\s"), "replace").when(a["block"].isNull() & t.rlike(r"^require\s"), "require")
-        kind = F.when(opens | closes | (a["block"] == "ignored"), _none()).otherwise(F.coalesce(a["block"], single))
-        body = F.when(a["block"].isNotNull(), bare).otherwise(trimmed(F.regexp_extract(bare, r"^(?:require|replace)\s+(.+)$", 1)))
-        row = F.struct(kind.alias("kind"), body.alias("body"), line.rlike(r"//\s*indirect").alias("indirect"), (a["n"] + 1).alias("line"))
-        return F.struct(after.alias("block"), (a["n"] + 1).alias("n"), F.when(kind.isNotNull() & (body != ""), F.concat(a["rows"], F.array(row))).otherwise(a["rows"]).alias("rows"))
-
-    start = F.struct(_none().alias("block"), F.lit(0).alias("n"), _empty("array<struct<kind:string,body:string,indirect:boolean,line:int>>").alias("rows"))
-    rows = F.aggregate(lines(text), start, step)["rows"]
+        def stretch(i: Column) -> Column:
+            low, high = F.get(edges, i), F.get(edges, i + 1)
+            first = F.get(F.filter(opens, lambda o: (o["n"] > low) & (o["n"] < high)), F.lit(0))
+            return F.struct(low.alias("low"), F.coalesce(first["n"], high).alias("open"), high.alias("high"), F.regexp_extract(first["t"], opener, 1).alias("kind"))
+
+        def directives(s: Column) -> Column:
+            alone = F.transform(F.slice(rows, s["low"] + 1, s["open"] - s["low"] - 1), single)
+            inside = F.transform(F.slice(rows, s["open"] + 1, F.greatest(s["high"] - s["open"] - 1, F.lit(0))), lambda r: row(r, s["kind"], F.regexp_replace(r["t"], "//.*$", "")))
+            return F.concat(alone, F.when(s["kind"].isin("require", "replace"), inside).otherwise(_empty(_GO_ROW)))
+
+        return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), stretch), directives))
+
+    return F.filter(bound(numbered, cut), lambda r: r["kind"].isNotNull() & (r["body"] != ""))
+
+
+def gomod(text: Column) -> Column:
+    """go.mod: the module, its requirements and its replacements, single or in blocks."""
     words = lambda c: F.filter(F.split(trimmed(c), r"\s+"), lambda w: w != "")
-    requires = F.transform(
-        F.filter(rows, lambda r: (r["kind"] == "require") & (F.size(F.split(r["body"], r"\s+")) >= 2)),
-        lambda r: F.struct(F.split(r["body"], r"\s+")[0].alias("path"), F.split(r["body"], r"\s+")[1].alias("version"), r["indirect"].alias("indirect"), r["line"].alias("line")),
-    )
-    halves = F.transform(
-        F.filter(rows, lambda r: (r["kind"] == "replace") & (F.size(F.split(r["body"], "=>", -1)) == 2)),
-        lambda r: F.struct(words(F.split(r["body"], "=>", -1)[0]).alias("l"), words(F.split(r["body"], "=>", -1)[1]).alias("r"), r["line"].alias("line")),
-    )
-    replaces = F.transform(
-        F.filter(halves, lambda h: (F.size(h["l"]) > 0) & (F.size(h["r"]) > 0)),
-        lambda h: F.struct(
-            h["l"][0].alias("path"),
-            F.get(h["l"], F.lit(1)).alias("version"),
-            h["r"][0].alias("with"),
-            F.get(h["r"], F.lit(1)).alias("withVersion"),
-            is_local_replacement(h["r"][0]).alias("local"),
-            h["line"].alias("line"),
-        ),
-    )
+
+    def told(rows: Column) -> Column:
+        named = F.transform(F.filter(rows, lambda r: r["kind"] == "require"), lambda r: F.struct(F.split(r["body"], r"\s+").alias("w"), r["indirect"].alias("indirect"), r["line"].alias("line")))
+        requires = F.transform(F.filter(named, lambda r: F.size(r["w"]) >= 2), lambda r: F.struct(r["w"][0].alias("path"), r["w"][1].alias("version"), r["indirect"].alias("indirect"), r["line"].alias("line")))
+        sides = F.transform(F.filter(rows, lambda r: r["kind"] == "replace"), lambda r: F.struct(F.split(r["body"], "=>", -1).alias("s"), r["line"].alias("line")))
+        halves = F.transform(F.filter(sides, lambda r: F.size(r["s"]) == 2), lambda r: F.struct(words(r["s"][0]).alias("l"), words(r["s"][1]).alias("r"), r["line"].alias("line")))
+        replaces = F.transform(
+            F.filter(halves, lambda h: (F.size(h["l"]) > 0) & (F.size(h["r"]) > 0)),
+            lambda h: F.struct(
+                h["l"][0].alias("path"),
+                F.get(h["l"], F.lit(1)).alias("version"),
+                h["r"][0].alias("with"),
+                F.get(h["r"], F.lit(1)).alias("withVersion"),
+                is_local_replacement(h["r"][0]).alias("local"),
+                h["line"].alias("line"),
+            ),
+        )
+        return F.struct(
+            _sorted(requires, ["path", "line"], ["path", "version", "indirect", "line"]).alias("requires"),
+            _sorted(replaces, ["path", "line"], ["path", "version", "with", "withVersion", "local", "line"]).alias("replaces"),
+        )
+
     module = F.nullif(F.regexp_extract(text, r"(?m)^module\s+(\S+)", 1), F.lit(""))
-    return _facts(
-        "gomod",
-        text.isNotNull(),
-        module=module,
-        publishes=F.when(module.isNull(), _empty(_STRINGS)).otherwise(F.array(module)),
-        requires=_sorted(requires, ["path", "line"], ["path", "version", "indirect", "line"]),
-        replaces=_sorted(replaces, ["path", "line"], ["path", "version", "with", "withVersion", "local", "line"]),
-    )
+
+    def facts(rows: Column) -> Column:
+        return _facts("gomod", text.isNotNull(), module=module, publishes=F.when(module.isNull(), _empty(_STRINGS)).otherwise(F.array(module)), requires=rows["requires"], replaces=rows["replaces"])
+
+    return bound(bound(_gomod_rows(text), told), facts)
 
 
 def taskfile(text: Column) -> Column:
@@ -117,7 +139,12 @@ def version_pin(file_name: Column, text: Column) -> Column:
 
 def workflow(text: Column) -> Column:
     """A workflow: the dispatched events it listens for, and those that it dispatches. Comment lines count for nothing."""
-    rows = F.transform(lines(text), lambda x: F.when(x.rlike(r"^\s*#"), "").otherwise(x))
+    plain = F.transform(lines(text), lambda x: F.when(x.rlike(r"^\s*#"), "").otherwise(x))
+    return bound(plain, lambda rows: _facts("workflow", text.isNotNull(), listensFor=_listens(rows), dispatches=_dispatches(rows)))
+
+
+def _listens(rows: Column) -> Column:
+    """The names of events that the lines listen for, sorted."""
     inline, block, item = r"^\s*types:\s*\[(.*)\]\s*$", r"^\s*types:\s*$", r"^\s*-\s*(.+?)\s*$"
     first_true = lambda flags: F.array_position(flags, F.lit(True)).cast("int")
 
@@ -135,6 +162,12 @@ def workflow(text: Column) -> Column:
 
     number = F.sequence(F.lit(1), F.size(rows))
     listeners = F.filter(number, lambda i: F.get(rows, i - 1).rlike(r"^\s*repository_dispatch:\s*$"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(listeners, heard))))
+
+
+def _dispatches(rows: Column) -> Column:
+    """The dispatches of the lines, each with its literal target if it has one."""
+    number = F.sequence(F.lit(1), F.size(rows))
     target, event = r"gh\s+api\s+repos/(\S+?)/dispatches", r"event_type=([A-Za-z0-9._-]+)"
     senders = F.filter(number, lambda i: F.get(rows, i - 1).rlike(target))
 
@@ -147,12 +180,7 @@ def workflow(text: Column) -> Column:
 
     dispatches = F.filter(F.transform(senders, sent), lambda d: d["event"].isNotNull())
     keyed = F.transform(dispatches, lambda d: F.struct(F.concat(d["event"], F.coalesce(d["repo"], F.lit(""))).alias("key"), *[d[n].alias(n) for n in ("event", "owner", "repo", "line")]))
-    return _facts(
-        "workflow",
-        text.isNotNull(),
-        listensFor=F.array_sort(F.array_distinct(F.flatten(F.transform(listeners, heard)))),
-        dispatches=_sorted(keyed, ["key", "line"], ["event", "owner", "repo", "line"]),
-    )
+    return _sorted(keyed, ["key", "line"], ["event", "owner", "repo", "line"])
 
 
 # ---------------------------------------------------------------- JSON formats

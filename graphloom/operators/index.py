@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import escapes_root
-from ..functions.text import full
+from ..functions.text import bound, full
 from ..schemas import EVIDENCE, TENANCY_KEY
 
 Facts = dict[str, DataFrame]
@@ -96,8 +96,13 @@ def declarations(facts: Facts) -> DataFrame:
         parts.append(_declare(d.where("d.git is null"), "crate-name", "library", F.coalesce("d.package", "d.name"), "cargo", version=c("d.version"), **override, **where))
         parts.append(_declare(d.where("d.git is not null"), "git-url", "library", F.coalesce(github_of(c("d.git")), "d.git"), "cargo", detail=c("d.git"), version=c("d.version"), rev=c("d.rev"), **override, **where))
     if "gomod" in facts:
-        d = each("gomod", F.filter("facts.requires", lambda r: ~r["indirect"]))
-        local = F.get(F.filter("facts.replaces", lambda r: (r["path"] == c("d.path")) & r["local"]), F.lit(0))["with"]
+        # The first local replacement of each path, as one map of the file.
+        swaps = F.filter("facts.replaces", lambda r: r["local"])
+        first = lambda rows: F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["path"] != r["path"]))  # noqa: E731  # they are sorted by path and line
+        swapped = bound(swaps, lambda rows: F.map_from_entries(F.transform(first(rows), lambda r: F.struct(r["path"], r["with"]))))
+        direct = facts["gomod"].select("repo", "path", swapped.alias("swapped"), F.filter("facts.requires", lambda r: ~r["indirect"]).alias("direct"))
+        d = direct.select("repo", "path", "swapped", F.explode("direct").alias("d"))
+        local = F.try_element_at("swapped", "d.path")
         parts.append(_declare(d, "go-module-path", "library", c("d.path"), "gomod", version=c("d.version"), source=_from_path(local, c("path")), via=local, line=c("d.line")))
     if "npm" in facts:
         d = each("npm", "facts.deps")

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..schemas import RESOLUTION
+from ..sources.store import written
 
 
 def first_claims(ownership: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -29,8 +31,7 @@ def resolve_exact(wants: DataFrame, ownership: DataFrame, order: list[str] | Non
 
 def prefixes(path: Column) -> Column:
     """The path and all its prefixes that end before a slash."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return bound(F.split(path, "/"), lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
 
 
 def resolve_prefix(wants: DataFrame, ownership: DataFrame, kind: str = "go-module-path", order: list[str] | None = None) -> DataFrame:
@@ -86,7 +87,8 @@ _CONFIDENCE = {rule: confidence for rule, confidence, _ in RESOLUTION}
 def resolve_all(declared: DataFrame, ownership: DataFrame, facts: dict[str, DataFrame], repos: DataFrame) -> DataFrame:
     """Declarations with to, matched and the rule that identified the target; `to` is null where none did.
 
-    ownership has the executables' claims too."""
+    ownership has the executables' claims too. Each rule reads both tables anew, so they are written first."""
+    declared, ownership = written(declared), written(ownership)
     index_rules = ["crate-name", "go-module-path", "npm-package-name", "mcp-server-name", "oci-identifier", "executable-name"]
     keep = [c for c in declared.columns if c != "rule"]
     by_index = declared.where(F.col("rule").isin(index_rules)).withColumnsRenamed({"rule": "kind0"})
@@ -132,23 +134,35 @@ def is_exact(rule: Column) -> Column:
     return rule.isin([r for r, c in _CONFIDENCE.items() if c == "exact"])
 
 
-def in_scope(rule: Column, want: Column, owners: Column) -> Column:
-    """Whether a coordinate that leads nowhere is a gap of the map: it names one of the roster's owners, or
-    belongs to no public registry. All others are third parties' and are counted only."""
+def owner_of(rule: Column, want: Column) -> Column:
+    """The owner that a coordinate names, in lower case; null if it names none."""
     owner = (
         F.when(rule == "go-module-path", F.regexp_extract(want, r"^github\.com/([^/]+)/", 1))
         .when(rule == "npm-package-name", F.regexp_extract(want, r"^@([^/]+)/", 1))
         .when(rule == "oci-identifier", F.regexp_extract(want, r"^[^/]+/([^/]+)/", 1))
         .when(rule.isin("git-url", "github-ref", "release-url"), F.regexp_extract(want, r"^([^/:]+)/[^/]+$", 1))
     )
-    unlisted = rule.isin("mcp-server-name", "executable-name", "bundle-name", "tenancy-key", "dispatch-target")
-    return unlisted | F.coalesce(F.array_contains(owners, F.lower(owner)), F.lit(False))
+    return F.nullif(F.lower(owner), F.lit(""))
+
+
+def unlisted(rule: Column) -> Column:
+    """Whether the rule's coordinates belong to no public registry."""
+    return rule.isin("mcp-server-name", "executable-name", "bundle-name", "tenancy-key", "dispatch-target")
+
+
+def scoped(rows: DataFrame, repos: DataFrame) -> DataFrame:
+    """rows (rule, want, ...) with in_scope: whether a coordinate that leads nowhere is a gap of the map.
+
+    It is one if it names an owner of the roster, or belongs to no public registry; all others are third parties' and
+    are counted only."""
+    owners = repos.select(F.lower(F.substring_index("github", "/", 1)).alias("owner"), F.lit(True).alias("ours")).where("owner <> ''").distinct()
+    told = rows.withColumn("owner", owner_of(F.col("rule"), F.col("want"))).join(owners, "owner", "left")
+    return told.withColumn("in_scope", unlisted(F.col("rule")) | F.coalesce("ours", F.lit(False))).drop("owner", "ours")
 
 
 def unresolved(resolved: DataFrame, repos: DataFrame) -> DataFrame:
     """from, want, via (the rule that was tried), reason."""
-    owners = repos.agg(F.collect_set(F.lower(F.substring_index("github", "/", 1))).alias("owners"))  # of a roster: authored, and small
-    gaps = resolved.where("to is null").crossJoin(F.broadcast(owners)).where(in_scope(F.col("rule"), F.col("want"), F.col("owners")))
+    gaps = scoped(resolved.where("to is null"), repos).where("in_scope")
     reason = (
         F.when(F.col("rule") == "dispatch-target", "no workflow dispatches this event to it")
         .when(F.col("rule").isin("git-url", "github-ref", "release-url"), "no repository of this address is on the roster")
