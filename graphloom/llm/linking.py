@@ -186,6 +186,95 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     return out
 
 
+#: A key's first members, in a pseudo-random order: each of the first CLOSE meets all before it, any other the first PIVOTS.
+CLOSE, PIVOTS = 16, 4
+#: A mark is 56 bits of SimHash above an 8-bit code of the size.
+_CODE = 0xFF
+SIZE_STEP = 1.1
+
+
+def size_code(n: np.ndarray) -> np.ndarray:
+    """Sizes within a fifth of each other have codes that differ by 3 at most."""
+    return np.minimum(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP), _CODE).astype(np.uint64)
+
+
+def marks_of(sim: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return sim[:, 0] & ~np.uint64(_CODE) | size_code(n)
+
+
+def _pairs(most: int, least_size: int):
+    """Rows (key, mixed, id, mark) in order of key and mixed; gives the pairs (a, b) that meet and whose marks allow a link."""
+    low = size_code(np.array([least_size]))[0]
+
+    def likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        cx, cy = x & np.uint64(_CODE), y & np.uint64(_CODE)
+        near = np.maximum(cx, cy) - np.minimum(cx, cy) <= 3
+        return near & ((np.minimum(cx, cy) < low) | (np.bitwise_count((x ^ y) & ~np.uint64(_CODE)) <= most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, seen = None, [], 0  # the last key, its first members, and how many it had
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids, mark = np.asarray(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3)).view(np.uint64)
+            fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+            key, ids, mark = key[fresh], ids[fresh], mark[fresh]  # a row that repeats stands behind its like
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            carried = now is not None and key[0] == now
+            if carried and first[-1][0] == ids[0] and seen <= len(first):
+                key, ids, mark = key[1:], ids[1:], mark[1:]
+                start = np.append(0, start[1:] - 1) if len(key) else start[:0]
+                if not len(key):
+                    continue
+                if len(start) > 1 and start[1] == 0:
+                    start, carried = start[1:], False
+            if carried:  # the carried members stand before the batch
+                ids = np.concatenate([np.array([i for i, _ in first], dtype=np.int64), ids])
+                mark = np.concatenate([np.array([m for _, m in first], dtype=np.uint64), mark])
+                start[1:] += len(first)
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+            place = np.arange(len(ids)) - start[group]
+            true_place = place.copy()
+            if carried:
+                true_place[group == 0] += seen - len(first)
+                true_place[: len(first)] = 0  # they have met already
+            out_a, out_b = [], []
+            for j in range(CLOSE - 1):
+                own = np.flatnonzero((true_place > j) & ((true_place < CLOSE) | (j < PIVOTS)))
+                other = start[group[own]] + j
+                good = likely(mark[own], mark[other]) & (ids[own] != ids[other])
+                out_a.append(np.maximum(ids[own], ids[other])[good])
+                out_b.append(np.minimum(ids[own], ids[other])[good])
+            s = int(start[-1])
+            seen = len(ids) - s + (seen - len(first) if carried and len(start) == 1 else 0)
+            now, first = key[-1], list(zip(ids[s : s + CLOSE].tolist(), mark[s : s + CLOSE].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    return run
+
+
+def likely_pairs(members: DataFrame, most: int, least_size: int = 0) -> DataFrame:
+    """Pairs (a, b), a > b, of members (key long, id long, mark long) that share a key, in number linear to the members.
+
+    The members of a key pass in a pseudo-random order and are never held together: each of the first CLOSE meets all
+    that came before it, any later one meets the first PIVOTS. So a group of likes is joined by its pivots, and a small
+    group is compared whole. Only pairs whose sizes allow a similarity of 0.8 and whose SimHashes differ in `most` of 56
+    bits at most go out (pairs with a size below least_size whatever their SimHashes are). Members of the most common
+    keys stay where they are: their pivots are found by partial aggregates and sent to them."""
+    members = members.select("key", F.xxhash64("id").alias("mixed"), "id", "mark")
+    hot = hot_keys(members)
+    rest = members.where(~F.col("key").isin(hot)) if hot else members
+    met = rest.repartition(parts(members), "key").sortWithinPartitions("key", "mixed", "id").mapInArrow(_pairs(most, least_size), "a long, b long")
+    if hot:
+        there = members.where(F.col("key").isin(hot))
+        pivots = there.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("m"), "id", "mark")).alias(f"p{k}") for k in range(PIVOTS)])
+        low = int(size_code(np.array([least_size]))[0])
+        each = there.join(F.broadcast(pivots), "key").select("id", "mark", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("id", F.col("p.id").alias("other"), F.col("mark").alias("x"), F.col("p.mark").alias("y"))
+        near = f"abs((x & {_CODE}) - (y & {_CODE})) <= 3 and (least(x & {_CODE}, y & {_CODE}) < {low} or bit_count((x ^ y) & ~{_CODE}L) <= {most})"
+        met = met.unionByName(each.where("id <> other").where(near).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")))
+    return met.distinct()
+
+
 #: Rows of a few numbers that may be broadcast: some tens of MB at most.
 BROADCAST_ROWS = 1 << 20
 
