@@ -173,8 +173,7 @@ def test_stream_of_sources(spark, tmp_path):
     def run():
         q = upsert.start_upserts(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "ck"))
         q.awaitTermination()
-        last = max((tmp_path / "state").iterdir(), key=lambda p: int(p.name[2:]))
-        return {(r["repo"], r["path"]): (r["content"], r["seq"]) for r in spark.read.parquet(str(last)).collect()}
+        return {(r["repo"], r["path"]): (r["content"], r["seq"]) for r in upsert.state_table(spark, str(tmp_path / "state")).collect()}
 
     put("1.json", ("a", "go.mod", "x", 1), ("a", "go.mod", "y", 2))
     assert run() == {("a", "go.mod"): ("y", 2)}
