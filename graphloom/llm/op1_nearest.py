@@ -12,15 +12,16 @@ Every vector is coded. A task codes its rows, scans the codes for each query
 with tables of 256 sums (two four-bit codes make a byte), takes the RERANK
 best of every chunk of rows, and ranks those anew by the exact cosine of the
 original vectors in double precision. It hands on k rows a query, so only
-k x queries x tasks rows are shuffled. The queries are shipped in blocks of at
-most QUERY_BLOCK, one scan for each block.
+k x queries x tasks rows are shuffled. The queries are shipped in blocks of about
+BLOCK_VALUES numbers, one scan for each block; a block's result is written before the next
+block is read.
 
 Of equal vectors only the k + 1 with the smallest ids can be among a query's
 k nearest; a chunk leaves the others out beforehand, which loses nothing.
 
 Defined results. Null, zero and non-finite vectors, those with a null or
-non-finite component, rows without an id, and vectors of another dimension
-than the most common one take no part. A query is not its own neighbour, nor
+non-finite component, and rows without an id take no part. Vectors of different
+dimensions have no cosine: each dimension is searched by itself. A query is not its own neighbour, nor
 is any row of its id. A row that repeats id and vector counts once. Ties go to
 the smaller id. With fewer than k candidates all of them are returned.
 """
@@ -28,17 +29,21 @@ the smaller id. With fewer than k candidates all of them are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .linking import saved
+
 K = 5
 RERANK = 64
 SAMPLE = 8192
 CHUNK = 16384
-QUERY_BLOCK = 1 << 15
+#: Numbers of the query vectors that are shipped at once: 32 MB.
+BLOCK_VALUES = 1 << 22
 #: The inner product, for unit vectors, above which errors matter; it sets the weight of parallel errors.
 THRESHOLD = 0.2
 CENTROIDS = 16
@@ -211,22 +216,27 @@ def _scan(q: Quantiser, query_ids: np.ndarray, queries: np.ndarray, k: int, rera
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int = RERANK, sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
+_RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int = RERANK, sample: int = SAMPLE, block_values: int = BLOCK_VALUES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id, embedding) the k nearest rows of vectors found."""
-    spark = vectors.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
-    sizes = valid(vectors).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], result)
-    dim, rows = sizes[0]
+    dims = valid(vectors).groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()  # one row for each dimension
+    found = [part for dim, rows in dims for part in _nearest_of(dim, rows, vectors, queries, k, rerank, sample, block_values)]
+    return reduce(lambda a, b: a.unionByName(b), found) if found else vectors.sparkSession.createDataFrame([], _RESULT)
+
+
+def _nearest_of(dim: int, rows: int, vectors: DataFrame, queries: DataFrame, k: int, rerank: int, sample: int, block_values: int) -> Iterator[DataFrame]:
+    """A table for each block of queries, written as soon as it is found: the driver holds one block at a time."""
     base, asked = valid(vectors, dim), valid(queries, dim).distinct()
+    many = asked.count()
+    if not many:
+        return
     share = min(1.0, sample / rows)
     drawn = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample).collect() or base.limit(16).collect()
-    drawn = sorted((r[0], r[1]) for r in drawn)
-    q = Quantiser(dim).fit(_units(np.array([v for _, v in drawn]))[1])
-    many = asked.count()
-    blocks = max(1, -(-many // query_block))
-    out = None
+    q = Quantiser(dim).fit(_units(np.array([v for _, v in sorted((r[0], r[1]) for r in drawn)]))[1])
+    blocks = -(-many * dim // block_values)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for b in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         block = sorted((r[0], r[1]) for r in mine.collect())
@@ -234,12 +244,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int = RE
             continue
         ids, x = np.array([i for i, _ in block], dtype=np.int64), np.array([v for _, v in block])
         found = base.mapInArrow(_scan(q, ids, x, k, rerank), "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], result)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = out.distinct().withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        yield saved(ranked) if blocks > 1 else ranked
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,40 @@ def test_recall_and_order(spark, data):
         assert [r["rank"] for r in own] == [1, 2, 3, 4, 5] and [(-r["score"], r["vec_id"]) for r in own] == sorted((-r["score"], r["vec_id"]) for r in own)
 
 
+def test_recall_of_a_full_chunk():
+    """A chunk of the size that production scans, with clusters and near copies, reranked as in production: recall against brute force."""
+    rng = np.random.default_rng(9)
+    n, dim = op1_nearest.CHUNK, 64
+    x = rng.normal(size=(n, dim)) + 2 * rng.normal(size=(200, dim))[rng.integers(0, 200, n)]
+    x[::7] = x[1::7][: len(x[::7])] + 0.05 * rng.normal(size=(len(x[::7]), dim))
+    asked = np.arange(0, n, 50)
+    units = op1_nearest._units(x)
+    q = op1_nearest.Quantiser(dim).fit(units[1][:: n // 4096])
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, min(n, i + 2000))), pa.array(list(x[i : i + 2000]))], names=["vec_id", "v"]) for i in range(0, n, 2000)]
+    out = list(op1_nearest._scan(q, asked, x[asked], op1_nearest.K, op1_nearest.RERANK)(iter(batches)))
+    got = {}
+    for b in out:
+        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got.setdefault(i, set()).add(v)
+    exact = units[0][asked] @ units[0].T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-exact, axis=1, kind="stable")[:, : op1_nearest.K]
+    recall = np.mean([len(got[i] & set(w.tolist())) / op1_nearest.K for i, w in zip(asked.tolist(), want, strict=True)])
+    print("recall of a full chunk", recall)
+    assert recall >= 0.9
+
+
+def test_blocks_and_dimensions(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4 if i % 3 else 2).tolist()) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = table.where("vec_id % 5 = 0")
+    one = sorted(map(tuple, op1_nearest.nearest(table, asked).collect()))
+    many = sorted(map(tuple, op1_nearest.nearest(table, asked, block_values=20).collect()))
+    assert len(one) == 24 * 5 and [r[:3] for r in one] == [r[:3] for r in many]
+    assert all((q % 3 == 0) == (v % 3 == 0) for q, _, v, _ in one)
+
+
 def test_odd_vectors(spark):
     schema = "vec_id long, embedding array<float>, rank int"
     rows = [(0, [1.0, 0.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0, 0.0], 1), (3, [1.0, None, 0.0], 1), (4, [float("nan"), 1.0, 0.0], 1), (5, [float("inf"), 1.0, 0.0], 1), (6, [2.0, 0.0, 0.0], 1), (6, [2.0, 0.0, 0.0], 1), (7, [0.0, 1.0, 0.0], 1), (8, [1.0, 1.0], 1), (None, [1.0, 0.0, 0.0], 1)]
