@@ -138,21 +138,19 @@ def joined_further(roots: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-#: Members of a key that are still in different components: up to so many are held against each other as they are.
-CROWD = 256
+#: Members of a key that are still in different components: up to so many are held against each other as pairs.
+FEW = 16
 
 
-def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least_percent: int, finer: Callable[[DataFrame, DataFrame], DataFrame], marks: list[str], likely: str = "true") -> DataFrame:
-    """id, root over all verified pairs that share a key, without emitting the pairs of a group of likes.
+def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], crowd: Callable[[DataFrame], DataFrame], least_percent: int, marks: list[str], likely: str = "true") -> DataFrame:
+    """id, root over all verified pairs that share a key; the pairs that are looked at are linear in the members.
 
-    First members of a key are held against the key's first member. Then only pairs whose members are
-    still in different components are held against each other: no link between components is lost.
-    A key with more than CROWD such members is split by finer keys before.
+    First members of a key are held against the key's first member. Of a key with few members that are still in
+    different components then, all such pairs are. The members of other such keys go to crowd, each once.
     least_percent: 100 x the smaller n must be that many percent of the larger n at least.
     fetch takes a table of ids, all that share a key, and returns one with what verify needs of each.
     verify takes pairs (a, b) and that table, and returns those pairs that are links.
-    finer takes a table with an id column and fetch's table, and returns (id, sub): sub-keys, of which the
-    members of a link share one.
+    crowd takes a table of ids and returns links (a, b) that connect whatever is linked among them.
     marks are columns of fetch's table; likely is a condition on x_<mark> and y_<mark> of the pairs past the first members."""
     rows = saved(shared_keys(members))
     ids = saved(rows.select("id").distinct())
@@ -166,21 +164,16 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     label = saved(rows.where("id <> pivot").distinct().join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
     dropped(rows)
     mixed = label.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low < high")
-    mixed = saved(mixed.select("key", (F.col("many") > CROWD).alias("crowd")))
+    mixed = saved(mixed.select("key", (F.col("many") <= FEW).alias("few")))
     left = saved(label.join(sized(mixed), "key"))
     dropped(label)
-    few, crowd = left.where("not crowd").select("key", "id", "n", "root"), left.where("crowd")
-    split = None
-    if crowd.limit(1).count():
-        subs = saved(finer(crowd.select("id").distinct(), held))
-        split = saved(crowd.join(subs, "id").select(F.xxhash64("key", "sub").alias("key"), "id", "n", "root"))
-        dropped(subs)
-        few = few.unionByName(split)
-    few = few.join(held.select("id", *marks), "id") if marks else few
+    few = left.where("few").join(held.select("id", *marks), "id")
     x, y = (few.select("key", F.col("id").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "root", *marks)]) for name, side in (("a", "x"), ("b", "y")))
     second = saved(verify(x.join(y, "key").where("a > b and x_root <> y_root").where(fits).where(likely).select("a", "b").distinct(), held))
-    out = joined_further(roots, second)
-    for t in (mixed, left, split, first, second, roots, held):
+    many = saved(left.where("not few").select("id").distinct())
+    further = saved(crowd(many)) if many.limit(1).count() else None
+    out = joined_further(roots, second.unionByName(further) if further is not None else second)
+    for t in (mixed, left, first, second, many, further, roots, held):
         if t is not None:
             dropped(t)
     return out

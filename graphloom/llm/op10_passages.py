@@ -5,12 +5,12 @@ Two kinds of text units take part.
 Paragraphs are lines of MIN_WORDS words or more, as sets of five-word shingles.
 MinHash values in bands, tuned to a recall of RECALL at the similarity, bring
 paragraphs together. A joined pair is a link when its exact Jaccard similarity
-is 0.8 or more; connected paragraphs are a cluster. A band of a large group of near
-copies costs a pass over it. Of a band's paragraphs that are not linked to its first
-one, those are held against each other whose SimHashes over shingles differ in SIM_MOST
-bits at most; a band of very many such paragraphs is split by necessary tokens first:
-of n shingles, rare ones first, the first n - ceil(0.8 n) + 1 must hold one that the
-partner's first ones hold too. Neither the split nor the place of a row changes what meets.
+is 0.8 or more; connected paragraphs are a cluster. All paragraphs of a band are held
+against its first one. Those that are in different clusters then are held against each
+other, if they are few and their SimHashes over shingles differ in SIM_MOST bits at most;
+if they are many (copies of one original that are less like each other, or unlike
+paragraphs around a common passage), op2_jaccard's exact join links them, group by group.
+Nothing depends on the place of a row.
 
 Passages that stand inside larger paragraphs begin anywhere, so cuts must follow
 the content: of every ANCHOR consecutive word positions the one with the least
@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
 from .linking import bit_of, bitmap_of, dropped, linked, maybe, saved, sized
+from .op2_jaccard import jaccard_components
 
 SHINGLE = 5
 PERCENT = 80
@@ -67,7 +68,7 @@ def _lines(raw: np.ndarray, offsets: np.ndarray):
     doc_first = np.cumsum(per) - per
     doc = np.searchsorted(offsets, begin[first], side="right") - 1
     long = count >= MIN_WORDS
-    return words, per, doc_first, doc[long], first[long], count[long]
+    return words, begin, end, doc_first, doc[long], first[long], count[long]
 
 
 def _sets(words: np.ndarray, first: np.ndarray, count: np.ndarray):
@@ -89,7 +90,7 @@ def _paragraphs(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
-                words, _, doc_first, doc, first, count = _lines(*W.flat(part.column(1)))
+                words, _, _, doc_first, doc, first, count = _lines(*W.flat(part.column(1)))
                 if not len(first):
                     continue
                 _, values, size, edge, cls = _sets(words, first, count)
@@ -120,7 +121,7 @@ def _tokens(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
-                words, _, _, _, first, count = _lines(*W.flat(part.column(0)))
+                words, _, _, _, _, first, count = _lines(*W.flat(part.column(0)))
                 if not len(first):
                     continue
                 which, values, size, _, cls = _sets(words, first, count)
@@ -134,6 +135,26 @@ def _tokens(bitmap: np.ndarray):
     return run
 
 
+def _texts(bitmap: np.ndarray):
+    """doc_id (the class) and text of the paragraphs whose class may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch):
+                raw, offsets = W.flat(part.column(0))
+                words, begin, end, _, _, first, count = _lines(raw, offsets)
+                if not len(first):
+                    continue
+                _, _, _, _, cls = _sets(words, first, count)
+                _, once = np.unique(cls, return_index=True)
+                once = once[maybe(bitmap, *[bit_of(cls[once], k) for k in range(2)])]
+                data = raw.tobytes()
+                texts = [data[a:b].decode() for a, b in zip(begin[first[once]].tolist(), end[first[once] + count[once] - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(cls[once])), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,13 +216,12 @@ def paragraph_roots(source: DataFrame, places: DataFrame, percent: int = PERCENT
         both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
-    def finer(ids: DataFrame, tokens: DataFrame) -> DataFrame:
-        each = tokens.join(ids, "id", "left_semi").select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("sub"))
-        ranked = each.join(each.groupBy("sub").agg(F.count("*").alias("often")), "sub")
-        place = F.row_number().over(Window.partitionBy("id").orderBy("often", "sub"))  # one paragraph's shingles
-        return ranked.withColumn("place", place).where(f"place <= n - ceil(n * {percent} / 100.0) + 1").select("id", "sub")
+    def crowd(ids: DataFrame) -> DataFrame:
+        texts = source.select("text").mapInArrow(_texts(bitmap_of(ids)), "doc_id long, text string").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        joined = jaccard_components(texts.groupBy("doc_id").agg(F.first("text").alias("text")), SHINGLE, percent)
+        return joined.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
 
-    return linked(members, fetch, verify, percent, finer, ["s0", "s1"], f"{W.SIM_BITS} <= {SIM_MOST}")
+    return linked(members, fetch, verify, crowd, percent, ["s0", "s1"], f"{W.SIM_BITS} <= {SIM_MOST}")
 
 
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:

@@ -244,6 +244,30 @@ def test_large_group_of_near_paragraphs(spark):
     assert {(r["doc_id"], r["kept_doc"], r["removed"]) for r in found} == {(i, 0, i > 0) for i in near} and len({r["cluster_id"] for r in found}) == 1
 
 
+@pytest.mark.parametrize("common", [0.0, 0.3, 0.5, 0.75])
+def test_recall_at_each_share_of_common_shingles(spark, common):
+    """Pairs of similarity just above 0.8 whose paragraphs share a passage with all others, against all pairs."""
+    rng = random.Random(13)
+    make = lambda n: [f"w{rng.randrange(50000)}" for _ in range(n)]
+    passage, rows = make(int(104 * common)), []
+    for i in range(60):
+        w = make(104 - len(passage)) + passage
+        near = list(w)
+        for k in rng.sample(range(2, 100), 2):
+            near[k] = f"own{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
+    want = brute_components(rows)
+    for parts in (1, 5):
+        source = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        places = linking.saved(source.select("doc_id", "text").mapInArrow(op10_passages._paragraphs(op10_passages.tune(), op10_passages.ROWS), "doc_id long, start long, words long, id long, n long, bands array<long>"))
+        roots = {r["id"]: r["root"] for r in op10_passages.paragraph_roots(source, places).collect()}
+        got = {r["doc_id"]: roots.get(r["id"], r["id"]) for r in places.collect()}
+        linked = [i for i in range(60) if want[2 * i][1] == want[2 * i + 1][1]]
+        found = sum(got[2 * i] == got[2 * i + 1] for i in linked)
+        assert len(linked) >= 40 and found >= 0.95 * len(linked)
+        assert all((got[a] == got[b]) <= (want[a][1] == want[b][1]) for a, b in itertools.combinations(want, 2))
+
+
 def test_bands_reach_the_recall():
     b = op10_passages.tune(80, 0.97, 4)
     assert 1 - (1 - 0.8**4) ** b >= 0.97 > 1 - (1 - 0.8**4) ** (b - 1)
