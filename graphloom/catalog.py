@@ -166,7 +166,7 @@ def cargo_deps(spark, d):
 @query("server_facts", """SELECT 's' || s_suppkey AS repo, 'io.x/s' || s_suppkey AS name, 'io.x/s' || s_suppkey || ',ghcr.io/x/s' || s_suppkey AS publishes, 'run-s' || s_suppkey AS command, 'io.x/n' || s_nationkey || ' 2 data' AS needs, s_nationkey % 2 = 0 AS tenant FROM supplier""")
 def server_facts(spark, d):
     needs = F.transform("facts.requiredDeps", lambda x: F.concat_ws(" ", x["server"], x["minimumVersion"], x["purpose"]))
-    return W.facts_of("server-json", spark, d).select("repo", "facts.name", F.array_join("facts.publishes", ",").alias("publishes"), F.array_join("facts.commands.command", ",").alias("command"), F.array_join(needs, ",").alias("needs"), c("facts.declaresTenancy").alias("tenant"))
+    return W.facts_of("server-json", spark, d).select("repo", "facts.name", F.array_join("facts.publishes", ",").alias("publishes"), F.array_join("facts.commands.command", ",").alias("command"), F.array_join(needs, ",").alias("needs"), c("facts.declaresCloisterTenancy").alias("tenant"))
 
 
 @query("cluster_facts", """SELECT 'n' || s_nationkey AS repo, string_agg('b' || s_suppkey || '=ghcr.io/x/s' || s_suppkey || ':1', ',' ORDER BY 'b' || s_suppkey) AS bundles, string_agg('b' || s_suppkey || '>n', ',' ORDER BY 'b' || s_suppkey || 'n') AS wires,

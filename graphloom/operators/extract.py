@@ -248,7 +248,7 @@ def server_json(text: Column) -> Column:
         packages=F.transform(packages, lambda p: F.struct(_any(p, "$.registryType").alias("registryType"), _any(p, "$.identifier").alias("identifier"), _any(p, "$.version").alias("version"))),
         remotes=F.transform(_items(doc, "$.remotes"), lambda r: F.struct(_any(r, "$.type").alias("type"))),
         commands=_sorted(commands, ["both", "metaKey"], ["metaKey", "transport", "command"]),
-        declaresTenancy=F.exists(meta, lambda m: m["key"] == TENANCY_KEY),
+        declaresCloisterTenancy=F.exists(meta, lambda m: m["key"] == TENANCY_KEY),
         requiredDeps=_sorted(needs, ["server", "metaKey"], ["metaKey", "server", "minimumVersion", "purpose"]),
     )
 

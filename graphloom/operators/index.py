@@ -112,7 +112,7 @@ def declarations(facts: Facts) -> DataFrame:
     if "server-json" in facts:
         d = each("server-json", "facts.requiredDeps")
         parts.append(_declare(d, "mcp-server-name", "protocol", c("d.server"), "server-json", version=c("d.minimumVersion"), source=F.lit("unknown"), metaKey=c("d.metaKey")))
-        parts.append(_declare(facts["server-json"].where("facts.declaresTenancy"), "tenancy-key", "tenancy", F.lit(TENANCY_KEY), "server-json", source=F.lit("unknown"), metaKey=F.lit(TENANCY_KEY)))
+        parts.append(_declare(facts["server-json"].where("facts.declaresCloisterTenancy"), "tenancy-key", "tenancy", F.lit(TENANCY_KEY), "server-json", source=F.lit("unknown"), metaKey=F.lit(TENANCY_KEY)))
     if "cluster-toml" in facts:
         d = each("cluster-toml", F.filter("facts.inputs", lambda i: i["ref"].isNotNull()))
         parts.append(_declare(d, "github-ref", "composition", F.coalesce(F.concat_ws("/", F.nullif("d.owner", F.lit("")), "d.repo"), c("d.ref")), "cluster-toml", detail=c("d.ref"), version=c("d.version"), rev=c("d.rev"), input=c("d.key"), line=c("d.line")))

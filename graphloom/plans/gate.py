@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import edges as E
-from ..schemas import AUTHORED_VISIBILITY, CONFIDENCE, EDGE_KINDS, ENTITY_KINDS, LINK_LABELS, REPO_VISIBILITY, RESOLVES_FROM, SCHEMA_VERSION, STATUS, TABLES, struct
+from ..schemas import AUTHORED_VISIBILITY, CONFIDENCE, EDGE_KINDS, ENTITY_KINDS, FORMATS, LINK_LABELS, NEVER_NULL, REPO_VISIBILITY, RESOLVES_FROM, SCHEMA_VERSION, STATUS, TABLES, struct
 from .collect import load_lock
 from .derive import derive, map_text
 
@@ -138,12 +138,57 @@ def schema_issues(spark: SparkSession, doc: dict) -> tuple[dict[str, DataFrame],
     return tables, reduce(lambda a, b: a.unionByName(b), found)
 
 
+def _shape(value, kind: T.DataType, path: str, solid: set[str], field: str = "") -> list[tuple[str, str]]:
+    """path and message of everything in which a JSON value is not of the type. solid: fields, from the facts on, that are never null."""
+    if isinstance(kind, T.StructType):
+        if value is None and field and field not in solid:
+            return []
+        if not isinstance(value, dict):
+            return [(path, "must be an object")]
+        known = {f.name: f.dataType for f in kind}
+        found = [(f"{path}.{k}", "is no key of the contract") for k in value if k not in known] + [(f"{path}.{k}", "is missing") for k in known if k not in value]
+        return found + [i for k, t in known.items() if k in value for i in _shape(value[k], t, f"{path}.{k}", solid, f"{field}.{k}".strip("."))]
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(value, list):
+            return [(path, "must be a list")]
+        return [i for n, v in enumerate(value) for i in _shape(v, kind.elementType, f"{path}.{n}", solid | {field}, field)]
+    if isinstance(kind, T.BooleanType):
+        return [] if isinstance(value, bool) else [(path, "must be true or false")]
+    if value is None:
+        return [(path, "must not be null")] if field in solid else []
+    good = isinstance(value, str) if isinstance(kind, T.StringType) else isinstance(value, int) and not isinstance(value, bool)
+    return [] if good else [(path, f"must be a {'text' if isinstance(kind, T.StringType) else 'whole number'}")]
+
+
+def lock_issues(document: dict) -> list[tuple[str, str]]:
+    """path and message of everything in which a lock breaks the contract: its own fields, its repositories, and every
+    source by its format. Nothing may be unknown, missing or of another type."""
+    head = struct("lock_header")
+    found = [(k, "is no key of the contract") for k in document if k not in head.names and k not in ("repos", "sources")]
+    found += [(k, "is missing") for k in [*head.names, "repos", "sources"] if k not in document]
+    found += [i for f in head if f.name in document for i in _shape(document[f.name], f.dataType, f.name, {f.name}, f.name)]
+    for n, repo in enumerate(document.get("repos") or []):
+        found += _shape(repo, struct("lock_repo"), f"repos.{n}", set(struct("lock_repo").names))
+        if isinstance(repo, dict) and repo.get("visibility") not in REPO_VISIBILITY:
+            found.append((f"repos.{n}.visibility", "is no visibility"))
+    for n, source in enumerate(document.get("sources") or []):
+        fmt = source.get("format") if isinstance(source, dict) else None
+        if fmt not in FORMATS:
+            found.append((f"sources.{n}.format", "is no format"))
+            continue
+        found += _shape({k: v for k, v in source.items() if k != "facts"}, struct("source"), f"sources.{n}", {"repo", "path", "format"})
+        found += _shape(source["facts"], struct(fmt), f"sources.{n}.facts", set(NEVER_NULL[fmt])) if "facts" in source else [(f"sources.{n}.facts", "is missing")]
+    return found
+
+
 def check_graph(spark: SparkSession, lock_text: str, graph_text: str, origin: str, site: dict, projects: DataFrame | None = None) -> Verdict:
     """The first of these that applies: lock-unparseable, graph-unparseable, schema, divergent, privacy, or none."""
     try:
-        json.loads(lock_text)
-    except ValueError as error:
+        broken = lock_issues(json.loads(lock_text))
+    except (ValueError, AttributeError) as error:
         return Verdict(False, "lock-unparseable", f"the lock is not valid JSON: {error}")
+    if broken:
+        return Verdict(False, "lock-unparseable", f"the lock does not satisfy its contract: {broken[0][0]}: {broken[0][1]}")
     try:
         doc = json.loads(graph_text)
     except ValueError as error:

@@ -68,19 +68,33 @@ DDL = {
     "cargo": "package STRUCT<name:STRING,version:STRING>, publishes ARRAY<STRING>, workspaceMembers ARRAY<STRING>, deps ARRAY<STRUCT<name:STRING,table:STRING,package:STRING,version:STRING,git:STRING,rev:STRING,tag:STRING,branch:STRING,path:STRING,line:INT>>",
     "gomod": "module STRING, publishes ARRAY<STRING>, requires ARRAY<STRUCT<path:STRING,version:STRING,indirect:BOOLEAN,line:INT>>, replaces ARRAY<STRUCT<path:STRING,version:STRING,with:STRING,withVersion:STRING,local:BOOLEAN,line:INT>>",
     "npm": "name STRING, version STRING, publishes ARRAY<STRING>, deps ARRAY<STRUCT<name:STRING,table:STRING,spec:STRING>>",
-    "server-json": "name STRING, version STRING, repositoryUrl STRING, publishes ARRAY<STRING>, packages ARRAY<STRUCT<registryType:STRING,identifier:STRING,version:STRING>>, remotes ARRAY<STRUCT<type:STRING>>, commands ARRAY<STRUCT<metaKey:STRING,transport:STRING,command:STRING>>, declaresTenancy BOOLEAN, requiredDeps ARRAY<STRUCT<metaKey:STRING,server:STRING,minimumVersion:STRING,purpose:STRING>>",
+    "server-json": "name STRING, version STRING, repositoryUrl STRING, publishes ARRAY<STRING>, packages ARRAY<STRUCT<registryType:STRING,identifier:STRING,version:STRING>>, remotes ARRAY<STRUCT<type:STRING>>, commands ARRAY<STRUCT<metaKey:STRING,transport:STRING,command:STRING>>, declaresCloisterTenancy BOOLEAN, requiredDeps ARRAY<STRUCT<metaKey:STRING,server:STRING,minimumVersion:STRING,purpose:STRING>>",
     "cluster-toml": "clusterName STRING, bundles ARRAY<STRUCT<name:STRING,kind:STRING,tier:STRING,image:STRING,entryPoint:STRING,workerdServiceName:STRING>>, wires ARRAY<STRUCT<from:STRING,to:STRING,binding:STRING,transport:STRING>>, inputs ARRAY<STRUCT<key:STRING,ref:STRING,owner:STRING,repo:STRING,path:STRING,rev:STRING,version:STRING,line:INT>>",
     "cluster-lock": "schema STRING, cluster STRING, inputs ARRAY<STRUCT<key:STRING,owner:STRING,repo:STRING,path:STRING,rev:STRING,resolved:STRING,sha256:STRING,oci:STRUCT<identifier:STRING,version:STRING,digest:STRING>>>",
     "version-pin": "tool STRING, version STRING",
     "taskfile": "releaseRepos ARRAY<STRUCT<owner:STRING,repo:STRING>>",
     "workflow": "listensFor ARRAY<STRING>, dispatches ARRAY<STRUCT<event:STRING,owner:STRING,repo:STRING,line:INT>>",
 }
+#: The fields of facts that are never null; other texts and numbers may be, lists and flags never are.
+NEVER_NULL = {
+    "cargo": ["package.name", "deps.name", "deps.table"],
+    "gomod": ["requires.path", "requires.version", "requires.line", "replaces.path", "replaces.with", "replaces.line"],
+    "npm": ["deps.name", "deps.table"],
+    "server-json": ["commands.metaKey", "commands.transport", "commands.command", "requiredDeps.metaKey", "requiredDeps.server"],
+    "cluster-toml": ["inputs.key"],
+    "cluster-lock": ["inputs.key"],
+    "version-pin": ["tool", "version"],
+    "taskfile": ["releaseRepos.owner", "releaseRepos.repo"],
+    "workflow": ["dispatches.event", "dispatches.line"],
+}
 EVIDENCE = "STRUCT<repo:STRING,path:STRING,format:STRING,table:STRING,line:INT,input:STRING,bundle:STRING,wire:STRING,metaKey:STRING>"
 COUPLINGS = "ARRAY<STRUCT<project:STRING,kinds:ARRAY<STRING>>>"
 AUTHORED = "STRUCT<name:STRING,domain:STRING,status:STRING,visibility:STRING,question:STRING,primitive:STRING,description:STRING,relationships:ARRAY<STRUCT<project:STRING,verb:STRING>>>"
 LINKS = "ARRAY<STRUCT<label:STRING,href:STRING>>"
 TABLES = {
     "manifest": "repo STRING, path STRING, content BINARY",
+    "lock_header": "schema_version INT, note STRING, collected_at STRING, private_inclusive BOOLEAN",
+    "source": "repo STRING, path STRING, blob STRING, format STRING",
     "lock_repo": "slug STRING, github STRING, visibility STRING, on_map BOOLEAN, read BOOLEAN, unexamined ARRAY<STRING>",
     "roster": "slug STRING, owner STRING, repo STRING, github STRING, on_map BOOLEAN, checkout STRING",
     "edge": f"`from` STRING, `to` STRING, kind STRING, resolved_by STRING, matched STRING, resolves_from STRING, resolves_via STRING, detail STRING, version STRING, rev STRING, redacted BOOLEAN, evidence {EVIDENCE}",

@@ -49,8 +49,8 @@ def test_server(facts):
     text = '{"name": "n", "packages": [{"identifier": "ghcr.io/x"}, {"registryType": "npm"}], "_meta": {"k/transports": {"stdio": {"command": "run"}, "http": {"command": 1}}, "k/required-deps": {"o": {"minimum-version": "2"}}, "k/required": {"no": {}}, "art.cloister/v1": null}}'
     got, _ = facts("server.json", text)
     assert got["publishes"] == ["n", "ghcr.io/x"] and [c["command"] for c in got["commands"]] == ["run"]
-    assert [(d["server"], d["minimumVersion"], d["purpose"]) for d in got["requiredDeps"]] == [("o", "2", None)] and got["declaresTenancy"] is True
-    assert facts("server.json", '{"_meta": {"art.cloister/v2": {}}}')[0]["declaresTenancy"] is False
+    assert [(d["server"], d["minimumVersion"], d["purpose"]) for d in got["requiredDeps"]] == [("o", "2", None)] and got["declaresCloisterTenancy"] is True
+    assert facts("server.json", '{"_meta": {"art.cloister/v2": {}}}')[0]["declaresCloisterTenancy"] is False
 
 
 def test_cluster(facts):

@@ -84,6 +84,30 @@ def test_gate(spark, lock, graph):
     assert "First difference at line" in check(lock_text, changed(note="other")).message
 
 
+def test_strict_lock(lock):
+    import copy
+
+    doc = json.loads(collect.serialize(collect.lock_document(lock.lock)))
+    assert gate.lock_issues(doc) == []
+    at = {s["format"]: n for n, s in enumerate(doc["sources"])}
+
+    def broken(change):
+        other = copy.deepcopy(doc)
+        change(other)
+        return gate.lock_issues(other)
+
+    n = at["gomod"]
+    assert broken(lambda d: d.pop("note")) == [("note", "is missing")]
+    assert broken(lambda d: d.update(extra=1)) == [("extra", "is no key of the contract")]
+    assert broken(lambda d: d["sources"][n].update(format="gradle")) == [(f"sources.{n}.format", "is no format")]
+    assert broken(lambda d: d["sources"][n].pop("blob")) == [(f"sources.{n}.blob", "is missing")]
+    assert broken(lambda d: d["sources"][n]["facts"].update(more=1)) == [(f"sources.{n}.facts.more", "is no key of the contract")]
+    assert broken(lambda d: d["sources"][n]["facts"].update(requires=None)) == [(f"sources.{n}.facts.requires", "must be a list")]
+    assert broken(lambda d: d["sources"][n]["facts"].update(replaces=[{"path": None, "version": None, "with": "x", "withVersion": None, "local": 1, "line": "3"}])) == [
+        (f"sources.{n}.facts.replaces.0.path", "must not be null"), (f"sources.{n}.facts.replaces.0.local", "must be true or false"), (f"sources.{n}.facts.replaces.0.line", "must be a whole number")]
+    assert broken(lambda d: d["repos"][0].update(visibility="secret")) == [("repos.0.visibility", "is no visibility")]
+
+
 def test_private_detail_is_taken_out(spark, graph):
     from graphloom.operators import edges as E
 
