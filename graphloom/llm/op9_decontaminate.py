@@ -6,7 +6,8 @@ shingles must occur in a document that contains it, so at full containment one
 prefix token is necessary: the window's rarest shingle, by a count over the
 whole corpus. Documents are joined with prefix tokens only; a joined position
 then has to leave room for the window (length bound) at the token's offset
-(positional bound), and the words there are compared one by one.
+(positional bound), and the words there are compared one by one, as 64-bit hashes. Equal
+windows of the benchmark are one window, so one that many items repeat is compared once.
 
 The benchmark side is held by every task, in blocks of at most
 `block_windows` windows. A benchmark that is larger is worked off block by
@@ -43,7 +44,7 @@ def _scan(batch: pa.RecordBatch):
 
 
 class Windows:
-    """One block of the benchmark as flat arrays: each window's words, length and item."""
+    """One block of the benchmark as flat arrays: each distinct window's words, length and items."""
 
     def __init__(self, rows: list[tuple[int, str]], window: int, shingle: int):
         texts = pa.array([t for _, t in rows], pa.large_string())
@@ -60,9 +61,17 @@ class Windows:
                 size.append(np.full(many, min(n, window)))
                 item.append(np.full(many, item_id))
         self.words = words
-        self.at = np.concatenate(at).astype(np.int64) if at else np.zeros(0, np.int64)
-        self.size = np.concatenate(size).astype(np.int64) if at else np.zeros(0, np.int64)
-        self.item = np.concatenate(item).astype(np.int64) if at else np.zeros(0, np.int64)
+        at, size, item = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, size, item))
+        # Equal windows are one, with all the items that have it.
+        whole = np.zeros((len(at), window + 1), dtype=np.uint64)
+        whole[:, window] = size
+        for k in range(window):
+            inside = k < size
+            whole[inside, k] = words[at[inside] + k]
+        _, once, which = np.unique(whole, axis=0, return_index=True, return_inverse=True)
+        self.at, self.size = at[once], size[once]
+        owners = np.unique(np.stack([which.reshape(-1), item], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        self.owner, self.owner_begin = owners[:, 1], np.searchsorted(owners[:, 0], np.arange(len(once) + 1))
         self.shingle = shingle
         self.widths = sorted({min(int(s), shingle) for s in set(self.size.tolist())})
 
@@ -172,7 +181,10 @@ def _search(block: Windows, chosen: dict[int, tuple]):
                 window, size, doc, start = window[same], size[same], doc[same], start[same]
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + size, -1)
-                pairs.append(np.unique(np.stack([doc, block.item[window]], axis=1), axis=0))
+                met = np.unique(np.stack([doc, window], axis=1), axis=0)
+                n = np.diff(block.owner_begin)[met[:, 1]]
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                pairs.append(np.unique(np.stack([np.repeat(met[:, 0], n), block.owner[np.repeat(block.owner_begin[met[:, 1]], n) + inner]], axis=1), axis=0))
         hit = np.cumsum(cover[:-1]) > 0
         at = np.flatnonzero(hit)
         doc_of = np.searchsorted(edge, at, side="right") - 1

@@ -167,6 +167,26 @@ def test_decontamination_odd_rows(spark, docs, empty):
     assert {r["doc_id"] for r in op9_decontaminate.clean(docs, items, ["doc_id", "text", "key"]).collect()} == {4, 5, 6, 7, 8, 11, 12, None}
 
 
+def test_repeated_windows_of_a_benchmark(spark):
+    """Items that share their windows, and one that repeats a window within itself."""
+    w = [f"w{k}" for k in range(30)]
+    items = [(i, " ".join(w[:12])) for i in range(40)] + [(50, " ".join(w[2:12] * 3)), (51, "w1 w2"), (52, "w1 w2"), (53, " ".join(w[5:15]))]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:11])), (3, "x w1 w2 y w1 w2"), (4, " ".join(w[2:12] + w[2:12]))]
+    found = op9_decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (sorted(r["covered"]), sorted(r["item_ids"])) for r in found.collect()}
+    for i, text in rows:
+        v, cover, ids = text.split(), set(), set()
+        for item, body in items:
+            b = body.split()
+            for k in range(max(1, len(b) - 9)):
+                part = b[k : k + 10]
+                for p in range(len(v) - len(part) + 1):
+                    if v[p : p + len(part)] == part:
+                        cover |= set(range(p, p + len(part)))
+                        ids.add(item)
+        assert got[i] == (sorted(cover), sorted(ids)), i
+
+
 # ------------------------------------------------------------------ passages
 
 

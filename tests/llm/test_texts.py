@@ -27,6 +27,31 @@ def test_coder_round_trips_and_checks():
     assert len(op3_tokens.pack(np.tile(np.arange(37), 300))) < 3000
 
 
+def test_coder_beats_zlib_on_its_own_blocks(data):
+    """Real ids: fewer bits than zlib needs for the same blocks, and than the ids' order-0 entropy."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    ids, _ = op3_tokens._Tokens(op3_tokens.tokenizer_path()).ids(texts.cast(pa.large_string()))
+    bits = 8 * len(op3_tokens.pack(ids)) / len(ids)
+    small = ids.astype("<u2")
+    deflated = 8 * sum(len(zlib.compress(small[i : i + op3_tokens.BLOCK].tobytes())) for i in range(0, len(ids), op3_tokens.BLOCK)) / len(ids)
+    n = np.bincount(ids)[np.unique(ids)] / len(ids)
+    print("bits an id", bits, "zlib", deflated, "order 0", -(n * np.log2(n)).sum())
+    assert bits < 0.85 * deflated and bits < -(n * np.log2(n)).sum() + 0.3
+
+
+def test_whole_texts_where_runs_are_not_apart():
+    import json
+
+    from tokenizers import Tokenizer
+
+    held = json.loads(Tokenizer.from_file(op3_tokens.tokenizer_path()).to_str())
+    assert op3_tokens.apart(held)
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}):
+        assert not op3_tokens.apart(held | change)
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
