@@ -357,6 +357,11 @@ _EDGES = f"WITH {W.EDGES_SQL}, {W.ENTITIES_SQL}, {W.RESOLUTION_SQL}"
 _OPEN = """SELECT e.*, coalesce(a.repo_visibility = 'public' AND b.repo_visibility = 'public', false) AS open FROM edges e LEFT JOIN ent a ON e."from" = a.id LEFT JOIN ent b ON e."to" = b.id"""
 
 
+def _both(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Asserted edges, and weak ones: those whose target was not identified by its coordinate."""
+    return every.where("resolved_by = 'crate-name'"), every.where("resolved_by <> 'crate-name'")
+
+
 @query("redacted_edges", f'{_EDGES} SELECT "from", "to", kind, NOT open AS redacted, CASE WHEN open THEN want END AS detail, CASE WHEN open THEN \'Cargo.toml\' END AS path FROM ({_OPEN})')
 def redacted_edges(spark, d):
     return E.redact(W.edges(spark, d), W.entities(spark, d)).select("from", "to", "kind", "redacted", "detail", c("evidence.path").alias("path"))
@@ -366,14 +371,13 @@ def redacted_edges(spark, d):
     SELECT "from" || ' -> ' || "to" || ' (' || kind || ') discloses ' || x AS message FROM shut, (SELECT unnest(['detail', 'version', 'evidence.path']) AS f), LATERAL (SELECT CASE f WHEN 'detail' THEN 'detail: "' || want || '"' WHEN 'version' THEN 'version: "1"' ELSE 'evidence.path: Cargo.toml' END AS x)
     UNION ALL SELECT id || ' is restricted but the lock claims its manifests were read' FROM ent WHERE repo_visibility <> 'public' AND sources_read""")
 def privacy_violations(spark, d):
-    every = W.edges(spark, d)
-    return E.privacy_violations(every, every.limit(0), W.entities(spark, d))
+    return E.privacy_violations(*_both(W.edges(spark, d)), W.entities(spark, d))
 
 
 @query("strict_privacy", f"""{_EDGES}, shut AS (SELECT * FROM ({_OPEN}) WHERE NOT open) SELECT f AS field, count(*) AS n FROM shut, (SELECT unnest(['matched', 'evidence.table', 'evidence.line']) AS f) GROUP BY f""")
 def strict_privacy(spark, d):
     every = E.redact(W.edges(spark, d), W.entities(spark, d))
-    return E.strict_privacy_violations(every, every.limit(0), W.entities(spark, d)).groupBy("field").agg(F.count("*").alias("n"))
+    return E.strict_privacy_violations(*_both(every), W.entities(spark, d)).groupBy("field").agg(F.count("*").alias("n"))
 
 
 @query("dependencies_of", f"""WITH {W.EDGES_SQL} SELECT "to" AS project, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n, min(want) AS first_detail FROM edges WHERE "from" = 's7' GROUP BY "to" """)
@@ -419,8 +423,7 @@ def drawn_confidence(spark, d):
 
 @query("cited_rules", f"""{_EDGES} SELECT DISTINCT rule FROM res JOIN edges ON rule = resolved_by WHERE "from" = 's7' OR "to" = 's7'""")
 def cited_rules(spark, d):
-    every = W.edges(spark, d)
-    return E.cited_rules(every, every.limit(0), "s7", W.resolution(spark)).select("rule")
+    return E.cited_rules(*_both(W.edges(spark, d)), "s7", W.resolution(spark)).select("rule")
 
 
 @query("drawable_edges", f"""{_EDGES} SELECT "from", "to", kind, resolved_by FROM edges WHERE "from" IN (SELECT id FROM ent) AND "to" IN (SELECT id FROM ent)""")
@@ -459,6 +462,17 @@ def difference_context(spark, d):
     return rows.select("doc_id", E.first_difference(c("text"), other).alias("x")).where("x is not null").select("doc_id", "x.context")
 
 
+_LINES = "string_split(text, chr(10))"
+
+
+@query("difference_behind_lines", f"""SELECT doc_id, list_aggregate(list_concat(list_transform(list_slice(l, greatest(1, k - 3), k - 1), lambda x: '  ' || x), list_value('- expected:  ' || l[k], '+ committed: #')), 'string_agg', chr(10)) AS context
+    FROM (SELECT doc_id, {_LINES} AS l, CAST(1 + doc_id % 6 AS INT) AS k FROM documents) WHERE len(l) >= k AND l[k] <> '#'""")
+def difference_behind_lines(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", "text", (c("doc_id") % 6).cast("int").alias("k"))
+    other = F.array_join(F.transform(X.lines(c("text")), lambda x, i: F.when(i == c("k"), "#").otherwise(x)), "\n")
+    return rows.select("doc_id", E.first_difference(c("text"), other).alias("x")).where("x is not null").select("doc_id", "x.context")
+
+
 @query("contested_coordinates", f"""WITH own AS ({W.OWNERSHIP_SQL}) SELECT coordinate, count(DISTINCT repo) AS repos FROM own GROUP BY coordinate HAVING count(DISTINCT repo) > 1""")
 def contested_coordinates(spark, d):
     owned = index.build_ownership(W.claims(spark, d)).where("contested")
