@@ -12,20 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
-from ..sources.store import written
+from ..sources.store import dropped, written
 from .edges import drawable
 
 # Fixed values of the drawing.
 ROW_HEIGHT, NODE_HEIGHT, NODE_GAP, PADDING, CHAR_WIDTH, MIN_NODE_WIDTH, LEGEND_HEIGHT, MIN_WIDTH = 86, 26, 26, 28, 7.3, 78, 34, 320
 
 
+#: A remainder of so many edges at most is walked on the driver; a larger one by one job a step.
+WALKED = 1 << 17
+
+
 def find_cycle(left: DataFrame) -> list[str]:
     """Some cycle among edges (from, to) of which every `from` has one more step to go."""
-    at, trail = left.agg(F.min("from")).first()[0], []
-    while at not in trail:
+    small = left.limit(WALKED + 1).count() <= WALKED
+    ways = {r[0]: r[1] for r in left.groupBy("from").agg(F.min("to")).collect()} if small else None
+    at, trail, seen = left.agg(F.min("from")).first()[0], [], {}
+    while at not in seen:
+        seen[at] = len(trail)
         trail.append(at)
-        at = left.where(F.col("from") == at).agg(F.min("to")).first()[0]
-    return [*trail[trail.index(at) :], at]
+        at = ways[at] if small else left.where(F.col("from") == at).agg(F.min("to")).first()[0]
+    return [*trail[seen[at] :], at]
+
+
+#: Layers that a plan holds side by side before they are written as one table.
+GATHERED = 16
 
 
 def rank_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,17 +46,25 @@ def rank_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
         raise ValueError("cannot rank an entity whose sources were not read: " + ", ".join(unread))
     nodes = written(entities.select("id"))
     left = written(drawable(edges, entities).select("from", "to").distinct())
-    layers, rank = None, 0
+    ranked, rank = None, 0
     while True:
         blocked = left.select(F.col("from").alias("id")).distinct()
         layer = written(nodes.join(blocked, "id", "left_anti").withColumn("rank", F.lit(rank)))
-        layers = layer if layers is None else layers.unionByName(layer)
-        nodes = written(nodes.join(blocked, "id", "left_semi"))
+        if rank % GATHERED == GATHERED - 1:  # so that the plan does not grow with the depth
+            before, ranked = ranked, written(ranked.unionByName(layer))
+            dropped(before)
+        else:
+            ranked = layer if ranked is None else ranked.unionByName(layer)
+        rest = written(nodes.join(blocked, "id", "left_semi"))
+        dropped(nodes)
+        nodes = rest
         if nodes.isEmpty():
-            return layers
+            return ranked
         if layer.isEmpty():
             raise ValueError("the asserted graph contains a cycle and cannot be ranked: " + " → ".join(find_cycle(left)))
-        left = written(left.join(layer.select(F.col("id").alias("to")), "to", "left_anti"))
+        fewer = written(left.join(layer.select(F.col("id").alias("to")), "to", "left_anti"))
+        dropped(left)
+        left = fewer
         rank += 1
 
 
@@ -59,7 +78,7 @@ def layout(ranks: DataFrame) -> DataFrame:
     rows = sized.groupBy("rank").agg((F.sum("w") + (F.count("*") - 1) * NODE_GAP).alias("row_width"))
     canvas = rows.agg((F.greatest(F.lit(MIN_WIDTH), F.max("row_width")) + 2 * PADDING).alias("width"), F.max("rank").alias("max_rank"))
     before = Window.partitionBy("rank").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("before", F.coalesce(F.sum(F.col("w") + NODE_GAP).over(before), F.lit(0))).join(F.broadcast(rows), "rank").crossJoin(F.broadcast(canvas))  # a row for each rank, and one row
+    placed = sized.withColumn("before", F.coalesce(F.sum(F.col("w") + NODE_GAP).over(before), F.lit(0))).join(rows, "rank").crossJoin(F.broadcast(canvas))  # one row
     left = round_half_up((F.col("width") - F.col("row_width")) / F.lit(2.0))
     height = (F.col("max_rank") + 1) * ROW_HEIGHT + 2 * PADDING - (ROW_HEIGHT - NODE_HEIGHT) + LEGEND_HEIGHT
     return placed.select(

@@ -20,8 +20,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a written table; its lineage ends here."""
+    """df as a written table; its lineage ends here. A table that was written stays as it is."""
+    if getattr(df, "_saved_at", None):
+        return df
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graphloom/{spark.sparkContext.applicationId}/plan-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove a written table, once nothing reads it any more."""
+    path = getattr(df, "_saved_at", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
