@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import shared_folder
+from ..sources.store import dropped, shared_folder
 from . import words as W
 
 
@@ -30,15 +30,6 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove what saved() wrote, once nothing reads it any more."""
-    path = getattr(df, "_saved_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
