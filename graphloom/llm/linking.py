@@ -141,7 +141,7 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     least_percent: 100 x the smaller n must be that many percent of the larger n at least.
     fetch takes a table of ids, all that share a key, and returns one with what verify needs of each.
     verify takes pairs (a, b) and that table, and returns those pairs that are links.
-    crowd takes a table of ids and returns links (a, b) that connect whatever is linked among them.
+    crowd takes a table of ids and returns a written table of links (a, b) that connect whatever is linked among them.
     marks are columns of fetch's table; likely is a condition on x_<mark> and y_<mark> of the pairs past the first members."""
     rows = saved(shared_keys(members))
     ids = saved(rows.select("id").distinct())
@@ -162,7 +162,7 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     x, y = (few.select("key", F.col("id").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "root", *marks)]) for name, side in (("a", "x"), ("b", "y")))
     second = saved(verify(x.join(y, "key").where("a > b and x_root <> y_root").where(fits).where(likely).select("a", "b").distinct(), held))
     many = saved(left.where("not few").select("id").distinct())
-    further = saved(crowd(many)) if many.limit(1).count() else None
+    further = crowd(many) if many.limit(1).count() else None
     out = joined_further(roots, second.unionByName(further) if further is not None else second)
     for t in (mixed, left, first, second, many, further, roots, held):
         if t is not None:

@@ -217,9 +217,11 @@ def paragraph_roots(source: DataFrame, places: DataFrame, percent: int = PERCENT
         return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
     def crowd(ids: DataFrame) -> DataFrame:
-        texts = source.select("text").mapInArrow(_texts(bitmap_of(ids)), "doc_id long, text string").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        joined = jaccard_components(texts.groupBy("doc_id").agg(F.first("text").alias("text")), SHINGLE, percent)
-        return joined.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        found = source.select("text").mapInArrow(_texts(bitmap_of(ids)), "doc_id long, text string").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        texts = saved(found.groupBy("doc_id").agg(F.first("text").alias("text")))
+        out = saved(jaccard_components(texts, SHINGLE, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        dropped(texts)
+        return out
 
     return linked(members, fetch, verify, crowd, percent, ["s0", "s1"], f"{W.SIM_BITS} <= {SIM_MOST}")
 
