@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .linking import bloom, bloom_bits, components, dropped, maybe, parts, saved, shared_keys, sized
+from .linking import bloom, bloom_bits, components, dropped, joined_further, maybe, parts, saved, shared_keys, sized
 
 SHINGLE = 5
 PERCENT = 80
@@ -248,12 +248,14 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     least = f"ceil({percent} * (n + low) / {100 + percent}.0) - ceil({percent} * greatest(n, high) / 100.0) + 1"
     met = probes.join(matrix, "key").where(f"grp >= y_grp and (y_low <> root or y_high <> root) and 100 * high >= {percent} * n and 100 * n >= {percent} * low and place >= {least}")
     second = verify(met.select("id", F.col("y_grp").alias("grp")).distinct())
-    for t in (rows, label, left):
+    for t in (rows, label, left, groups, stand, first_ids):
         dropped(t)
-    roots = components(first.unionByName(second))
-    named = saved(classes.join(roots, "id", "left").select("fp1", "fp2", "n", F.coalesce("root", "id").alias("root")))
-    out = sets.join(named, ["fp1", "fp2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    all_roots = joined_further(roots, second)
+    named = saved(classes.join(all_roots, "id", "left").select("fp1", "fp2", "n", F.coalesce("root", "id").alias("root")))
+    out = saved(sets.join(named, ["fp1", "fp2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")))
+    for t in (sketch, classes, named, first, second, roots, all_roots):
+        dropped(t)
+    return out
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
