@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op1_nearest as op1
 from . import op10_passages as op10
+from . import op11_trie as op11
 from . import op2_jaccard as op2
 from . import op4_pieces as op4
 from . import op3_tokens as op3
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_lines": op8.op8_lines,
     "op9_decontaminate": op9.op9_decontaminate,
     "op10_passages": op10.op10_passages,
+    "op11_trie": op11.op11_trie,
 }
 
 SQL = {
     "op2_jaccard": op2.SQL,
     "op5_fixity": op5.SQL,
     "op9_decontaminate": op9.SQL,
+    "op11_trie": op11.SQL,
 }
