@@ -6,6 +6,7 @@ from . import op1_nearest as op1
 from . import op10_passages as op10
 from . import op11_trie as op11
 from . import op12_align as op12
+from . import op13_extract as op13
 from . import op2_jaccard as op2
 from . import op4_pieces as op4
 from . import op3_tokens as op3
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_passages": op10.op10_passages,
     "op11_trie": op11.op11_trie,
     "op12_align": op12.op12_align,
+    "op13_extract": op13.op13_extract,
 }
 
 SQL = {
