@@ -170,9 +170,13 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     return out
 
 
-#: A key's first members, in a pseudo-random order: each of the first CLOSE meets all before it, any other the first PIVOTS.
-CLOSE, PIVOTS = 16, 4
-#: A mark is 56 bits of SimHash above an 8-bit code of the size.
+#: A key's members come in a pseudo-random order. Each meets the first NEAR before it, and the KEPT that are most like it go on
+#: (each of the first CLOSE goes on with all before it). Bits of 120 in which the SimHashes of a pair may differ: among the
+#: first CLOSE, and past them; and below which a member counts as a copy of one of the first NEAR.
+CLOSE, NEAR, KEPT, LOOSE, TIGHT, COPY = 16, 128, 4, 48, 38, 10
+#: Bits of SimHash by which the members past the first NEAR are told apart in the next round.
+STEP_BITS = 4
+#: A mark is 120 bits of SimHash, two numbers, of which the second ends in an 8-bit code of the size.
 _CODE = 0xFF
 SIZE_STEP = 1.1
 
@@ -182,81 +186,215 @@ def size_code(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP), _CODE).astype(np.uint64)
 
 
-def marks_of(sim: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return sim[:, 0] & ~np.uint64(_CODE) | size_code(n)
+def marks_of(sim: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return sim[:, 0], sim[:, 1] & ~np.uint64(_CODE) | size_code(n)
 
 
-def _pairs(most: int, least_size: int):
-    """Rows (key, mixed, id, mark) in order of key and mixed; gives the pairs (a, b) that meet and whose marks allow a link."""
-    low = size_code(np.array([least_size]))[0]
+_FAR = 255
 
-    def likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        cx, cy = x & np.uint64(_CODE), y & np.uint64(_CODE)
-        near = np.maximum(cx, cy) - np.minimum(cx, cy) <= 3
-        return near & ((np.minimum(cx, cy) < low) | (np.bitwise_count((x ^ y) & ~np.uint64(_CODE)) <= most))
+
+def gaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many bits the marks x and y differ; _FAR where their sizes forbid a link. Both broadcast against each other."""
+    code = np.uint64(_CODE)
+    out = np.bitwise_count(x[0] ^ y[0]) + np.bitwise_count((x[1] ^ y[1]) & ~code)
+    cx, cy = (x[1] & code).astype(np.int16), (y[1] & code).astype(np.int16)
+    return np.where(np.abs(cx - cy) <= 3, out, np.uint8(_FAR))
+
+
+class Group:
+    """The first NEAR members of a key, in order: ids, and marks. Members that repeat an id are one."""
+
+    def __init__(self):
+        self.ids, self.m0, self.m1 = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def take(self, ids: np.ndarray, m0: np.ndarray, m1: np.ndarray) -> None:
+        room = NEAR - len(self.ids)
+        if room > 0:
+            self.ids, self.m0, self.m1 = (np.concatenate([have, more[:room]]) for have, more in ((self.ids, ids), (self.m0, m0), (self.m1, m1)))
+
+    def meet(self, ids: np.ndarray, m0: np.ndarray, m1: np.ndarray, place: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (a, b) of members at the given places with earlier ones, and which members are past the first NEAR and like none of them."""
+        some_a, some_b, late = [], [], []
+        for at in range(0, len(ids), 4096):
+            part = slice(at, at + 4096)
+            d = gaps((m0[part, None], m1[part, None]), (self.m0[None, :], self.m1[None, :]))
+            p = place[part, None]
+            d[np.arange(len(self.ids))[None, :] >= p] = _FAR
+            short = (m1[part] & np.uint64(_CODE)).astype(np.int64) <= low
+            most = np.where(p[:, 0] < CLOSE, LOOSE, TIGHT)
+            most[short] = _FAR - 1
+            good = d <= most[:, None]
+            if d.shape[1] > KEPT:
+                far = (p[:, 0] >= CLOSE) & (good.sum(axis=1) > KEPT)
+                if far.any():
+                    bar = np.partition(d[far], KEPT - 1, axis=1)[:, KEPT - 1]
+                    good[far] &= d[far] <= bar[:, None]
+            x, y = np.nonzero(good)
+            some_a.append(ids[part][x])
+            some_b.append(self.ids[y])
+            late.append((place[part] >= NEAR) & (d.min(axis=1, initial=_FAR) > COPY))
+        a, b, late = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (some_a, some_b, late))
+        return np.maximum(a, b), np.minimum(a, b), late.astype(bool)
+
+
+MET = "a long, b long, key long, id long, m0 long, m1 long"
+
+
+def _met(a: np.ndarray, b: np.ndarray, late: list[np.ndarray]) -> pa.RecordBatch:
+    n, k = len(a), len(late[0])
+    cols = [pa.array(np.concatenate([x, np.zeros(k, np.int64)]), pa.int64(), mask=np.arange(n + k) >= n) for x in (a, b)]
+    cols += [pa.array(np.concatenate([np.zeros(n, np.int64), x.view(np.int64)]), pa.int64(), mask=np.arange(n + k) < n) for x in late]
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "id", "m0", "m1"])
+
+
+def _streamed_pairs(low: int):
+    """Rows (key, mixed, id, m0, m1) in order of key, mixed and id: gives pairs, and the members past the first NEAR of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, seen = None, [], 0  # the last key, its first members, and how many it had
+        now, last, seen, group = None, None, 0, Group()  # the last key and id, and how many members the key had
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids, mark = np.asarray(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3)).view(np.uint64)
-            fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-            key, ids, mark = key[fresh], ids[fresh], mark[fresh]  # a row that repeats stands behind its like
+            key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            m0, m1 = (np.asarray(batch.column(i)).view(np.uint64) for i in (3, 4))
+            fresh = np.append(now is None or key[0] != now or ids[0] != last, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+            last_id = ids[-1]
+            key, ids, m0, m1 = (x[fresh] for x in (key, ids, m0, m1))  # a row that repeats stands behind its like
+            last = last_id
+            if not len(key):
+                continue
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
             carried = now is not None and key[0] == now
-            if carried and first[-1][0] == ids[0] and seen <= len(first):
-                key, ids, mark = key[1:], ids[1:], mark[1:]
-                start = np.append(0, start[1:] - 1) if len(key) else start[:0]
-                if not len(key):
-                    continue
-                if len(start) > 1 and start[1] == 0:
-                    start, carried = start[1:], False
-            if carried:  # the carried members stand before the batch
-                ids = np.concatenate([np.array([i for i, _ in first], dtype=np.int64), ids])
-                mark = np.concatenate([np.array([m for _, m in first], dtype=np.uint64), mark])
-                start[1:] += len(first)
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
-            place = np.arange(len(ids)) - start[group]
-            true_place = place.copy()
-            if carried:
-                true_place[group == 0] += seen - len(first)
-                true_place[: len(first)] = 0  # they have met already
-            out_a, out_b = [], []
+            out_a, out_b, late = [], [], [[np.zeros(0, x.dtype)] for x in (key, ids, m0, m1)]
+            # Whole small groups at once, one place after the other.
+            whole = np.append(size[:-1] <= CLOSE, False) & ~(carried & (np.arange(len(size)) == 0))
+            inner = np.arange(len(key)) - np.repeat(start, size)
+            small = np.repeat(whole, size)
             for j in range(CLOSE - 1):
-                own = np.flatnonzero((true_place > j) & ((true_place < CLOSE) | (j < PIVOTS)))
-                other = start[group[own]] + j
-                good = likely(mark[own], mark[other]) & (ids[own] != ids[other])
+                own = np.flatnonzero(small & (inner > j))
+                if not len(own):
+                    break
+                other = own - inner[own] + j
+                d = gaps((m0[own], m1[own]), (m0[other], m1[other]))
+                short = (m1[own] & np.uint64(_CODE)).astype(np.int64) <= low
+                good = d <= np.where(short, _FAR - 1, LOOSE)
                 out_a.append(np.maximum(ids[own], ids[other])[good])
                 out_b.append(np.minimum(ids[own], ids[other])[good])
-            s = int(start[-1])
-            seen = len(ids) - s + (seen - len(first) if carried and len(start) == 1 else 0)
-            now, first = key[-1], list(zip(ids[s : s + CLOSE].tolist(), mark[s : s + CLOSE].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+            for g in np.flatnonzero(~whole):
+                s, e = int(start[g]), int(start[g] + size[g])
+                if not (carried and g == 0):
+                    group, seen = Group(), 0
+                group.take(ids[s:e], m0[s:e], m1[s:e])
+                if seen or e - s > 1:
+                    a, b, over = group.meet(ids[s:e], m0[s:e], m1[s:e], np.arange(seen, seen + e - s), low)
+                    out_a.append(a)
+                    out_b.append(b)
+                    for held, x in zip(late, (key, ids, m0, m1), strict=True):
+                        held.append(x[s:e][over])
+                seen += e - s
+            now = key[-1]
+            empty = np.zeros(0, np.int64)
+            yield _met(np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b]), [np.concatenate(x) for x in late])
 
     return run
 
 
-def likely_pairs(members: DataFrame, most: int, least_size: int = 0) -> DataFrame:
-    """Pairs (a, b), a > b, of members (key long, id long, mark long) that share a key, in number linear to the members.
+def _first_members(hot: DataFrame) -> dict[int, Group]:
+    """The first NEAR members of each of the most common keys: each task tells its own first ones, then those of all are merged."""
 
-    The members of a key pass in a pseudo-random order and are never held together: each of the first CLOSE meets all
-    that came before it, any later one meets the first PIVOTS. So a group of likes is joined by its pivots, and a small
-    group is compared whole. Only pairs whose sizes allow a similarity of 0.8 and whose SimHashes differ in `most` of 56
-    bits at most go out (pairs with a size below least_size whatever their SimHashes are). Members of the most common
-    keys stay where they are: their pivots are found by partial aggregates and sent to them."""
-    members = members.select("key", F.xxhash64("id").alias("mixed"), "id", "mark")
-    hot = hot_keys(members)
-    rest = members.where(~F.col("key").isin(hot)) if hot else members
-    met = rest.repartition(parts(members), "key").sortWithinPartitions("key", "mixed", "id").mapInArrow(_pairs(most, least_size), "a long, b long")
-    if hot:
-        there = members.where(F.col("key").isin(hot))
-        pivots = there.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("m"), "id", "mark")).alias(f"p{k}") for k in range(PIVOTS)])
-        low = int(size_code(np.array([least_size]))[0])
-        each = there.join(F.broadcast(pivots), "key").select("id", "mark", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("id", F.col("p.id").alias("other"), F.col("mark").alias("x"), F.col("p.mark").alias("y"))
-        near = f"abs((x & {_CODE}) - (y & {_CODE})) <= 3 and (least(x & {_CODE}, y & {_CODE}) < {low} or bit_count((x ^ y) & ~{_CODE}L) <= {most})"
-        met = met.unionByName(each.where("id <> other").where(near).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")))
-    return met.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows > 1 << 18:
+                held = cut(held)
+        if held is not None:
+            yield from cut(held).combine_chunks().to_batches()
+
+    def cut(table: pa.Table) -> pa.Table:
+        key, mixed, ids = (np.asarray(table.column(i).combine_chunks()) for i in range(3))
+        order = np.lexsort((ids, mixed, key))
+        k, i = key[order], ids[order]
+        order = order[np.append(True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]))[: len(k)]]
+        k = key[order]
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+        place = np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
+        return table.take(pa.array(order[place < NEAR]))
+
+    some = hot.mapInArrow(run, hot.schema)
+    merged = some.repartition(parts(hot), "key").sortWithinPartitions("key", "mixed", "id").mapInArrow(run, hot.schema)  # NEAR rows a key and task
+    table = merged.toArrow()
+    out: dict[int, Group] = {}
+    key, mixed, ids, m0, m1 = (np.asarray(table.column(i).combine_chunks()) for i in range(5))
+    order = np.lexsort((ids, mixed, key))
+    edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(order)])
+    for low, high in zip(edge, np.append(edge[1:], len(order)), strict=True):
+        at = order[low:high]
+        group = out[int(key[at[0]])] = Group()
+        group.take(ids[at], m0[at].view(np.uint64), m1[at].view(np.uint64))
+    return out
+
+
+def _placed_pairs(groups: dict[int, Group], low: int):
+    """Rows of the most common keys, in any order: the same as _streamed_pairs gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, mixed, ids = (np.asarray(batch.column(i)) for i in range(3))
+            m0, m1 = (np.asarray(batch.column(i)).view(np.uint64) for i in (3, 4))
+            order = np.argsort(key, kind="stable")
+            edge = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(order)])
+            empty = np.zeros(0, np.int64)
+            out_a, out_b, late = [empty], [empty], [[np.zeros(0, x.dtype)] for x in (key, ids, m0, m1)]
+            for start, stop in zip(edge, np.append(edge[1:], len(order)), strict=True):
+                at = order[start:stop]
+                group = groups[int(key[at[0]])]
+                nth = {int(x): k for k, x in enumerate(group.ids)}
+                place = np.array([nth.get(int(x), NEAR) for x in ids[at]])
+                a, b, over = group.meet(ids[at], m0[at], m1[at], place, low)
+                out_a.append(a)
+                out_b.append(b)
+                for held, x in zip(late, (key, ids, m0, m1), strict=True):
+                    held.append(x[at][over])
+            yield _met(np.concatenate(out_a), np.concatenate(out_b), [np.concatenate(x) for x in late])
+
+    return run
+
+
+def likely_pairs(members: DataFrame, short: int = 0) -> DataFrame:
+    """Pairs (a, b), a > b, of members (key long, id long, m0 long, m1 long) that share a key; a written table, linear in the members.
+
+    Each member of a key meets the key's first NEAR members in a pseudo-random order, by their marks; those KEPT that differ least
+    go on as pairs, if they differ in few bits and their sizes allow a similarity of 0.8 (of members shorter than `short` in
+    whatever bits they differ). Members past the first NEAR that are no copies of one of these go to a further round, under the
+    key and STEP_BITS more bits of their SimHash, until no key has more: no member is dropped. The rows of a key stream through
+    a task; those of the most common keys stay where they are, and the first NEAR members are sent to them. Both give the same pairs."""
+    low = int(size_code(np.array([short]))[0]) if short else -1
+    tables, rows = [], members.select("key", "id", "m0", "m1")
+    for step in range(120 // STEP_BITS):
+        rows = rows.select("key", F.xxhash64("key", "id").alias("mixed"), "id", "m0", "m1")
+        hot = hot_keys(rows)
+        rest = rows.where(~F.col("key").isin(hot)) if hot else rows
+        met = rest.repartition(parts(members), "key").sortWithinPartitions("key", "mixed", "id").mapInArrow(_streamed_pairs(low), MET)
+        if hot:
+            there = rows.where(F.col("key").isin(hot))
+            met = met.unionByName(W.small_batches(there).mapInArrow(_placed_pairs(_first_members(there), low), MET))
+        tables.append(saved(met))
+        late = tables[-1].where("id is not null")
+        if not late.limit(1).count():
+            break
+        half, at = ("m0", STEP_BITS * step) if STEP_BITS * step < 64 else ("m1", STEP_BITS * step - 56)
+        bits = F.expr(f"shiftrightunsigned({half}, {at}) & {(1 << STEP_BITS) - 1}")
+        rows = late.select(F.xxhash64("key", F.lit(step), bits).alias("key"), "id", "m0", "m1")
+    pairs = tables[0]
+    for table in tables[1:]:
+        pairs = pairs.unionByName(table)
+    out = saved(pairs.where("a is not null").select("a", "b").distinct())
+    for table in tables:
+        dropped(table)
+    return out
 
 
 #: Rows of a few numbers that may be broadcast: some tens of MB at most.
