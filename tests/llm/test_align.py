@@ -117,3 +117,18 @@ def test_groups_decode_to_the_text(spark, tools):
     assert sides == [" straße of words\n and 東京 more".encode()] * 2
     for r in rows:
         assert b"".join(tool.bytes_a[k] for k in r["ids_a"]) == b"".join(tool.bytes_b[k] for k in r["ids_b"])
+
+
+def test_words_give_the_ids_of_whole_texts(tools, data):
+    import random
+
+    import pyarrow.parquet as pq
+
+    tool, draw = tools[0], random.Random(7)
+    assert tool.fast is not None and tool.by_word
+    texts = [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    for kind in ("ab 'st\n ", "é ñ1\t.  ", "\x1c\xa0 x東\u2009", "<|endoftext|> ▁s", "".join(map(chr, range(32, 0x2100, 7)))):
+        texts += ["".join(draw.choice(kind) for _ in range(draw.randint(1, 40))) for _ in range(1500)]
+    for text in texts:
+        want, got = whole(tools, text), tool.ids(text)
+        assert (want is None) == (got is None) and (want is None or (want[0] == got[0].tolist() and want[1] == got[1].tolist())), text
