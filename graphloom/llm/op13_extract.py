@@ -488,8 +488,10 @@ def fit(spark: SparkSession, pages: DataFrame | None, made: int = MADE, steps: i
     of a sampled page up to 65,536 code points."""
     htmls = []
     if pages is not None:
-        some = pages.where("html is not null").select("page_id", "url", F.substring("html", 1, 1 << 16).alias("html"))
-        htmls = [r["html"] for r in some.orderBy(F.xxhash64("page_id", "url"), "page_id", "url", "html").limit(SAMPLE_PAGES).collect()]
+        drawn, many = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)), max(1, pages.count())
+        some = pages.where("html is not null").select(drawn.alias("drawn"), F.substring("html", 1, 1 << 16).alias("html"))
+        some = some.where(F.col("drawn") < (2 * SAMPLE_PAGES << 40) // many)  # twice as many as needed come to the driver
+        htmls = [r["html"] for r in some.orderBy("drawn", "html").limit(SAMPLE_PAGES).collect()]
     net = Network()
     for r in spark.range(1, numPartitions=1).mapInArrow(_trained(htmls, made, steps), "name string, data binary").collect():
         net.p[r["name"]] = np.frombuffer(bytes(r["data"]), dtype=np.float32).reshape(net.p[r["name"]].shape)
