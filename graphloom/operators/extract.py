@@ -32,7 +32,7 @@ def _empty(kind: str) -> Column:
 
 def _sorted(rows: Column, keys: list[str], names: list[str]) -> Column:
     """An array of structs in the order of the keys, with the named fields."""
-    ordered = F.array_sort(F.transform(rows, lambda x: F.struct(*[x[k].alias(f"k{i}") for i, k in enumerate(keys)], x.alias("x"))))
+    ordered = F.sort_array(F.transform(rows, lambda x: F.struct(*[x[k].alias(f"k{i}") for i, k in enumerate(keys)], x.alias("x"))))
     return F.transform(ordered, lambda o: F.struct(*[o["x"][n].alias(n) for n in names]))
 
 
@@ -50,43 +50,47 @@ def _type(fmt: str) -> str:
 # ---------------------------------------------------------------- line formats
 
 
-_GO_ROW = "array<struct<kind:string,body:string,indirect:boolean,line:int>>"
+#: What a line is for the blocks of a go.mod: a letter for each opener, c for a lone closing parenthesis, a dot for others.
+_OPENERS = {"require": "r", "replace": "p", "exclude": "e", "retract": "t"}
 
 
-def _gomod_rows(text: Column) -> Column:
-    """The directives of a go.mod in the order of the file: kind, body (without comment), indirect, line.
+def _gomod_states(marks: Column) -> Column:
+    """For every line one letter: a dot outside of blocks, c and o for lines that close and open, R P E T inside a block.
 
-    A block runs from its opening line to the next line that is a lone parenthesis. So the lone parentheses cut the file
-    into stretches, and each stretch is single lines up to its first opening and a block behind it; no state is
-    carried from line to line."""
-    opener = r"^(require|replace|exclude|retract)\s*\($"
-    numbered = F.transform(lines(text), lambda x, i: F.struct(x.alias("x"), trimmed(x).alias("t"), (i + 1).alias("n")))
+    A block runs from an opener to the next closing line, and openers inside it are lines like any other. So
+    closing lines cut the marks, one string of a letter a line, into stretches; the first opener of a stretch and what
+    follows it are a block. Each step passes over the string once."""
+
+    def state(stretch: Column) -> Column:
+        cut = lambda k: F.regexp_extract(stretch, r"^(\.*)([rpet])(.*)$", k)
+        return F.when(stretch.rlike("[rpet]"), F.concat(cut(1), F.lit("o"), F.repeat(F.upper(cut(2)), F.length(cut(3))))).otherwise(stretch)
 
-    def row(line: Column, kind: Column, body: Column) -> Column:
-        return F.struct(kind.alias("kind"), trimmed(body).alias("body"), line["x"].rlike(r"//\s*indirect").alias("indirect"), line["n"].cast("int").alias("line"))
+    return F.split(F.array_join(F.transform(F.split(marks, "c", -1), state), "c"), "", -1)
 
-    def single(line: Column) -> Column:
-        kind = F.when(line["t"].rlike(r"^replace\s"), "replace").when(line["t"].rlike(r"^require\s"), "require")
-        return row(line, kind, F.regexp_extract(trimmed(F.regexp_replace(line["t"], "//.*$", "")), r"^(?:require|replace)\s+(.+)$", 1))
 
-    def cut(rows: Column) -> Column:
-        ends = F.transform(F.filter(rows, lambda r: r["t"] == ")"), lambda r: r["n"])
-        opens = F.filter(rows, lambda r: r["t"].rlike(opener))
-        edges = F.concat(F.array(F.lit(0)), ends, F.array(F.size(rows) + 1))
+def _gomod_rows(text: Column) -> Column:
+    """The directives of a go.mod in the order of the file: kind, body (without comment), indirect, line."""
+    opener = r"^(require|replace|exclude|retract)\s*\($"
+    numbered = F.transform(lines(text), lambda x, i: F.struct(x.alias("x"), trimmed(x).alias("t"), (i + 1).alias("n")))
 
-        def stretch(i: Column) -> Column:
-            low, high = F.get(edges, i), F.get(edges, i + 1)
-            first = F.get(F.filter(opens, lambda o: (o["n"] > low) & (o["n"] < high)), F.lit(0))
-            return F.struct(low.alias("low"), F.coalesce(first["n"], high).alias("open"), high.alias("high"), F.regexp_extract(first["t"], opener, 1).alias("kind"))
+    def mark(row: Column) -> Column:
+        kind = F.translate(F.substring(F.regexp_replace(row["t"], "^re(p|q|t)", "$1"), 1, 1), "qpte", "rpte")
+        return F.when(row["t"] == ")", "c").when(row["t"].endswith("(") & row["t"].rlike(opener), kind).otherwise(".")
 
-        def directives(s: Column) -> Column:
-            alone = F.transform(F.slice(rows, s["low"] + 1, s["open"] - s["low"] - 1), single)
-            inside = F.transform(F.slice(rows, s["open"] + 1, F.greatest(s["high"] - s["open"] - 1, F.lit(0))), lambda r: row(r, s["kind"], F.regexp_replace(r["t"], "//.*$", "")))
-            return F.concat(alone, F.when(s["kind"].isin("require", "replace"), inside).otherwise(_empty(_GO_ROW)))
+    def row(line: Column, state: Column) -> Column:
+        starts = lambda word: line["t"].startswith(word) & line["t"].rlike(rf"^{word}\s")
+        single = F.when(starts("replace"), "replace").when(starts("require"), "require")
+        kind = F.when(state == ".", single).when(state == "R", "require").when(state == "P", "replace")
+        noted = line["x"].contains("//")
+        plain = F.when(noted, F.regexp_replace(line["t"], "//.*$", "")).otherwise(line["t"])
+        body = F.when(state == ".", F.regexp_extract(trimmed(plain), r"^(?:require|replace)\s+(.+)$", 1)).otherwise(plain)
+        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), trimmed(body).alias("body"), (noted & line["x"].rlike(r"//\s*indirect")).alias("indirect"), line["n"].cast("int").alias("line")))
 
-        return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), stretch), directives))
+    def directives(rows: Column) -> Column:
+        states = _gomod_states(F.array_join(F.transform(rows, mark), ""))
+        return bound(states, lambda known: F.transform(rows, lambda r, i: row(r, F.get(known, i))))
 
-    return F.filter(bound(numbered, cut), lambda r: r["kind"].isNotNull() & (r["body"] != ""))
+    return F.filter(bound(numbered, directives), lambda r: r["body"] != "")  # a line that says nothing is null
 
 
 def gomod(text: Column) -> Column:
