@@ -144,6 +144,73 @@ def test_ranks_and_picture(spark, graph):
         rank.rank_entities(graph.entities, loop)
 
 
+def _plain_ranks(edges, nodes):
+    out = {}
+
+    def of(n):
+        stack = [n]
+        while stack:
+            at = stack[-1]
+            wait = [t for t in edges.get(at, ()) if t not in out]
+            if wait:
+                stack += wait
+            else:
+                out[at] = max((out[t] + 1 for t in edges.get(at, ())), default=0)
+                stack.pop()
+
+    for n in nodes:
+        of(n)
+    return out
+
+
+def _ranked(spark, nodes, pairs):
+    entities = spark.createDataFrame([(n, True) for n in nodes], "id string, sources_read boolean")
+    return rank.rank_entities(entities, spark.createDataFrame(pairs, "from string, to string"))
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """Counts the tables that ranks write."""
+    seen, plain = [], rank.written
+    monkeypatch.setattr(rank, "written", lambda df: seen.append(1) or plain(df))
+    return seen
+
+
+def test_ranks_of_graphs(spark):
+    import random
+
+    draw = random.Random(3)
+    for n, many in ((1, 0), (40, 60), (60, 59), (30, 200)):
+        nodes = [f"n{k:03}" for k in range(n)]
+        pairs = sorted({tuple(sorted(draw.sample(nodes, 2), reverse=True)) for _ in range(many)}) if n > 1 else []
+        ways = {}
+        for a, b in pairs:
+            ways.setdefault(a, []).append(b)
+        got = {r["id"]: r["rank"] for r in _ranked(spark, nodes, pairs).collect()}
+        assert got == _plain_ranks(ways, nodes)
+
+
+def test_ranks_of_a_deep_chain(spark, rounds):
+    """3000 nodes in a chain that branches now and then: rounds follow its bits, not its depth."""
+    n = 3000
+    pairs = [(f"n{k:05}", f"n{k - 1:05}") for k in range(1, n)] + [(f"n{k:05}", f"n{k - 500:05}") for k in (700, 2999)]
+    got = {r["id"]: r["rank"] for r in _ranked(spark, [f"n{k:05}" for k in range(n)], pairs).collect()}
+    assert got == {f"n{k:05}": k for k in range(n)} and len(rounds) < 60
+
+
+@pytest.mark.parametrize("walked", [1 << 17, 0])
+def test_cycles(spark, monkeypatch, walked):
+    monkeypatch.setattr(rank, "WALKED", walked)
+    ring = [(f"n{k:04}", f"n{(k + 1) % 700:04}") for k in range(700)]
+    other = [("x1", "x2"), ("x2", "x1"), ("t2", "t1"), ("t1", "n0005"), ("end", "x1")]
+    for pairs in (ring + other, [*ring, ("n0003", "n0001"), ("n0003", "sink"), ("up", "n0003"), ("up", "sink")], [("a", "b"), ("b", "a")]):
+        nodes = sorted({x for p in pairs for x in p})
+        with pytest.raises(ValueError, match="cycle") as failed:
+            _ranked(spark, nodes, pairs)
+        path = str(failed.value).split(": ")[1].split(" → ")
+        assert path[0] == path[-1] and len(set(path)) == len(path) - 1 and set(zip(path, path[1:], strict=False)) <= set(pairs)
+
+
 def test_inspection(spark):
     files = [("r", "go.mod", "module example.com/me\nrequire (\n\texample.com/lib/sub v1\n\texample.com/none v1\n)\n"), ("r", "Taskfile.yml", ""), ("r", "package.json", "{")]
     manifests = spark.createDataFrame([(r, p, t.encode()) for r, p, t in files], "repo string, path string, content binary")
