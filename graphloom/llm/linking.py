@@ -381,12 +381,12 @@ def likely_pairs(members: DataFrame, short: int = 0) -> DataFrame:
     low = int(size_code(np.array([short]))[0]) if short else -1
     tables, rows = [], members.select("key", "id", "m0", "m1")
     for step in range(120 // STEP_BITS):
-        rows = rows.select("key", F.xxhash64("key", "id").alias("mixed"), "id", "m0", "m1")
+        order = ["key", F.xxhash64("key", "id").alias("mixed"), "id", "m0", "m1"]  # made where it is needed: a third less is shuffled
         hot = hot_keys(rows)
         rest = rows.where(~F.col("key").isin(hot)) if hot else rows
-        met = rest.repartition(parts(members), "key").sortWithinPartitions("key", "mixed", "id").mapInArrow(_streamed_pairs(low), MET)
+        met = rest.repartition(parts(members), "key").select(*order).sortWithinPartitions("key", "mixed", "id").mapInArrow(_streamed_pairs(low), MET)
         if hot:
-            there = rows.where(F.col("key").isin(hot))
+            there = rows.where(F.col("key").isin(hot)).select(*order)
             met = met.unionByName(W.small_batches(there).mapInArrow(_placed_pairs(_first_members(there), low), MET))
         tables.append(saved(met))
         late = tables[-1].where("id is not null")
