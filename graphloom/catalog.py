@@ -6,6 +6,7 @@ parsed, it is written from the rows that the texts were made of.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,10 +17,11 @@ from .functions import paths as P
 from .functions import text as X
 from .operators import edges as E
 from .operators import index, rank, resolve
-from .plans import collect, diagram, inspect
+from .plans import canonical, collect, diagram, inspect
 from .plans import gate as G
 from .schemas import COLLECTIONS, EDGE_KINDS, endpoints
-from .sources import listing
+from .sources import listing, provider
+from .sources.store import shared_folder, written
 from .streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,10 +326,10 @@ def resolve_events(spark, d):
 
 @query("unresolved_declarations", """SELECT DISTINCT 's' || s_suppkey AS "from", 'io.x/n' || s_nationkey AS want, 'mcp-server-name' AS via, 'no repository declares to publish it' AS reason FROM supplier""")
 def unresolved_declarations(spark, d):
-    facts = {f: W.facts_of(f, spark, d) for f in ("server-json", "gomod")}
+    facts = collect.settled({f: W.facts_of(f, spark, d) for f in ("server-json", "gomod")})
     repos = facts["server-json"].select(c("repo").alias("slug"), F.concat(F.lit("x/"), "repo").alias("github"))
-    declared = index.declarations(facts).where("rule in ('mcp-server-name', 'go-module-path')")
-    found = resolve.resolve_all(declared, index.build_ownership(index.publishes(facts, True)), {}, repos)
+    declared = written(index.declarations(facts).where("rule in ('mcp-server-name', 'go-module-path')"))
+    found = resolve.resolve_all(declared, written(index.build_ownership(index.publishes(facts, True))), {}, repos)
     return resolve.unresolved(found, repos)
 
 
@@ -637,3 +639,107 @@ def newest_sources(spark, d):
 def running_places(spark, d):
     before = Window.partitionBy("s_nationkey").orderBy("s_suppkey").rowsBetween(Window.unboundedPreceding, -1)
     return t(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.coalesce(F.sum(F.length(F.concat(F.lit("s"), "s_suppkey"))).over(before), F.lit(0)).cast("long").alias("x"))
+
+
+# ---------------------------------------------------------------- whole graphs, documents, providers
+
+
+@query("ranks_deep", """SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, count(*) FILTER (WHERE p IS NOT NULL) OVER (PARTITION BY g ORDER BY c_custkey) AS rank
+    FROM (SELECT c_custkey, c_nationkey AS g, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS p FROM customer)""")
+def ranks_deep(spark, d):
+    """Each customer depends on the one before it in its nation, and on the nation's first: chains as long as nations are large."""
+    rows = _ring(spark, d)
+    first = rows.groupBy("nation").agg(F.min("id").alias("to"))
+    edges = rows.where("before is not null").select(c("id").alias("from"), c("before").alias("to")).unionByName(rows.join(first, "nation").where("id <> to").select(c("id").alias("from"), "to"))
+    return rank.rank_entities(rows.select("id", F.lit(True).alias("sources_read")), edges).select("id", c("rank").cast("long").alias("rank"))
+
+
+def _ring(spark, d):
+    ident = F.concat(F.lit("c"), F.lpad(c("c_custkey").cast("string"), 9, "0"))
+    rows = t(spark, d, "customer").select(c("c_nationkey").alias("nation"), ident.alias("id"))
+    return rows.withColumn("before", F.lag("id").over(Window.partitionBy("nation").orderBy("id")))
+
+
+@query("cycle_steps", """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS nth, 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id FROM customer
+    WHERE c_nationkey = (SELECT c_nationkey FROM customer ORDER BY c_custkey LIMIT 1)""")
+def cycle_steps(spark, d):
+    """The customers of each nation are a ring; the cycle with the least customer, step by step."""
+    rows = _ring(spark, d)
+    after = rows.where("before is not null").select(c("before").alias("id"), c("id").alias("to"))
+    ends = rows.groupBy("nation").agg(F.max("id").alias("id"), F.min("id").alias("to")).where("id <> to").select("id", "to")
+    return rank.cycle_of(after.unionByName(ends)).select("nth", "id")
+
+
+_PROVIDED = """SELECT 'n' || n_nationkey AS repo, path, sha1(concat('blob ', strlen(body), chr(0), body)) AS blob, sha256(body) AS content_sha FROM (
+    SELECT n_nationkey, unnest(['Cargo.toml', '.tool-version']) AS path, unnest(['[package]' || chr(10) || 'name = "n' || n_nationkey || '"' || chr(10) || '# ' || coalesce(k, '') || chr(10), '1.' || n_nationkey]) AS body
+    FROM nation LEFT JOIN (SELECT c_nationkey, string_agg(c_custkey, ' ' ORDER BY c_custkey) AS k FROM customer GROUP BY ALL) ON c_nationkey = n_nationkey)"""
+
+
+def _provided(spark, d):
+    """repo, path, content: two manifests for each nation, one of which names all its customers."""
+    keys = t(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: k.cast("string")), " ").alias("k"))
+    rows = t(spark, d, "nation").join(keys, c("n_nationkey") == c("c_nationkey"), "left")
+    cargo = F.concat(F.lit('[package]\nname = "n'), "n_nationkey", F.lit('"\n# '), F.coalesce("k", F.lit("")), F.lit("\n"))
+    files = F.array(F.struct(F.lit("Cargo.toml").alias("path"), cargo.alias("body")), F.struct(F.lit(".tool-version").alias("path"), F.concat(F.lit("1."), "n_nationkey").alias("body")))
+    return rows.select(F.concat(F.lit("n"), "n_nationkey").alias("repo"), F.explode(files).alias("f")).select("repo", "f.path", c("f.body").cast("binary").alias("content"))
+
+
+def _read_back(spark, d, kind):
+    folder = f"{shared_folder(spark)}/graphloom/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    provider.write_repositories(_provided(spark, d), folder, kind)
+    return provider.read_repositories(spark, folder, kind).where("content is not null").select("repo", "path", "blob", F.sha2("content", 256).alias("content_sha"))
+
+
+@query("provider_checkouts", _PROVIDED)
+def provider_checkouts(spark, d):
+    return _read_back(spark, d, "checkout")
+
+
+@query("provider_prefetched", _PROVIDED)
+def provider_prefetched(spark, d):
+    return _read_back(spark, d, "prefetched")
+
+
+def _small_lock(spark, d):
+    """A lock of all suppliers, whose servers need those of their nations."""
+    own = W.texts_of("server-json", spark, d).select("repo", "path", c("text").cast("binary").alias("content"))
+    nations = t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("repo"), F.lit("server.json").alias("path"), F.to_json(F.struct(F.concat(F.lit("io.x/n"), "n_nationkey").alias("name"))).cast("binary").alias("content"))
+    facts = collect.parse_manifests(own.unionByName(nations), ["server-json"])[0]
+    true, none = F.lit(True), F.array().cast("array<string>")
+    repos = facts["server-json"].select(c("repo").alias("slug"), F.concat(F.lit("x/"), "repo").alias("github"), F.lit("public").alias("visibility"), true.alias("on_map"), true.alias("read"), none.alias("unexamined"))
+    return collect.Lock(repos, facts, False, "2024-01-01T00:00:00Z")
+
+
+_SITE = {"name": "x", "url": "https://example.com", "describes": "y"}
+
+
+@query("gate_verdicts", """SELECT unnest(['unchanged', 'bad lock', 'bad map', 'other shape', 'edge dropped', 'secret told']) AS made, unnest(['ok', 'lock-unparseable', 'graph-unparseable', 'schema', 'divergent', 'privacy']) AS reason, n AS entities
+    FROM (SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) AS n)""")
+def gate_verdicts(spark, d):
+    """The map of all suppliers and nations, and what the gate says of it and of five changes to it."""
+    return G.verdicts(_small_lock(spark, d), "https://example.com", _SITE)
+
+
+@query("canonical_sources", """SELECT count(*) AS sources, sum(octet_length(encode(row_text))) AS bytes FROM (
+    SELECT '    {' || chr(10) || '      "repo": "' || repo || '",' || chr(10) || '      "path": "server.json",' || chr(10) || '      "format": "server-json"' || chr(10) || '    }' AS row_text
+    FROM (SELECT 's' || s_suppkey AS repo FROM supplier))""")
+def canonical_sources(spark, d):
+    """The sources of the lock as lines of a canonical document: how many, and their bytes."""
+    rows = t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("repo"), F.lit("server.json").alias("path"), F.lit("server-json").alias("format"))
+    told = canonical.rendered(rows, ["repo", "path"])
+    return told.agg(F.count("*").alias("sources"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("lock_table_issues", """SELECT 'o' || o_orderkey AS lock, path, message FROM orders, (VALUES (0, 'note', 'is missing'), (1, 'repos.0.read', 'must be true or false'), (2, 'sources.0.format', 'is no format'), (3, 'sources.0.facts.deps.0.name', 'must be a text'), (3, 'sources.0.facts.extra', 'is no key of the contract')) AS v(k, path, message)
+    WHERE o_orderkey % 5 = k""")
+def lock_table_issues(spark, d):
+    """A lock for each order, four of five of them broken in some way."""
+    none = '"table": "dependencies", ' + ", ".join(f'"{n}": null' for n in ("package", "version", "git", "rev", "tag", "branch", "path", "line"))
+    k = c("o_orderkey") % 5
+    pick = lambda at, bad, good: F.when(k == at, F.lit(bad)).otherwise(F.lit(good))
+    text = F.concat(
+        F.lit('{"schema_version": 1, '), pick(0, "", '"note": "n", '), F.lit('"collected_at": "x", "private_inclusive": false, "repos": [{"slug": "o'), "o_orderkey", F.lit('", "github": "x/y", "visibility": "public", "on_map": true, "read": '), pick(1, '"yes"', "true"),
+        F.lit(', "unexamined": []}], "sources": [{"repo": "a", "path": "Cargo.toml", "blob": null, "format": '), pick(2, '"odd"', '"cargo"'),
+        F.lit(', "facts": {"package": null, "publishes": [], "workspaceMembers": [], '), pick(3, '"extra": 1, ', ""), F.lit('"deps": [{"name": '), pick(3, "7", '"p"'), F.lit(f', {none}}}]}}}}]}}'),
+    )
+    return G.lock_table_issues(t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("lock"), text.alias("text")))

@@ -16,6 +16,7 @@ from ..functions.text import git_blob_sha
 from ..functions.toml import toml_json
 from ..operators import extract
 from ..schemas import FORMATS, MAX_DEPTH, SCHEMA_VERSION
+from ..sources.store import written
 
 Facts = dict[str, DataFrame]
 _TOML = {"cargo", "cluster-toml", "cluster-lock"}
@@ -58,6 +59,11 @@ def parse_manifests(manifests: DataFrame, formats: list[str] = FORMATS) -> tuple
     return facts, reduce(lambda a, b: a.unionByName(b), notes, unread)
 
 
+def settled(facts: Facts) -> Facts:
+    """The same facts as written tables: whatever reads them, and however often, each manifest is parsed once."""
+    return {fmt: written(table) for fmt, table in facts.items()}
+
+
 def listing_notes(files: DataFrame) -> DataFrame:
     """repo, message about what a listing (repo, path, truncated) could not cover."""
     cut = files.where("truncated").select("repo", F.lit("file listing was truncated by the API — this scan is incomplete").alias("message")).distinct()

@@ -6,7 +6,8 @@ Choices that the contract leaves open are listed under DECISIONS in the README.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,8 @@ from ..operators import edges as E
 from ..operators import index, resolve
 from ..schemas import COUPLINGS, EDGE_KINDS, RESERVED_EDGE_KINDS, RESOLUTION, SCHEMA_PATH, SCHEMA_VERSION, struct
 from ..sources.store import written
-from .collect import Lock, serialize, sources
+from . import canonical
+from .collect import Lock, settled, sources
 
 
 def schema_url(origin: str) -> str:
@@ -65,6 +67,7 @@ def derive(lock: Lock, origin: str, site: dict, projects: DataFrame | None = Non
     """The map of a lock. Equal locks give equal maps; nothing else is read."""
     spark = lock.repos.sparkSession
     projects = projects if projects is not None else spark.createDataFrame([], struct("project"))
+    lock = replace(lock, facts=settled(lock.facts))
     claims = index.publishes(lock.facts, executables=True)
     owned = written(index.build_ownership(claims))
     declared = written(index.declarations(lock.facts))
@@ -123,8 +126,26 @@ def document(graph: SiteMap) -> dict:
     }
 
 
+_EDGE_ORDER = ["from", "to", "kind", "resolved_by", "evidence.repo", "evidence.path", "evidence.line", "detail", "version", "rev"]
+#: The lists of a map, each with the order of its rows.
+LISTS = {"entities": ["id"], "edges": _EDGE_ORDER, "weak_edges": _EDGE_ORDER, "unresolved": ["from", "want", "via"], "ownership": ["coordinate", "kind", "repo", "where"]}
+
+
+def map_lists(graph: SiteMap) -> dict[str, DataFrame]:
+    """The lists of a map as tables of rendered rows, in order."""
+    return {name: canonical.rendered(getattr(graph, name), keys, _edge if keys is _EDGE_ORDER else None) for name, keys in LISTS.items()}
+
+
+def map_pieces(graph: SiteMap) -> Iterator[str]:
+    """The map's text in pieces: its lists are never whole on the driver."""
+    head = dict(graph.header)
+    tail = {k: head.pop(k) for k in ("declarations", "edge_kinds", "reserved_edge_kinds")}
+    rules = {r["rule"]: {"confidence": r["confidence"], "how": r["how"]} for r in graph.resolution.orderBy("rule").collect()}
+    return canonical.pieces([*head.items(), *map_lists(graph).items(), *tail.items(), ("resolution", rules)])
+
+
 def map_text(graph: SiteMap) -> str:
-    return serialize(document(graph))
+    return "".join(map_pieces(graph))
 
 
 def slice_for(graph: SiteMap, slug: str, origin: str) -> dict:

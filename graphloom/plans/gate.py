@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import edges as E
 from ..schemas import AUTHORED_VISIBILITY, CONFIDENCE, EDGE_KINDS, ENTITY_KINDS, FORMATS, LINK_LABELS, NEVER_NULL, REPO_VISIBILITY, RESOLVES_FROM, SCHEMA_VERSION, STATUS, TABLES, struct
-from .collect import load_lock
-from .derive import derive, map_text
+from . import canonical
+from .collect import Lock, load_lock, serialize
+from .derive import SiteMap, derive, map_pieces, map_text
 
 
 @dataclass
@@ -160,15 +163,21 @@ def _shape(value, kind: T.DataType, path: str, solid: set[str], field: str = "")
     return [] if good else [(path, f"must be a {'text' if isinstance(kind, T.StringType) else 'whole number'}")]
 
 
-def lock_issues(document: dict) -> list[tuple[str, str]]:
+def lock_types() -> dict[str, T.StructType]:
+    """The types of a lock's parts, as tasks take them along."""
+    return {name: struct(name) for name in ("lock_header", "lock_repo", "source", *FORMATS)}
+
+
+def lock_issues(document: dict, types: dict[str, T.StructType] | None = None) -> list[tuple[str, str]]:
     """path and message of everything in which a lock breaks the contract: its own fields, its repositories, and every
     source by its format. Nothing may be unknown, missing or of another type."""
-    head = struct("lock_header")
+    types = types or lock_types()
+    head = types["lock_header"]
     found = [(k, "is no key of the contract") for k in document if k not in head.names and k not in ("repos", "sources")]
     found += [(k, "is missing") for k in [*head.names, "repos", "sources"] if k not in document]
     found += [i for f in head if f.name in document for i in _shape(document[f.name], f.dataType, f.name, {f.name}, f.name)]
     for n, repo in enumerate(document.get("repos") or []):
-        found += _shape(repo, struct("lock_repo"), f"repos.{n}", set(struct("lock_repo").names))
+        found += _shape(repo, types["lock_repo"], f"repos.{n}", set(types["lock_repo"].names))
         if isinstance(repo, dict) and repo.get("visibility") not in REPO_VISIBILITY:
             found.append((f"repos.{n}.visibility", "is no visibility"))
     for n, source in enumerate(document.get("sources") or []):
@@ -176,36 +185,90 @@ def lock_issues(document: dict) -> list[tuple[str, str]]:
         if fmt not in FORMATS:
             found.append((f"sources.{n}.format", "is no format"))
             continue
-        found += _shape({k: v for k, v in source.items() if k != "facts"}, struct("source"), f"sources.{n}", {"repo", "path", "format"})
-        found += _shape(source["facts"], struct(fmt), f"sources.{n}.facts", set(NEVER_NULL[fmt])) if "facts" in source else [(f"sources.{n}.facts", "is missing")]
+        found += _shape({k: v for k, v in source.items() if k != "facts"}, types["source"], f"sources.{n}", {"repo", "path", "format"})
+        found += _shape(source["facts"], types[fmt], f"sources.{n}.facts", set(NEVER_NULL[fmt])) if "facts" in source else [(f"sources.{n}.facts", "is missing")]
     return found
 
 
-def check_graph(spark: SparkSession, lock_text: str, graph_text: str, origin: str, site: dict, projects: DataFrame | None = None) -> Verdict:
-    """The first of these that applies: lock-unparseable, graph-unparseable, schema, divergent, privacy, or none."""
-    try:
-        broken = lock_issues(json.loads(lock_text))
-    except (ValueError, AttributeError) as error:
-        return Verdict(False, "lock-unparseable", f"the lock is not valid JSON: {error}")
-    if broken:
-        return Verdict(False, "lock-unparseable", f"the lock does not satisfy its contract: {broken[0][0]}: {broken[0][1]}")
+def lock_table_issues(locks: DataFrame) -> DataFrame:
+    """lock, path, message of everything in which the locks (lock, text) break the contract, whatever their number: each lock
+    is read by a task. A text that is no JSON object has one issue, at its root."""
+    types = lock_types()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    document = json.loads(text) if text is not None else None
+                except ValueError:
+                    document = None
+                found = lock_issues(document, types) if isinstance(document, dict) else [("<root>", "must be an object")]
+                out += [(name, path, message) for path, message in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["lock", "path", "message"])
+
+    return locks.select(F.col("lock").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lock string, path string, message string")
+
+
+def _parsed(text: str):
+    """A JSON value and no message, or the message alone."""
     try:
-        doc = json.loads(graph_text)
+        return json.loads(text), None
     except ValueError as error:
-        return Verdict(False, "graph-unparseable", f"the map is not valid JSON: {error}")
+        return None, str(error)
+
+
+def check_graph(spark: SparkSession, lock_text: str, graph_text: str, origin: str, site: dict, projects: DataFrame | None = None) -> Verdict:
+    """The first of these that applies: lock-unparseable, graph-unparseable, schema, divergent, privacy, or none.
+
+    A lock has to be JSON only: what it leaves out has its empty value, as the derivation reads it (lock_issues is stricter)."""
+    _, wrong = _parsed(lock_text)
+    if wrong is not None:
+        return Verdict(False, "lock-unparseable", f"the lock is not valid JSON: {wrong}")
+    return judge(lambda: derive(load_lock(spark, lock_text), origin, site, projects), spark, graph_text)
+
+
+def judge(expected: Callable[[], SiteMap], spark: SparkSession, graph_text: str) -> Verdict:
+    """The verdict on a map's text beside the map that it should be: its lists are compared row by row as tasks render them."""
+    doc, wrong = _parsed(graph_text)
+    if wrong is not None:
+        return Verdict(False, "graph-unparseable", f"the map is not valid JSON: {wrong}")
+    if not isinstance(doc, dict):
+        return Verdict(False, "schema", "the map does not satisfy the published contract.\n\n  <root>: must be an object\n")
     tables, issues = schema_issues(spark, doc)
     worst = issues.orderBy("path", "message").limit(1).collect()
     if worst:
         more = issues.count() - 1
         return Verdict(False, "schema", f"the map does not satisfy the published contract.\n\n  {worst[0]['path']}: {worst[0]['message']}\n" + (f"  …and {more} more\n" if more else ""))
-    expected = map_text(derive(load_lock(spark, lock_text), origin, site, projects))
-    if expected != graph_text:
-        both = spark.createDataFrame([(expected, graph_text)], "a string, b string")
-        at = both.select(E.first_difference(F.col("a"), F.col("b")).alias("d")).first()["d"]
-        return Verdict(False, "divergent", f"the map is not the derivation of the lock.\n\n  First difference at line {at['line']}:\n{at['context']}\n")
+    at = canonical.first_difference(map_pieces(expected()), graph_text)
+    if at:
+        return Verdict(False, "divergent", f"the map is not the derivation of the lock.\n\n  First difference at line {at[0]}:\n{at[1]}\n")
     plain = lambda name: tables[name].drop("ord")
     leaks = [r[0] for r in E.privacy_violations(plain("edges"), plain("weak_edges"), plain("entities")).orderBy("message").collect()]
     if leaks:
         return Verdict(False, "privacy", "the map discloses detail about a repository that is not public.\n" + "\n".join(f"  {m}" for m in leaks))
     shut = plain("entities").where("repo_visibility <> 'public'").count()
     return Verdict(True, None, f"{plain('edges').count()} edges derive exactly from the lock; {shut} non-public endpoints carry no detail")
+
+
+def verdicts(lock: Lock, origin: str, site: dict) -> DataFrame:
+    """made, reason, entities: what the gate says of a lock's own map, and of one map broken in each of the ways that it tells apart."""
+    spark = lock.repos.sparkSession
+    graph = derive(lock, origin, site)
+    text = map_text(graph)
+    doc = json.loads(text)
+    told = lambda changed: serialize(doc | changed)
+    first, same = doc["edges"][0], lambda: graph
+    # A map that tells what it must not, and is what was derived all the same: only the last check can find it.
+    secret = told({"entities": [e | {"repo_visibility": "restricted"} if e["id"] in (first["from"], first["to"]) else e for e in doc["entities"]]})
+    shut = F.when(F.col("id").isin(first["from"], first["to"]), "restricted").otherwise(F.col("repo_visibility"))
+    leaky = lambda: replace(graph, entities=graph.entities.withColumn("repo_visibility", shut))
+    made = [
+        ("unchanged", judge(same, spark, text)),
+        ("bad lock", check_graph(spark, "{", text, origin, site)),
+        ("bad map", judge(same, spark, text[:-3])),
+        ("other shape", judge(same, spark, told({"schema_version": 2}))),
+        ("edge dropped", judge(same, spark, told({"edges": doc["edges"][1:]}))),
+        ("secret told", judge(leaky, spark, secret)),
+    ]
+    return spark.createDataFrame([(name, v.reason or "ok", len(doc["entities"])) for name, v in made], "made string, reason string, entities long")

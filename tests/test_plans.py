@@ -1,14 +1,16 @@
 """The derivation's own contract, the gate's verdicts under mutation, ranks, the picture, inspection, slices and the stream."""
 
+import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import rank
-from graphloom.plans import collect, derive, diagram, gate, inspect
+from graphloom.operators import edges, extract, rank
+from graphloom.plans import canonical, collect, derive, diagram, gate, inspect
 from graphloom.schemas import COLLECTIONS, EDGE_KINDS, endpoints, struct
-from graphloom.sources import listing
+from graphloom.sources import listing, provider
 from graphloom.streaming import upsert
 
 ORIGIN, SITE = "https://example.com", {"name": "x", "url": "https://example.com", "describes": "y"}
@@ -270,3 +272,71 @@ def test_stream_of_sources(spark, tmp_path):
     assert run() == {("a", "go.mod"): ("y", 2)}
     put("2.json", ("a", "go.mod", "late", 1), ("b", "go.mod", "z", 1))
     assert run() == {("a", "go.mod"): ("y", 2), ("b", "go.mod"): ("z", 1)}
+
+
+def test_gate_reads_a_lock_as_the_derivation_does(spark):
+    """A lock without notes and most fields is one, a map that is no object breaks the contract, and strictness is its own operator."""
+    repos = [{"slug": s, "github": f"o/{s}", "visibility": "public", "on_map": True, "read": True} for s in ("alpha", "beta")]
+    facts = lambda name, deps: {"package": name, "publishes": [name], "workspaceMembers": [], "deps": deps}
+    sources = [{"repo": "alpha", "path": "Cargo.toml", "blob": None, "format": "cargo", "facts": facts("alpha", [{"name": "beta-crate", "version": "1"}])}, {"repo": "beta", "path": "Cargo.toml", "blob": None, "format": "cargo", "facts": facts("beta-crate", [])}]
+    lock_text = json.dumps({"schema_version": 1, "collected_at": "2024-01-01T00:00:00Z", "private_inclusive": False, "repos": repos, "sources": sources})
+    text = derive.map_text(derive.derive(collect.load_lock(spark, lock_text), ORIGIN, SITE))
+    assert gate.check_graph(spark, lock_text, text, ORIGIN, SITE).ok
+    assert gate.lock_issues(json.loads(lock_text))
+    verdict = gate.check_graph(spark, lock_text, "[]", ORIGIN, SITE)
+    assert verdict.reason == "schema" and "<root>" in verdict.message
+    assert gate.check_graph(spark, lock_text, text + "x", ORIGIN, SITE).reason == "graph-unparseable"
+    assert gate.check_graph(spark, lock_text, text + "\n", ORIGIN, SITE).reason == "divergent"
+
+
+def test_documents_in_pieces(spark, graph, tmp_path):
+    text = derive.map_text(graph)
+    assert text == collect.serialize(derive.document(graph))
+    canonical.write(derive.map_pieces(graph), str(tmp_path / "map.json"))
+    assert (tmp_path / "map.json").read_text() == text
+    assert canonical.digest(derive.map_pieces(graph)) == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    whole = spark.createDataFrame([("x",)], "x string")
+    for change in (lambda t: t, lambda t: t[:-1], lambda t: t + "more\n", lambda t: t.replace("alpha", "alphb", 3), lambda t: "", lambda t: t.replace("\n", "\r\n", 1)):
+        made = change(text)
+        told = whole.select(edges.first_difference(F.lit(text), F.lit(made)).alias("d")).first()["d"]
+        assert canonical.first_difference(derive.map_pieces(graph), made) == (None if told is None else (told["line"], told["context"]))
+    rows = derive.map_lists(graph)
+    assert canonical.unlike(rows["edges"], rows["edges"]).isEmpty()
+    assert canonical.unlike(rows["edges"], rows["edges"].limit(1)).count() == rows["edges"].count() - 1
+
+
+def test_providers_give_equal_tables(spark, tmp_path):
+    files = [(r, p, t.encode()) for r, p, t in FILES] + [("odd name/é", "Cargo.toml", b"\xff"), ("odd name/é", ".github/workflows/a.yaml", b""), ("odd name/é", "deep/a/b/go.mod", b"module x"), ("odd name/é", "README.md", b"x")]
+    df = spark.createDataFrame(files, "repo string, path string, content binary")
+    told = []
+    for kind in ("checkout", "prefetched", "contents"):
+        provider.write_repositories(df, f"file://{tmp_path}/{kind}", kind)
+        told.append(sorted(map(tuple, provider.read_repositories(spark, f"file://{tmp_path}/{kind}", kind).collect()), key=str))
+    assert told[0] == told[1] == told[2] and len(told[0]) == len(files)
+    by = {(r, p): (blob, body) for r, p, blob, _, body in told[0]}
+    assert by["odd name/é", "README.md"] == (None, None) and by["odd name/é", "Cargo.toml"][1] == b"\xff"
+    assert by["alpha", ".tool-version"][0] == hashlib.sha1(b"blob 3\x001.2").hexdigest()
+    facts, _ = collect.parse_manifests(provider.read_repositories(spark, f"file://{tmp_path}/prefetched", "prefetched").select("repo", "path", "content"))
+    assert facts["cargo"].where("repo in ('alpha', 'beta')").count() == 2 and facts["gomod"].where("repo = 'odd name/é'").count() == 1
+    (tmp_path / "prefetched" / "alpha" / "bodies" / "Cargo.toml").unlink()
+    gone = provider.read_repositories(spark, f"{tmp_path}/prefetched", "prefetched").where("repo = 'alpha' and path = 'Cargo.toml'").first()
+    assert gone["content"] is None
+    with pytest.raises(ValueError, match="file system"):
+        provider.local_path("s3://x/y")
+
+
+def test_locks_in_a_table(spark):
+    good = {"schema_version": 1, "note": "n", "collected_at": "x", "private_inclusive": False, "repos": [], "sources": []}
+    texts = [json.dumps(good), "{", "[]", None, json.dumps(good | {"more": 1}), json.dumps({k: v for k, v in good.items() if k != "repos"})]
+    df = spark.createDataFrame([(str(k), t, 1) for k, t in enumerate(texts)], "lock string, text string, path int")
+    got = sorted(map(tuple, gate.lock_table_issues(df).collect()))
+    want = [(str(k), *i) for k, t in enumerate(texts) for i in (gate.lock_issues(json.loads(t)) if t and t[0] == "{" and len(t) > 1 else [("<root>", "must be an object")])]
+    assert got == sorted(want) and len(got) == 5
+    assert gate.lock_table_issues(df.limit(0)).collect() == []
+
+
+def test_blocks_of_a_module_file_take_linear_time(spark):
+    for text, want in (("require (\n a v1\n)\n" * 10_000, (10_000, 0)), (")\n" * 10_000, (0, 0)), ("replace (\n" + " a => ../b\n" * 10_000 + ")\n", (0, 10_000))):
+        row = spark.createDataFrame([(text,)], "text string").select(extract.gomod(F.col("text")).alias("f")).select(F.size("f.requires"), F.size("f.replaces"))
+        began = time.time()
+        assert tuple(row.first()) == want and time.time() - began < 20
