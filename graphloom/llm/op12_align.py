@@ -48,7 +48,7 @@ from .linking import parts, saved
 #: Tokens of an event block; tokens that are swept at once in a long document.
 BLOCK, SWEEP = 4096, 1 << 18
 #: Words whose ids a worker keeps; distinct pairs a task counts before it tells; pairs whose counts go to every task.
-WORDS_KEPT, PAIRS_HELD, PAIRS_MOST = 200_000, 1 << 20, 4 << 20
+WORDS_KEPT, PAIRS_HELD, PAIRS_MOST = 400_000, 1 << 20, 4 << 20
 #: Code points with the property White_Space, and four more that some libraries count among them.
 _WHITE = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
