@@ -173,7 +173,9 @@ def linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
 #: A key's members come in a pseudo-random order. Each meets the first NEAR before it, and the KEPT that are most like it go on
 #: (each of the first CLOSE goes on with all before it). Bits of 120 in which the SimHashes of a pair may differ: among the
 #: first CLOSE, and past them; and below which a member counts as a copy of one of the first NEAR.
-CLOSE, NEAR, KEPT, LOOSE, TIGHT, COPY = 16, 128, 4, 48, 38, 10
+CLOSE, NEAR, KEPT, LOOSE, TIGHT, COPY = 8, 128, 3, 48, 38, 10
+#: The same for members whose sizes make a SimHash vague.
+VAGUE = 58
 #: Bits of SimHash by which the members past the first NEAR are told apart in the next round.
 STEP_BITS = 4
 #: A mark is 120 bits of SimHash, two numbers, of which the second ends in an 8-bit code of the size.
@@ -222,7 +224,7 @@ class Group:
             d[np.arange(len(self.ids))[None, :] >= p] = _FAR
             short = (m1[part] & np.uint64(_CODE)).astype(np.int64) <= low
             most = np.where(p[:, 0] < CLOSE, LOOSE, TIGHT)
-            most[short] = _FAR - 1
+            most[short] = VAGUE
             good = d <= most[:, None]
             if d.shape[1] > KEPT:
                 far = (p[:, 0] >= CLOSE) & (good.sum(axis=1) > KEPT)
@@ -282,7 +284,7 @@ def _streamed_pairs(low: int):
                 other = own - inner[own] + j
                 d = gaps((m0[own], m1[own]), (m0[other], m1[other]))
                 short = (m1[own] & np.uint64(_CODE)).astype(np.int64) <= low
-                good = d <= np.where(short, _FAR - 1, LOOSE)
+                good = d <= np.where(short, VAGUE, LOOSE)
                 for held, x in zip(out, (np.maximum(ids[own], ids[other]), np.minimum(ids[own], ids[other]), d + _SHORT * short), strict=True):
                     held.append(x[good])
             for g in np.flatnonzero(~whole):
@@ -367,17 +369,18 @@ def _placed_pairs(groups: dict[int, Group], low: int):
 
 #: In how many bits the SimHashes of a pair may differ that has met under so many keys: of long members, and of short ones.
 #: A pair that has met under more goes on. (Of links hardly one in a hundred meets once only, of other pairs nine of ten do.)
-AGREE = ((1, 20, 48), (2, 46, 58))
+AGREE = ((1, 24, 48), (2, 47, 58))
 
 
-def likely_pairs(members: DataFrame, short: int = 0) -> DataFrame:
+def likely_pairs(members: DataFrame, short: int = 0, done: Callable[[], None] | None = None) -> DataFrame:
     """Pairs (a, b), a > b, of members (key long, id long, m0 long, m1 long) that share a key; a written table, linear in the members.
 
     Each member of a key meets the key's first NEAR members in a pseudo-random order, by their marks; those KEPT that differ least
     are pairs, if they differ in few bits and their sizes allow a similarity of 0.8 (of members shorter than `short` in
-    whatever bits they differ); AGREE says which of these pairs go on. Members past the first NEAR that are no copies of one of these go to a further round, under the
+    up to VAGUE bits); AGREE says which of these pairs go on. Members past the first NEAR that are no copies of one of these go to a further round, under the
     key and STEP_BITS more bits of their SimHash, until no key has more: no member is dropped. The rows of a key stream through
-    a task; those of the most common keys stay where they are, and the first NEAR members are sent to them. Both give the same pairs."""
+    a task; those of the most common keys stay where they are, and the first NEAR members are sent to them. Both give the same pairs.
+    done is called when members are read no more."""
     low = int(size_code(np.array([short]))[0]) if short else -1
     tables, rows = [], members.select("key", "id", "m0", "m1")
     for step in range(120 // STEP_BITS):
@@ -389,6 +392,8 @@ def likely_pairs(members: DataFrame, short: int = 0) -> DataFrame:
             there = rows.where(F.col("key").isin(hot)).select(*order)
             met = met.unionByName(W.small_batches(there).mapInArrow(_placed_pairs(_first_members(there), low), MET))
         tables.append(saved(met))
+        if done and not step:
+            done()
         late = tables[-1].where("id is not null")
         if not late.limit(1).count():
             break
