@@ -122,6 +122,10 @@ def _resolved(out: DataFrame, chained: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Rounds that take off the nodes without edges only: most graphs are not deeper.
+PEELED = 3
+
+
 def rank_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """id, rank. Raises for an entity that was not read, and for a cycle, which it names."""
     unread = [r[0] for r in entities.where("not sources_read").select("id").orderBy("id").limit(20).collect()]
@@ -130,7 +134,7 @@ def rank_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = written(entities.select("id", F.lit(0).alias("base")).distinct())
     asserted = written(drawable(edges, entities).select("from", "to").distinct())
     left = written(asserted.withColumn("w", F.lit(1)))
-    ranked, chained = [], []
+    ranked, chained, rounds = [], [], 0
     while not nodes.isEmpty():
         ready = written(nodes.join(left.select(F.col("from").alias("id")).distinct(), "id", "left_anti").select("id", F.col("base").alias("rank")))
         if ready.isEmpty():
@@ -141,6 +145,12 @@ def rank_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
         rest = nodes.join(ready.select("id"), "id", "left_anti").join(based, "id", "left")
         nodes2 = written(rest.select("id", F.greatest("base", F.coalesce("more", F.lit(0))).alias("base")))
         left2 = written(left.join(known.select("to"), "to", "left_anti"))
+        rounds += 1
+        if rounds <= PEELED:
+            for t in (nodes, left):
+                dropped(t)
+            nodes, left = nodes2, left2
+            continue
         alone = left2.groupBy(F.col("from").alias("id")).agg(F.count("*").alias("n"), F.max("to").alias("to"), F.max("w").alias("w")).where("n = 1")
         single, ends = _chains(written(nodes2.join(alone, "id").select("id", "base", "to", "w")))
         if not ends:

@@ -38,7 +38,7 @@ def inspect_repo(root: str, manifests: DataFrame, published: DataFrame, url: str
     present = {r[0] for r in sources(facts).select("format").distinct().collect()}
     unread = [f for f in UNRESOLVED_FORMATS if f in present]
     if unread:
-        notes.append(f"read but not resolved here: {', '.join(unread)} — these resolve through rules that need more than a coordinate lookup, so they are omitted rather than reported as declaring nothing")
+        notes.append(f"read but not resolved here: {', '.join(unread)}; a coordinate alone does not tell what they ask for")
     return Report(label, root, url, schema_version, published.count(), publishes, requires, notes)
 
 
