@@ -177,7 +177,7 @@ CLOSE, NEAR, KEPT, LOOSE, TIGHT, COPY = 8, 128, 3, 48, 38, 10
 #: The same for members whose sizes make a SimHash vague.
 VAGUE = 58
 #: Bits of SimHash by which the members past the first NEAR are told apart in the next round.
-STEP_BITS = 4
+STEP_BITS = 8
 #: A mark is 120 bits of SimHash, two numbers, of which the second ends in an 8-bit code of the size.
 _CODE = 0xFF
 SIZE_STEP = 1.1
