@@ -240,6 +240,39 @@ class Group:
         return np.maximum(a, b), np.minimum(a, b), d, late.astype(bool)
 
 
+#: Groups of up to so many members, NEAR at most, are compared together, about so many pairs at a time.
+TOGETHER, PAIRS = 64, 1 << 18
+
+
+def _groups_met(ids: np.ndarray, m0: np.ndarray, m1: np.ndarray, start: np.ndarray, size: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b, gap) of many whole groups, each `size` rows from `start`: what Group.meet gives for one group after the other."""
+    start, size = start[size > 1], size[size > 1]
+    edge = np.concatenate([[0], np.cumsum(size * (size - 1) // 2)])
+    cuts = np.unique(np.searchsorted(edge, np.arange(0, edge[-1] + PAIRS, PAIRS)))
+    code = (m1 & np.uint64(_CODE)).astype(np.int16)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        n = size[lo:hi]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(start[lo:hi], n)
+        row = np.repeat(np.arange(len(place)), place)  # each member once for every one before it
+        y = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(place) - place, place)
+        x = first[row] + place[row]
+        near = np.abs(code[x] - code[y]) <= 3
+        row, x, y = row[near], x[near], y[near]
+        d = np.bitwise_count(m0[x] ^ m0[y]) + np.bitwise_count((m1[x] ^ m1[y]) & ~np.uint64(_CODE))
+        short = code[x] <= low
+        good = d <= np.where(short, VAGUE, np.where(place[row] < CLOSE, LOOSE, TIGHT))
+        row, x, y, d, short = row[good], x[good], y[good], d[good], short[good]
+        order = np.lexsort((d, row))  # of a member past the first CLOSE only the nearest go on, and what is as near as the last of them
+        row, x, y, d, short = row[order], x[order], y[order], d[order], short[order]
+        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+        many = np.diff(np.append(begin, len(row)))
+        bar = np.repeat(d[begin + np.minimum(many, KEPT) - 1], many)
+        stay = (place[row] < CLOSE) | (d <= bar)
+        a, b = ids[x[stay]], ids[y[stay]]
+        yield np.maximum(a, b), np.minimum(a, b), d[stay] + _SHORT * short[stay]
+
+
 MET = "a long, b long, gap int, key long, id long, m0 long, m1 long"
 
 
@@ -273,20 +306,11 @@ def _streamed_pairs(low: int):
             size = np.diff(np.append(start, len(key)))
             carried = now is not None and key[0] == now
             out, late = ([], [], []), ([], [], [], [])
-            # Whole small groups at once, one place after the other.
-            whole = np.append(size[:-1] <= CLOSE, False) & ~(carried & (np.arange(len(size)) == 0))
-            inner = np.arange(len(key)) - np.repeat(start, size)
-            small = np.repeat(whole, size)
-            for j in range(CLOSE - 1):
-                own = np.flatnonzero(small & (inner > j))
-                if not len(own):
-                    break
-                other = own - inner[own] + j
-                d = gaps((m0[own], m1[own]), (m0[other], m1[other]))
-                short = (m1[own] & np.uint64(_CODE)).astype(np.int64) <= low
-                good = d <= np.where(short, VAGUE, LOOSE)
-                for held, x in zip(out, (np.maximum(ids[own], ids[other]), np.minimum(ids[own], ids[other]), d + _SHORT * short), strict=True):
-                    held.append(x[good])
+            # Whole groups of up to TOGETHER members are compared all at once.
+            whole = np.append(size[:-1] <= TOGETHER, False) & ~(carried & (np.arange(len(size)) == 0))
+            for met in _groups_met(ids, m0, m1, start[whole], size[whole], low):
+                for held, x in zip(out, met, strict=True):
+                    held.append(x)
             for g in np.flatnonzero(~whole):
                 s, e = int(start[g]), int(start[g] + size[g])
                 if not (carried and g == 0):
