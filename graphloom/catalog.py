@@ -17,7 +17,7 @@ from .functions import paths as P
 from .functions import text as X
 from .operators import edges as E
 from .operators import index, rank, resolve
-from .plans import canonical, collect, diagram, inspect
+from .plans import canonical, collect, delta, diagram, inspect
 from .plans import gate as G
 from .schemas import COLLECTIONS, EDGE_KINDS, endpoints
 from .sources import listing, provider
@@ -743,3 +743,31 @@ def lock_table_issues(spark, d):
         F.lit(', "facts": {"package": null, "publishes": [], "workspaceMembers": [], '), pick(3, '"extra": 1, ', ""), F.lit('"deps": [{"name": '), pick(3, "7", '"p"'), F.lit(f', {none}}}]}}}}]}}'),
     )
     return G.lock_table_issues(t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("lock"), text.alias("text")))
+
+
+# ---------------------------------------------------------------- derivation of changes
+
+
+def _rederived(spark, d):
+    """A state that was derived from all manifests and then followed a change."""
+    base, later, gone, roster = W.changed_cargo(spark, d)
+    state = delta.state_of(spark, f"{shared_folder(spark)}/graphloom/{spark.sparkContext.applicationId}/state-{uuid.uuid4().hex}")
+    delta.advance(state, base, roster=roster)
+    return state, delta.advance(state, later, gone)
+
+
+@query("rederived_edges", f"""WITH {W.CHANGED_CARGO_SQL}, f AS (SELECT crate, min(repo) AS repo FROM own GROUP BY crate)
+    SELECT d.repo AS "from", f.repo AS "to", d.want AS matched, 'library' AS kind FROM declared d JOIN f ON d.want = f.crate WHERE d.repo <> f.repo""")
+def rederived_edges(spark, d):
+    return delta.edges(_rederived(spark, d)[0]).select("from", "to", "matched", "kind")
+
+
+@query("edge_changes", f"""WITH {W.CHANGED_CARGO_SQL}, f AS (SELECT crate, min(repo) AS repo FROM own GROUP BY crate),
+    before AS (SELECT d.repo AS "from", 's' || s AS "to", 's' || s AS matched FROM deps d JOIN supplier ON s_suppkey = s),
+    after AS (SELECT d.repo AS "from", f.repo AS "to", d.want AS matched FROM declared d JOIN f ON d.want = f.crate WHERE d.repo <> f.repo)
+    SELECT 'gone' AS what, * FROM (SELECT * FROM before EXCEPT SELECT * FROM after) UNION ALL SELECT 'new', * FROM (SELECT * FROM after EXCEPT SELECT * FROM before)""")
+def edge_changes(spark, d):
+    change = _rederived(spark, d)[1]
+    own = lambda df: df.select("from", "to", "matched").distinct()  # noqa: E731  # lines of a manifest move, and with them its edges' evidence
+    gone, new = own(change.edges_gone), own(change.edges_new)
+    return gone.exceptAll(new).select(F.lit("gone").alias("what"), "*").unionByName(new.exceptAll(gone).select(F.lit("new").alias("what"), "*"))

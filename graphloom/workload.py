@@ -158,6 +158,32 @@ def cargo_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select(F.concat(F.lit("s"), "l_suppkey").alias("repo"), F.lit("Cargo.toml").alias("path"), F.concat(F.lit('[package]\nname = "s'), "l_suppkey", F.lit('"\nversion = "1.0.0"\n\n[dependencies]\n'), "body", F.lit("\n")).alias("text"))
 
 
+CHANGED_CARGO_SQL = """deps AS (SELECT DISTINCT 'c' || o_custkey AS repo, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    own AS (SELECT CASE WHEN s_suppkey % 50 = 5 THEN 's' || (s_suppkey - 1) WHEN s_suppkey % 50 = 3 THEN 't' || s_suppkey ELSE 's' || s_suppkey END AS crate, 's' || s_suppkey AS repo FROM supplier),
+    declared AS (SELECT repo, 's' || s AS want FROM deps WHERE CAST(substr(repo, 2) AS BIGINT) % 20 > 1
+                 UNION ALL SELECT DISTINCT repo, 's1' FROM deps WHERE CAST(substr(repo, 2) AS BIGINT) % 20 = 1)"""
+
+
+def changed_cargo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Manifests, those that arrive later, files that go later (repo, path), and the roster.
+
+    A supplier publishes a crate; a customer depends on those of the suppliers that it ordered from. Later, of
+    each fifty suppliers one renames its crate and one publishes its neighbour's too; of twenty customers one goes and one keeps one dependency."""
+    suppliers, lines = table(spark, sf_dir, "supplier").select("s_suppkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    deps = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    head = lambda name: F.concat(F.lit('[package]\nname = "'), name, F.lit('"\n'))
+    row = lambda repo, text: [repo.alias("repo"), F.lit("Cargo.toml").alias("path"), text.cast("binary").alias("content")]
+    s, c = F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("c"), "o_custkey")
+    body = _joined(deps, "o_custkey", ["l_suppkey"], F.concat(F.lit("s"), "l_suppkey", F.lit(' = "1"')))
+    base = suppliers.select(*row(s, head(s))).unionByName(body.select(*row(c, F.concat(head(c), F.lit("[dependencies]\n"), "body", F.lit("\n")))))
+    renamed = F.when(F.col("s_suppkey") % 50 == 3, F.concat(F.lit("t"), "s_suppkey")).otherwise(F.concat(F.lit("s"), F.col("s_suppkey") - 1))
+    fewer = body.where("o_custkey % 20 = 1").select(*row(c, F.concat(head(c), F.lit('[dependencies]\ns1 = "1"\n'))))
+    later = suppliers.where("s_suppkey % 50 in (3, 5)").select(*row(s, head(renamed))).unionByName(fewer)
+    gone = body.where("o_custkey % 20 = 0").select(c.alias("repo"), F.lit("Cargo.toml").alias("path"))
+    roster = base.select(F.col("repo").alias("slug"), F.concat(F.lit("o/"), "repo").alias("github"))
+    return base, later, gone, roster
+
+
 def server_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A server.json for each supplier, which needs its nation's server."""
     rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # nations: a fixed table of 25 rows
