@@ -11,7 +11,11 @@ normal equations over all subspaces at once.
 Every vector is coded. A task codes its rows, scans the codes for each query
 with tables of 256 sums (two four-bit codes make a byte), takes the RERANK
 best of every chunk of rows, and ranks those anew by the exact cosine of the
-original vectors in double precision. It hands on k rows a query, so only
+original vectors in double precision. A check follows that loses nothing: for each row the parts
+of its residual along and across it are known, which bounds the cosine that its scanned
+sum can stand for; rows that may still reach a query's k-th best are compared in single
+precision, and those within its rounding by the exact cosine, too. So rows that the codes cannot tell
+apart (tight clusters, a large common part) are found all the same. It hands on k rows a query, so only
 k x queries x tasks rows are shuffled. The queries are shipped in blocks of about
 BLOCK_VALUES numbers, one scan for each block; a block's result is written before the next
 block is read.
@@ -47,6 +51,8 @@ BLOCK_VALUES = 1 << 22
 #: The inner product, for unit vectors, above which errors matter; it sets the weight of parallel errors.
 THRESHOLD = 0.2
 CENTROIDS = 16
+#: More than the rounding of a sum of products of two unit vectors in single precision, a thousand dimensions at once.
+ROUNDING = 2e-5
 
 
 class Quantiser:
@@ -121,6 +127,21 @@ class Quantiser:
             out.append((codes[:, 0::2] + CENTROIDS * codes[:, 1::2]).astype(np.uint8))
         return np.concatenate(out)
 
+    def residual(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each unit vector's residual the signed part along it and the length of the part across it."""
+        along, across = np.empty(len(x)), np.empty(len(x))
+        spaces = np.arange(self.spaces)
+        for low in range(0, len(x), 4096):
+            part, code = x[low : low + 4096], codes[low : low + 4096]
+            both = np.empty((len(part), self.spaces), dtype=np.intp)
+            both[:, 0::2], both[:, 1::2] = code % CENTROIDS, code // CENTROIDS
+            gap = part - self.centres[spaces, both].reshape(len(part), -1)[:, : self.dim].astype(np.float64)
+            a = (gap * part).sum(axis=1)
+            along[low : low + 4096] = a
+            # what padded dimensions' centroids hold meets zeros of the query only
+            across[low : low + 4096] = np.sqrt(np.maximum((gap * gap).sum(axis=1) - a * a, 0.0))
+        return along, across
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """queries x bytes x 256: the inner products of a query with what each byte stands for."""
         one = np.einsum("qmd,mkd->qmk", self._parts(queries), self.centres)
@@ -199,6 +220,8 @@ def _scan(q: Quantiser, query_ids: np.ndarray, queries: np.ndarray, k: int, rera
         double, flat = _units(x)
         codes = q.encode(flat)
         columns = [np.ascontiguousarray(codes[:, b]) for b in range(codes.shape[1])]
+        along, across = (c.astype(np.float32) for c in q.residual(double, codes))
+        rounding = ROUNDING * max(1.0, q.dim / 1024)
         most = min(rerank, len(ids))
         for low in range(0, len(single), 64):
             rows = slice(low, low + 64)
@@ -212,10 +235,34 @@ def _scan(q: Quantiser, query_ids: np.ndarray, queries: np.ndarray, k: int, rera
             own = ids[top] == query_ids[rows, None]
             real[own] = -np.inf
             best.add(rows, real, ids[top])
+            np.put_along_axis(scores, top, -np.inf, axis=1)
+            for i, j in _missed(scores, single[rows], flat, best.score[rows, -1], along, across, rounding):
+                at = slice(low + i, low + i + 1)
+                best.add(at, (exact[at] * double[j]).sum(axis=1)[None, :], ids[j][None, :])
 
     return run
 
 
+def _missed(scores: np.ndarray, queries: np.ndarray, x: np.ndarray, least: np.ndarray, along: np.ndarray, across: np.ndarray, rounding: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query the rows not ranked yet (scores above -inf) whose cosine may be its k-th best, least, or more.
+
+    With a residual of parts a along x and b across it, a scanned sum is s (1 - a) - e, s the
+    cosine and |e| <= b sqrt(1 - s^2); for s >= least it is at least least (1 - a) - b sqrt(1 - max(least, 0)^2).
+    Where a > 1 the sum falls as s grows: then every row stays.
+    """
+    floor = np.maximum(least, -2.0).astype(np.float32)[:, None]
+    near = np.sqrt(np.maximum(1 - np.maximum(floor, 0) ** 2, 0)) + np.float32(1e-3)
+    may = ((scores >= floor * (1 - along) - near * across - 1e-4) | (along >= 1)) & (scores > -np.inf)
+    some = np.flatnonzero(may.any(axis=1))
+    cols = np.flatnonzero(may.any(axis=0))
+    if not len(cols):
+        return
+    real = queries[some] @ x[cols].T
+    hit = (real >= floor[some] - rounding) & may[np.ix_(some, cols)]
+    for r in np.flatnonzero(hit.any(axis=1)):
+        yield some[r], cols[hit[r]]
+
+
 _RESULT = "query_id long, rank int, vec_id long, score double"
 
 

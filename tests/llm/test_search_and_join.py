@@ -62,6 +62,33 @@ def test_recall_of_a_full_chunk():
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("case", ["tight clusters", "common part", "few heavy dimensions", "far from the sample"])
+def test_rows_that_codes_cannot_tell_apart(case):
+    """Every nearest row is found where a four-bit code is the same, or nearly so, for more rows than are reranked."""
+    rng = np.random.default_rng(3)
+    n, dim = 6000, 32
+    x = rng.normal(size=(n, dim))
+    sample = x
+    if case == "tight clusters":
+        sample = x = rng.normal(size=(12, dim))[rng.integers(0, 12, n)] + 1e-3 * x
+    elif case == "common part":
+        sample = x = x + 100
+    elif case == "few heavy dimensions":
+        sample = x = x * np.where(np.arange(dim) < 3, 50, 1)
+    else:
+        x = np.abs(x) + np.where(np.arange(dim) < 8, 30, 0)
+    asked = np.arange(0, n, 50)
+    q = op1_nearest.Quantiser(dim).fit(op1_nearest._units(sample)[1][:2000])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(x))], names=["vec_id", "v"])
+    (out,) = op1_nearest._scan(q, asked, x[asked], op1_nearest.K, op1_nearest.RERANK)(iter([batch]))
+    got = set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    unit = op1_nearest._units(x)[0]
+    exact = (unit[asked, None, :] * unit[None]).sum(axis=2)
+    exact[np.arange(len(asked)), asked] = -np.inf
+    want = {(i, j) for i, e in zip(asked.tolist(), exact, strict=True) for j in np.lexsort((np.arange(n), -e))[: op1_nearest.K].tolist()}
+    assert got == want, len(got & want) / len(want)
+
+
 def test_blocks_and_dimensions(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4 if i % 3 else 2).tolist()) for i in range(120)]
