@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import text
 from graphloom.operators import edges, extract, rank
 from graphloom.plans import canonical, collect, derive, diagram, gate, inspect
 from graphloom.schemas import COLLECTIONS, EDGE_KINDS, endpoints, struct
@@ -237,6 +238,13 @@ def test_checkouts_and_index_are_read(spark, tmp_path):
         listing.read_index(spark, str(tmp_path / "j.json")).collect()
 
 
+def test_numbers_have_no_exponent(spark):
+    """The places of a picture of very many nodes: x above ten million."""
+    told = {10049171.0: "10049171", 10042931.5: "10042931.5", 123456789012.25: "123456789012.25", -40000000.5: "-40000000.5", 2e15: "2000000000000000", 7.0: "7", 0.1: "0.1", 0.0: "0"}
+    rows = spark.createDataFrame([(x,) for x in told], "x double")
+    assert {r[0]: r[1] for r in rows.select("x", text.number(F.col("x"))).collect()} == told
+
+
 def test_git_ids(spark):
     from graphloom.functions.text import git_blob_sha
 
