@@ -90,3 +90,14 @@ def test_empty_texts(facts):
     assert facts("go.mod", "")[0] == {"module": None, "publishes": [], "requires": [], "replaces": []}
     assert facts(".github/workflows/x.yaml", "")[0] == {"listensFor": [], "dispatches": []}
     assert facts("node_modules/package.json", '{"name": "x"}') == (None, [])
+
+
+def test_a_manifest_is_parsed_once(spark):
+    """Conditions on facts and explosions of them are not pushed below the parser, which would run again for each."""
+    from graphloom.operators import index
+
+    rows = spark.createDataFrame([("r", "go.mod", b"module a\nrequire example.com/b v1\n")], "repo string, path string, content binary")
+    gomod = parse_manifests(rows, ["gomod"])[0]
+    for table in (gomod["gomod"].where("size(facts.replaces) = 0"), index.declarations(gomod)):
+        assert table.count() == 1
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("|exclude|retract") == 1
