@@ -28,6 +28,11 @@ from .edges import drawable
 ROW_HEIGHT, NODE_HEIGHT, NODE_GAP, PADDING, CHAR_WIDTH, MIN_NODE_WIDTH, LEGEND_HEIGHT, MIN_WIDTH = 86, 26, 26, 28, 7.3, 78, 34, 320
 
 
+def _apart(table: DataFrame) -> DataFrame:
+    """A side of a join that grows with the graph: it is shuffled. Else each round would send it through the driver while it still fits a broadcast."""
+    return table.hint("merge")
+
+
 #: A remainder of so many edges at most is walked on the driver; a larger one is doubled over.
 WALKED = 1 << 17
 
@@ -52,16 +57,16 @@ def cycle_of(ways: DataFrame) -> DataFrame:
 
     def jump(x: DataFrame, y: DataFrame) -> DataFrame:
         far = y.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
-        return x.join(far, "to").select("id", F.col("far").alias("to"), low("far_low").alias("low"))
+        return x.join(_apart(far), "to").select("id", F.col("far").alias("to"), low("far_low").alias("low"))
 
     jumped = _doubled(written(ways.select("id", "to", F.col("id").alias("low"))), steps, jump)
-    on = written(jumped.join(jumped.select(F.col("to").alias("id")).distinct(), "id", "left_semi"))
+    on = written(jumped.join(_apart(jumped.select(F.col("to").alias("id")).distinct()), "id", "left_semi"))
     name = on.agg(F.min("low")).first()[0]
-    mine = ways.join(on.where(F.col("low") == name).select("id"), "id", "left_semi")
+    mine = ways.join(_apart(on.where(F.col("low") == name).select("id")), "id", "left_semi")
 
     def walk(x: DataFrame, y: DataFrame) -> DataFrame:
         far = y.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("len").alias("more"))
-        return x.join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to"), (F.col("len") + F.coalesce("more", F.lit(0))).alias("len"))
+        return x.join(_apart(far), "to", "left").select("id", F.coalesce("far", "to").alias("to"), (F.col("len") + F.coalesce("more", F.lit(0))).alias("len"))
 
     # The way out of the first node is cut, so that all others walk to it and stop there.
     rest = _doubled(written(mine.where(F.col("id") != name).select("id", "to", F.lit(1).cast("long").alias("len"))), steps, walk)
@@ -93,9 +98,9 @@ def _chains(single: DataFrame) -> tuple[DataFrame, bool]:
     steps = single.count().bit_length()
     for _ in range(steps + 1):
         on = single.select(F.col("id").alias("to"), F.col("base").alias("more"), F.col("to").alias("far"), F.col("w").alias("far_w"))
-        if single.join(on.select("to"), "to", "left_semi").isEmpty():
+        if single.join(_apart(on.select("to")), "to", "left_semi").isEmpty():
             return single, True
-        joined = single.join(on, "to", "left")
+        joined = single.join(_apart(on), "to", "left")
         after = written(joined.select("id", F.greatest("base", F.col("w") + F.coalesce("more", F.lit(0))).alias("base"), F.coalesce("far", "to").alias("to"), (F.col("w") + F.coalesce("far_w", F.lit(0))).alias("w")))
         dropped(single)
         single = after
@@ -107,14 +112,14 @@ def _cyclic(edges: DataFrame, ranked: list[DataFrame], chained: list[DataFrame])
     known = _resolved(_one(ranked), chained).select("id") if ranked else None
     if known is not None:
         for end in ("from", "to"):
-            edges = edges.join(known.withColumnRenamed("id", end), end, "left_anti")
+            edges = edges.join(_apart(known.withColumnRenamed("id", end)), end, "left_anti")
     return ValueError("the asserted graph contains a cycle and cannot be ranked: " + " → ".join(find_cycle(written(edges.select("from", "to")))))
 
 
 def _resolved(out: DataFrame, chained: list[DataFrame]) -> DataFrame:
     """Ranks (id, rank) with those of chains: a chain ends in a node that was ranked later than it was taken out."""
     for single in reversed(chained):
-        ends = single.join(out.select(F.col("id").alias("to"), "rank"), "to")
+        ends = single.join(_apart(out.select(F.col("id").alias("to"), "rank")), "to")
         more = written(out.unionByName(ends.select("id", F.greatest("base", F.col("w") + F.col("rank")).alias("rank"))))
         dropped(out)
         dropped(single)
@@ -136,15 +141,15 @@ def rank_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
     left = written(asserted.withColumn("w", F.lit(1)))
     ranked, chained, rounds = [], [], 0
     while not nodes.isEmpty():
-        ready = written(nodes.join(left.select(F.col("from").alias("id")).distinct(), "id", "left_anti").select("id", F.col("base").alias("rank")))
+        ready = written(nodes.join(_apart(left.select(F.col("from").alias("id")).distinct()), "id", "left_anti").select("id", F.col("base").alias("rank")))
         if ready.isEmpty():
             raise _cyclic(asserted, ranked, chained)
         ranked.append(ready)
         known = ready.select(F.col("id").alias("to"), "rank")
-        based = left.join(known, "to").groupBy(F.col("from").alias("id")).agg(F.max(F.col("w") + F.col("rank")).alias("more"))
-        rest = nodes.join(ready.select("id"), "id", "left_anti").join(based, "id", "left")
+        based = left.join(_apart(known), "to").groupBy(F.col("from").alias("id")).agg(F.max(F.col("w") + F.col("rank")).alias("more"))
+        rest = nodes.join(_apart(ready.select("id")), "id", "left_anti").join(_apart(based), "id", "left")
         nodes2 = written(rest.select("id", F.greatest("base", F.coalesce("more", F.lit(0))).alias("base")))
-        left2 = written(left.join(known.select("to"), "to", "left_anti"))
+        left2 = written(left.join(_apart(known.select("to")), "to", "left_anti"))
         rounds += 1
         if rounds <= PEELED:
             for t in (nodes, left):
@@ -152,14 +157,14 @@ def rank_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
             nodes, left = nodes2, left2
             continue
         alone = left2.groupBy(F.col("from").alias("id")).agg(F.count("*").alias("n"), F.max("to").alias("to"), F.max("w").alias("w")).where("n = 1")
-        single, ends = _chains(written(nodes2.join(alone, "id").select("id", "base", "to", "w")))
+        single, ends = _chains(written(nodes2.join(_apart(alone), "id").select("id", "base", "to", "w")))
         if not ends:
             raise _cyclic(asserted, ranked, chained)
         chained.append(single)
         to = single.select(F.col("id").alias("to"), F.col("base").alias("more"), F.col("to").alias("far"), F.col("w").alias("far_w"))
-        moved = written(left2.join(single.select(F.col("id").alias("from")), "from", "left_anti").join(to, "to", "left"))
+        moved = written(left2.join(_apart(single.select(F.col("id").alias("from"))), "from", "left_anti").join(_apart(to), "to", "left"))
         based = moved.where("more is not null").groupBy(F.col("from").alias("id")).agg(F.max(F.col("w") + F.col("more")).alias("raised"))
-        nodes3 = written(nodes2.join(single.select("id"), "id", "left_anti").join(based, "id", "left").select("id", F.greatest("base", F.coalesce("raised", F.lit(0))).alias("base")))
+        nodes3 = written(nodes2.join(_apart(single.select("id")), "id", "left_anti").join(_apart(based), "id", "left").select("id", F.greatest("base", F.coalesce("raised", F.lit(0))).alias("base")))
         left3 = written(moved.select("from", F.coalesce("far", "to").alias("to"), (F.col("w") + F.coalesce("far_w", F.lit(0))).alias("w")).groupBy("from", "to").agg(F.max("w").alias("w")))
         for t in (nodes, left, nodes2, left2, moved):
             dropped(t)
