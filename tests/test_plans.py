@@ -348,3 +348,26 @@ def test_blocks_of_a_module_file_take_linear_time(spark):
         row = spark.createDataFrame([(text,)], "text string").select(extract.gomod(F.col("text")).alias("f")).select(F.size("f.requires"), F.size("f.replaces"))
         began = time.time()
         assert tuple(row.first()) == want and time.time() - began < 20
+
+
+def test_rounds_of_ranks_send_no_tables_through_the_driver(spark, monkeypatch):
+    """Tables of the graph's size are shuffled in every round, also while they are small enough to be broadcast."""
+    plans, write = [], rank.written
+    monkeypatch.setattr(rank, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    single = spark.createDataFrame([(f"n{i}", 0, f"n{i - 1}", 1) for i in range(1, 6)], "id string, base int, to string, w int")
+    chains, ends = rank._chains(single)
+    assert ends and {(r["id"], r["to"], r["w"]) for r in chains.collect()} == {(f"n{i}", "n0", i) for i in range(1, 6)}
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_pairs_of_one_event_are_many_tasks(spark):
+    """An event that everyone listens for and dispatches: all pairs are found, dealt by cells of its dispatchers."""
+    from graphloom.operators import resolve
+
+    names = [f"u{i}" for i in range(100)]
+    listens = spark.createDataFrame([(n, "e") for n in names], "from string, want string")
+    sent = spark.createDataFrame([(n, ("e", None, None)) for n in names], "repo string, d struct<event: string, owner: string, repo: string>")
+    repos = spark.createDataFrame([(n, f"x/{n}") for n in names], "slug string, github string")
+    found = resolve.resolve_events(listens, sent, repos).select("from", "to", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["from"], r["to"]) for r in found) == sorted((a, b) for a in names for b in names if a != b)
+    assert len({r["task"] for r in found}) > 8
