@@ -101,3 +101,27 @@ def test_a_manifest_is_parsed_once(spark):
     for table in (gomod["gomod"].where("size(facts.replaces) = 0"), index.declarations(gomod)):
         assert table.count() == 1
         assert table._jdf.queryExecution().optimizedPlan().toString().count("|exclude|retract") == 1
+
+
+def test_lines_of_bare_keys_in_one_pass_are_those_of_each_key(spark):
+    """What line_of finds for each key by itself, whatever stands around it; and many keys in one manifest take no square of time."""
+    import random
+    import time
+
+    from graphloom.functions.text import bare_key_lines, line_of, line_of_key
+
+    rng = random.Random(5)
+    bits = ["a", "b", '"a"', '"b"', "a-b", "ab", " ", "\n", "\n\n", "=", " = ", "#", "\r\n", "\u2028", "\t", '"a b"', ".", "a = 1\n", "[a]\n", "x.y*z", "'a'"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    keys = ["a", "b", "a-b", "ab", "a b", "x.y*z", "", "a\n"]
+    rows = spark.createDataFrame([(t, k) for t in texts for k in keys], "t string, k string")
+    told = rows.select("t", "k", line_of("t", F.col("k")).alias("one"), line_of_key("t", bare_key_lines("t"), F.col("k")).alias("all"))
+    assert told.where("one is not null").count() > 500
+    assert told.where("not (one <=> all)").count() == 0
+
+    many = "[dependencies]\n" + "".join(f'dependency-{i} = "1"\n' for i in range(12000))
+    start = time.time()
+    facts = parse_manifests(spark.createDataFrame([("r", "Cargo.toml", many.encode())], "repo string, path string, content binary"), ["cargo"])[0]["cargo"]
+    deps = facts.select(F.explode("facts.deps").alias("d")).select("d.*")
+    assert deps.where("line <> 2 + cast(substring(name, 12) as int)").count() == 0 and deps.where("line is null").count() == 0
+    assert time.time() - start < 40
