@@ -2,7 +2,8 @@
 
 A document is a JSON object with an indent of two. Its lists of rows may be as long as tables are: each
 row is a text of its own, made where the row is, and the driver reads the sorted parts one after the other
-into a file, a digest or a comparison. It holds a part at a time.
+into a file, a digest or a comparison. It holds a part at a time. What is compared with a text that the driver has is
+compared by digests of parts first, so that only parts that differ are sent.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import dropped, written
+
 
 def value_text(value) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False)
@@ -35,20 +39,69 @@ def rendered(rows: DataFrame, keys: list[str], shape: Callable[[dict], dict] | N
     return rows.orderBy(*keys).mapInArrow(run, "text string")
 
 
-def pieces(sections: Iterable[tuple[str, object]]) -> Iterator[str]:
-    """The document of sections (name, value or table of texts) in pieces. A table is read part by part."""
-    yield "{"
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def parted(texts: DataFrame) -> DataFrame:
+    """part, nth, text of rendered rows in order; and for each part a row of nth -1: the characters and the digest of its rows, joined. A written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state, nth, chars = TaskContext.get().partitionId(), hashlib.sha256(), 0, 0
+        names = ["part", "nth", "chars", "sha", "text"]
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                body = (",\n" if nth else "") + ",\n".join(batch.column(0).to_pylist())
+                state.update(body.encode())
+                chars += len(body)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(nth, nth + n), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), batch.column(0)], names=names)
+                nth += n
+        if nth:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (-1, pa.int32()), (chars, pa.int64()), (state.hexdigest(), pa.string()), (None, pa.string()))], names=names)
+
+    return written(texts.mapInArrow(run, "part int, nth int, chars long, sha string, text string"))
+
+
+def pieces(sections: Iterable[tuple[str, object]], beside: str | None = None) -> Iterator[str]:
+    """The document of sections (name, value or table of texts) in pieces. A table is read part by part.
+
+    With a text beside it, a part whose digest is that of the text's characters at its place is taken from there, and not read."""
+    at = None if beside is None else 0  # how far both are the same
+
+    def told(piece: str) -> str:
+        nonlocal at
+        if at is not None:
+            at = at + len(piece) if beside.startswith(piece, at) else None
+        return piece
+
+    yield told("{")
     for n, (name, value) in enumerate(sections):
-        yield ("," if n else "") + f"\n  {json.dumps(name, ensure_ascii=False)}: "
+        yield told(("," if n else "") + f"\n  {json.dumps(name, ensure_ascii=False)}: ")
         if not isinstance(value, DataFrame):
-            yield value_text(value).replace("\n", "\n  ")
+            yield told(value_text(value).replace("\n", "\n  "))
             continue
         empty = True
-        for row in value.toLocalIterator():
-            yield ("[\n" if empty else ",\n") + row["text"]
-            empty = False
-        yield "[]" if empty else "\n  ]"
-    yield "\n}\n"
+        if at is None:
+            for row in value.toLocalIterator():
+                yield ("[\n" if empty else ",\n") + row["text"]
+                empty = False
+        else:
+            held = parted(value)
+            try:
+                for part, chars, sha in held.where("nth = -1").orderBy("part").select("part", "chars", "sha").collect():  # a row for each part
+                    yield told("[\n" if empty else ",\n")
+                    empty = False
+                    same = None if at is None else beside[at : at + chars]
+                    if same is not None and len(same) == chars and _sha(same) == sha:
+                        yield told(same)
+                        continue
+                    for k, row in enumerate(held.where((F.col("part") == part) & (F.col("nth") >= 0)).orderBy("nth").select("text").toLocalIterator()):
+                        yield told((",\n" if k else "") + row["text"])
+            finally:
+                dropped(held)
+        yield told("[]" if empty else "\n  ]")
+    yield told("\n}\n")
 
 
 def digest(parts: Iterable[str]) -> str:

@@ -371,3 +371,17 @@ def test_pairs_of_one_event_are_many_tasks(spark):
     found = resolve.resolve_events(listens, sent, repos).select("from", "to", F.spark_partition_id().alias("task")).collect()
     assert sorted((r["from"], r["to"]) for r in found) == sorted((a, b) for a in names for b in names if a != b)
     assert len({r["task"] for r in found}) > 8
+
+
+def test_parts_that_are_the_same_are_compared_without_being_sent(spark, monkeypatch):
+    table = canonical.rendered(spark.range(400).selectExpr("id", "concat('é', id) as name").repartition(3), ["id"])
+    none = canonical.rendered(spark.range(0).selectExpr("id"), ["id"])
+    sections = [("a", {"x": 1}), ("rows", table), ("none", none), ("z", [1])]
+    text = "".join(canonical.pieces(sections))
+    broken = [text.replace("é7\"", "e7\""), text.replace("é399", "é39"), text[:-300], text[:900], "", text + "x", text.replace('"x": 1', '"x": 2'), text.replace("[]", "[ ]")]
+    for other in broken:
+        assert other != text
+        assert canonical.first_difference(canonical.pieces(sections, other), other) == canonical.first_difference(canonical.pieces(sections), other) is not None
+    assert "".join(canonical.pieces(sections, text)) == text
+    monkeypatch.setattr(type(table), "toLocalIterator", lambda *_: pytest.fail("rows were sent"))
+    assert canonical.first_difference(canonical.pieces(sections, text), text) is None
