@@ -548,3 +548,46 @@ def test_flat_ignores_slices():
     a = pa.array(["ab", None, "cd"])
     raw, offsets = op8_lines.W.flat(a.slice(1))
     assert bytes(raw) == b"cd" and offsets.tolist() == [0, 0, 2]
+
+
+@pytest.mark.parametrize("crowd", [100, 1 << 13])
+def test_every_pair_of_a_key_is_compared(spark, monkeypatch, crowd):
+    """Members past a key's first ones, with many partners each and unlike in the first bits: all pairs of different roots, whatever the cells."""
+    rng = np.random.default_rng(7)
+    n = 900
+    centre = rng.integers(0, 2**63, (n // 6, 3), dtype=np.uint64)
+    marks = centre[rng.integers(0, len(centre), n)]
+    for _ in range(6):
+        marks ^= np.uint64(1) << rng.integers(0, 64, (n, 3), dtype=np.uint64)
+    code = rng.integers(60, 70, n)
+    marks[:, 1] = marks[:, 1] & ~np.uint64(255) | code.astype(np.uint64)
+    root = np.where(np.arange(n) % 9 == 0, np.arange(n) - np.arange(n) % 18, np.arange(n))
+    gap = sum(np.bitwise_count((marks[:, None, k] ^ marks[None, :, k]) & ~np.uint64(255 * (k == 1))).astype(int) for k in range(3))
+    want = (gap <= linking.MET_UNDER[0][1]) & (np.abs(code[:, None] - code[None, :]) <= 3) & (root[:, None] != root[None, :])
+    a, b = np.nonzero(np.tril(want, -1))
+    signed = marks.view(np.int64)
+    rows = [(i, int(root[i]), *map(int, signed[i]), [5, 1000 + i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, root long, m0 long, m1 long, m2 long, keys array<long>").repartition(3)
+    monkeypatch.setattr(linking, "CROWD", crowd)
+    got = {(r["a"], r["b"]) for r in linking.other_pairs(df, 0).collect()}
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 1000
+    tried = {(r["a"], r["b"]) for r in linking.likely_pairs(df.select(linking.F.lit(5).cast("long").alias("key"), "id", "m0", "m1")).collect()}
+    assert not got <= tried  # which the first, linear look at a key does not find
+
+
+def test_pairs_in_cells_do_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    cell = np.sort(rng.integers(0, 12, 700) ** 2 // 9)
+    late = rng.integers(0, 2, 700)
+    code = np.where(late == 1, rng.integers(47, 51, 700), 50)
+    ids = rng.permutation(700)
+    order = np.lexsort((ids, code, late, cell))
+    cell, late, code, ids = (x[order] for x in (cell, late, code, ids))
+    marks = _group(700, 5, 3)
+    cols = [cell, late, ids, ids, marks[:, 0].view(np.int64), (marks[:, 1] & ~np.uint64(255) | code.astype(np.uint64)).view(np.int64), marks[:, 0].view(np.int64)]
+    names = ["cell", "late", "id", "root", "m0", "m1", "m2"]
+    told = []
+    for cut in (1, 3, 17, 130, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + cut]) for x in cols], names=names) for i in range(0, 700, cut)]
+        told.append(sorted(r for b in linking._distinct_roots(-1)(iter(batches)) for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)))
+    assert all(t == told[0] for t in told) and told[0]
