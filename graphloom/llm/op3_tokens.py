@@ -34,6 +34,7 @@ A damaged block raises an error that names it. Ids must be below 2^18.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -51,8 +52,8 @@ from .linking import parts, shared_folder
 
 MAGIC = b"GLT2"
 BLOCK = 2048
-#: A segment takes documents until it has so many ids.
-SEGMENT_IDS = 3 << 20
+#: A segment takes documents until it has so many ids. A step over few lanes takes hardly less time than one over many.
+SEGMENT_IDS = 6 << 20
 END_ID = 1
 MOST_ID = (1 << 18) - 1
 CACHE_CHUNKS = 1_500_000
@@ -309,6 +310,7 @@ class _Tokens:
     """Ids of batches of texts. Of a tokenizer that never joins over white space each distinct run is encoded once for a while."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; idle threads of a pool take CPU time
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)

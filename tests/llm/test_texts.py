@@ -591,3 +591,10 @@ def test_pairs_in_cells_do_not_depend_on_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + cut]) for x in cols], names=names) for i in range(0, 700, cut)]
         told.append(sorted(r for b in linking._distinct_roots(-1)(iter(batches)) for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)))
     assert all(t == told[0] for t in told) and told[0]
+
+
+def test_tokenizer_starts_no_threads_of_its_own(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    op3_tokens._Tokens(op3_tokens.tokenizer_path())
+    assert op3_tokens.os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    assert op3_tokens.SEGMENT_IDS // op3_tokens.BLOCK >= 2048  # steps over fewer lanes cost nearly as much
