@@ -598,3 +598,28 @@ def test_tokenizer_starts_no_threads_of_its_own(monkeypatch):
     op3_tokens._Tokens(op3_tokens.tokenizer_path())
     assert op3_tokens.os.environ["TOKENIZERS_PARALLELISM"] == "false"
     assert op3_tokens.SEGMENT_IDS // op3_tokens.BLOCK >= 2048  # steps over fewer lanes cost nearly as much
+
+
+def test_short_lines_that_are_alike_stay_within_their_bounds():
+    """No pair of short lines with a fifth of the code points edited is left out by what is known of their code points."""
+    rng = random.Random(11)
+    lines = []
+    for _ in range(1500):
+        a = "".join(rng.choice("abcdeé漢字nt ") for _ in range(rng.randint(5, 48))).strip() or "a"
+        b = list(a)
+        for _ in range(len(a) // 5):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e", "漢"])
+        b = "".join(b)
+        if b and op8_lines.alike(a, b):
+            lines += [a, b]
+    data = [x.encode() for x in lines]
+    edge = np.cumsum([0, *map(len, data)])
+    text, size = np.frombuffer(b"".join(data), np.uint8), np.array([len(x) for x in lines])
+    two = op8_lines.grams(text, edge[:-1], edge[1:])
+    one = op8_lines.letters(text, edge[:-1], edge[1:], np.ones(len(lines), dtype=bool))
+    most = linking.GRAMS[linking.size_code(np.maximum(size[::2], size[1::2]))]
+    assert len(most) > 1000
+    assert (np.bitwise_count(two[::2] ^ two[1::2]) <= most).all()
+    assert (2 * np.bitwise_count(one[::2] ^ one[1::2]).astype(int) <= most).all()
+    assert (np.bitwise_count(two[::2] ^ np.roll(two[1::2], 1)) > most).mean() > 0.3  # of others many are
