@@ -623,3 +623,18 @@ def test_short_lines_that_are_alike_stay_within_their_bounds():
     assert (np.bitwise_count(two[::2] ^ two[1::2]) <= most).all()
     assert (2 * np.bitwise_count(one[::2] ^ one[1::2]).astype(int) <= most).all()
     assert (np.bitwise_count(two[::2] ^ np.roll(two[1::2], 1)) > most).mean() > 0.3  # of others many are
+
+
+def test_most_lines_are_near_copies_of_one(spark):
+    """What a line's SimHash is depends on no other line: a group that is most of the table is still one group."""
+    rng = random.Random(31)
+    make = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    first = [make() for _ in range(14)]
+    near = [" ".join([*first[:k], f"other{k}", *first[k + 1 :]]) for k in range(14)]
+    rows = list(enumerate(near + [" ".join(make() for _ in range(20)) for _ in range(10)]))
+    assert all(op8_lines.alike(a, b) for a in near for b in near)
+    got = {r["doc_id"]: r["n_removed"] for r in op8_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(0 < i < 14) for i, _ in rows}
+    raw = [" ".join(near[0].split()), "x " + " ".join(near[1].split())]
+    both, alone = (op8_lines.Lines(*op8_lines.W.flat(pa.array(x))) for x in (raw, raw[:1]))
+    assert [m[0] for m in op8_lines._keys(both, np.arange(2))[2]] == [m[0] for m in op8_lines._keys(alone, np.arange(1))[2]]
