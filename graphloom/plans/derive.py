@@ -136,12 +136,21 @@ def map_lists(graph: SiteMap) -> dict[str, DataFrame]:
     return {name: canonical.rendered(getattr(graph, name), keys, _edge if keys is _EDGE_ORDER else None) for name, keys in LISTS.items()}
 
 
-def map_pieces(graph: SiteMap, beside: str | None = None) -> Iterator[str]:
-    """The map's text in pieces: its lists are never whole on the driver. beside: a text that it is compared with."""
+def _sections(graph: SiteMap) -> list[tuple[str, object]]:
     head = dict(graph.header)
     tail = {k: head.pop(k) for k in ("declarations", "edge_kinds", "reserved_edge_kinds")}
     rules = {r["rule"]: {"confidence": r["confidence"], "how": r["how"]} for r in graph.resolution.orderBy("rule").collect()}
-    return canonical.pieces([*head.items(), *map_lists(graph).items(), *tail.items(), ("resolution", rules)], beside)
+    return [*head.items(), *map_lists(graph).items(), *tail.items(), ("resolution", rules)]
+
+
+def map_pieces(graph: SiteMap, beside: str | None = None) -> Iterator[str]:
+    """The map's text in pieces: its lists are never whole on the driver. beside: a text that it is compared with."""
+    return canonical.pieces(_sections(graph), beside)
+
+
+def map_document(graph: SiteMap) -> canonical.Document:
+    """The map's text as written tables of rows."""
+    return canonical.document(_sections(graph))
 
 
 def map_text(graph: SiteMap) -> str:
