@@ -166,3 +166,17 @@ def test_random_changes(spark, folder):
         files = {k: v for k, v in (files | arrived).items() if k not in gone}
         delta.advance(state, manifests(spark, arrived), spark.createDataFrame(gone, "repo string, path string"))
         assert kept(state) == full(spark, files, repos)
+
+
+def test_only_declarations_under_moved_keys_are_resolved_again(spark, folder, monkeypatch):
+    """Of a manifest that stays, not its other declarations; and its edges are those of a full derivation."""
+    files = {("a", "Cargo.toml"): '[package]\nname = "a"\n[dependencies]\nb = "1"\nc = "1"\nnone = "1"\n', ("b", "Cargo.toml"): '[package]\nname = "b"\n', ("c", "Cargo.toml"): '[package]\nname = "c"\n'}
+    repos, asked, resolved = roster(spark, [(r, f"o/{r}") for r in "abc"]), [], delta._resolved
+    monkeypatch.setattr(delta, "_resolved", lambda declared, *rest: asked.append(sorted(r[0] for r in declared.select("want").collect())) or resolved(declared, *rest))
+    state = delta.state_of(spark, folder, 3)
+    delta.advance(state, manifests(spark, files), roster=repos)
+    later = {("c", "Cargo.toml"): '[package]\nname = "none"\n'}
+    change = delta.advance(state, manifests(spark, later))
+    assert asked == [["b", "c", "none"], ["c", "none"]]
+    assert kept(state) == full(spark, files | later, repos)
+    assert [(r["from"], r["to"], r["matched"]) for d in (change.edges_gone, change.edges_new) for r in d.collect()] == [("a", "c", "c"), ("a", "c", "none")]
