@@ -638,3 +638,15 @@ def test_most_lines_are_near_copies_of_one(spark):
     raw = [" ".join(near[0].split()), "x " + " ".join(near[1].split())]
     both, alone = (op8_lines.Lines(*op8_lines.W.flat(pa.array(x))) for x in (raw, raw[:1]))
     assert [m[0] for m in op8_lines._keys(both, np.arange(2))[2]] == [m[0] for m in op8_lines._keys(alone, np.arange(1))[2]]
+
+
+def test_pairs_do_not_depend_on_rounds(spark, monkeypatch):
+    """A key is in one round, whatever its sign and however many rounds there are; eight or more, as one round's shuffle is held at a time."""
+    marks = _group(200, 6, 2).view(np.int64)
+    rows = [(i, i, int(marks[i, 0]), int(marks[i, 1]), int(marks[i, 0]), [i % 7 - 3, 100 + i % 11, -(1 << 60) - i % 5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, root long, m0 long, m1 long, m2 long, keys array<long>")
+    assert linking.ROUNDS >= 8
+    told = [sorted(map(tuple, linking.other_pairs(df, 0).collect()))]
+    monkeypatch.setattr(linking, "ROUNDS", 1)
+    told.append(sorted(map(tuple, linking.other_pairs(df, 0).collect())))
+    assert told[0] == told[1] and told[0]
